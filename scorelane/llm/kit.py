@@ -8,8 +8,11 @@ A null text is an empty text everywhere.
 from __future__ import annotations
 
 import atexit
+import shutil
+import tempfile
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +23,23 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 2 << 20
 DEFAULT_SHARED = "file:///tmp/checkpoints/scorelane"
 _written: list[tuple[SparkSession, str]] = []
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the executors this package, whatever their search path is; once a session."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = Path(__file__).resolve().parents[1]
+        with tempfile.TemporaryDirectory() as folder:
+            sources = shutil.ignore_patterns("__pycache__")
+            shutil.copytree(package, f"{folder}/top/{package.name}", ignore=sources)
+            context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/{package.name}_{context.applicationId}", "zip", f"{folder}/top"))
+        _shipped.add(context.applicationId)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
