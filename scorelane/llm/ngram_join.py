@@ -9,8 +9,10 @@ is ever gathered whole:
 1. Bound. Linked sets share at least ceil(3n/4) shingles, so among the first
    n - ceil(3n/4) + l shingles of either, in hash order, at least l are common to both
    (l = n/8). Blocks count, for each set, how many of those prefix shingles occur in
-   any other set; sets below their bound link with nothing and are discarded.
-2. Product. Every prefix shingle that several sets hold names its least set a pivot.
+   any other set; sets below their bound link with nothing and are discarded. Of the
+   rest all shingles are counted so, and sets with under 3n/4 shared ones discarded.
+2. Product. Of each set the rarest shingles are taken, as many as must hold one that a
+   linked set takes too; each that several sets take names its least set a pivot.
    Blocks accumulate overlap counts of pivots with all remaining sets (pairs whose
    sizes differ by more than a quarter are discarded unseen); sums reaching
    100 * overlap >= 75 * union are links.
@@ -29,7 +31,7 @@ a row each. An empty table gives no rows. Only the two named columns are read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,9 @@ from scorelane.llm import kit
 WORDS = 5
 MAX_BROADCAST = 1_000_000
 POSTINGS = 2_000_000
+SLOTS = 1 << 20
+#: Overlapping pairs that a product holds at a time.
+PAIRS = 1_000_000
 _C = kit.mixed(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -63,7 +68,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> tuple
         if words[i] >= k:
             out[a:b] = rolled[first[i] : first[i] + b - a]
         elif words[i]:
-            out[a] = (h[first[i] : first[i + 1]] * _C[: words[i]]).sum(dtype=np.uint64) + (_C[k : k + 1] * np.uint64(words[i]))[0]
+            out[a] = np.append(h[first[i] : first[i + 1]] * _C[: words[i]], _C[k : k + 1] * np.uint64(words[i])).sum(dtype=np.uint64)
     out = kit.mixed(out)
     for i in range(n):
         out[where[i] : where[i + 1]].sort()
@@ -114,28 +119,45 @@ def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - count), count)
 
 
-def shared_counts(docs: DataFrame, bits: int) -> DataFrame:
-    """sid, shared: how many prefix shingles of a set occur in another set too."""
+def _of_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids, members and bounds of the distinct sets of documents (text is column 1), by chunk."""
+    for _, _, _, values, where in _sets(batches, 1):
+        sids, pick = np.unique(set_ids(values, where), return_index=True)
+        pick = pick[sids != 0]
+        n = where[pick + 1] - where[pick]
+        yield sids[sids != 0], values[_ranges(where[pick], n)], np.concatenate([[0], np.cumsum(n)])
+
+
+def _of_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The same of rows (sid, n, members)."""
+    for b in batches:
+        for lo in range(0, b.num_rows, 2000):
+            p = b.slice(lo, 2000)
+            yield p.column(0).to_numpy(), np.frombuffer(b"".join(p.column(2).to_pylist()), np.uint64), np.concatenate([[0], np.cumsum(p.column(1).to_numpy())])
+
+
+def shared_counts(rows: DataFrame, source: Callable, bits: int, whole: bool) -> DataFrame:
+    """sid, shared: how many shingles of a set (whole, or its prefix) occur in another set's too."""
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, _, values, where in _sets(batches, 1):
-            sids, pick = np.unique(set_ids(values, where), return_index=True)
-            sids, pick = sids[sids != 0], pick[sids != 0]
-            n = where[pick + 1] - where[pick]
-            length = np.minimum(n, n - needed(n) + np.maximum(1, n // 8))
-            h, owner = values[_ranges(where[pick], length)], np.repeat(np.arange(len(sids)), length)
+        for sids, values, where in source(batches):
+            if not len(sids):
+                continue
+            n = np.diff(where)
+            length = n if whole else np.minimum(n, n - needed(n) + np.maximum(1, n // 8))
+            h, owner = values[_ranges(where[:-1], length)], np.repeat(np.arange(len(sids)), length)
             order = np.argsort(h, kind="stable")
             h, owner = h[order], owner[order]
             new = np.flatnonzero(np.diff(h, prepend=~h[:1]))
             size = np.diff(np.append(new, len(h)))
-            again = np.repeat(size > 1, size)
-            local = np.bincount(owner[again], minlength=len(sids))
+            local = np.bincount(owner[np.repeat(size > 1, size)], minlength=len(sids))
             h, sid = h[new], np.where(size > 1, 0, sids[owner[new]])
             blocks, edges = _cut(h, bits)
             low = ((h << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
             rows = [(int(k), low[a:b].tobytes(), sid[a:b].tobytes(), None) for k, a, b in zip(blocks, edges[:-1], edges[1:], strict=True)]
             if local.any():
                 rows.append((int(sids[0] & ((1 << bits) - 1)), None, sids[local > 0].tobytes(), local[local > 0].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))] if rows else [pa.array([], t) for t in (pa.int64(), pa.binary(), pa.binary(), pa.binary())], ["block", "h", "s", "c"])
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["block", "h", "s", "c"])
 
     def counted(t: pa.Table) -> pa.Table:
         h = np.frombuffer(b"".join(x for x in t["h"].to_pylist() if x), np.uint32)
@@ -154,7 +176,7 @@ def shared_counts(docs: DataFrame, bits: int) -> DataFrame:
         n = np.concatenate([n, *(np.frombuffer(c, np.int64) for _, c in ready)])
         return pa.table({"sid": ids.astype(np.int64), "n": n.astype(np.int64)})
 
-    blocks = docs.mapInArrow(postings, "block long, h binary, s binary, c binary")
+    blocks = rows.mapInArrow(postings, "block long, h binary, s binary, c binary")
     return blocks.groupBy("block").applyInArrow(counted, "sid long, n long").groupBy("sid").agg(F.sum("n").alias("shared"))
 
 
@@ -172,14 +194,41 @@ def sets_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     return wanted.join(chosen.select("sid"), "sid", "left_semi").dropDuplicates(["sid"])
 
 
-def prefixes(sets: DataFrame) -> DataFrame:
-    """h, sid: the shingles of which linked sets share at least one."""
+def commonness(sets: DataFrame) -> np.ndarray:
+    """Upper bounds of the shingles' frequencies in SLOTS slots; SLOTS / 16 of them meet in one task."""
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.uint32)
+        for _, values, _ in _of_sets(batches):
+            total += np.bincount((values & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS).astype(np.uint32)
+        yield pa.RecordBatch.from_arrays([pa.array(range(16)), pa.array([x.tobytes() for x in np.split(total, 16)], pa.binary())], ["part", "n"])
+
+    def added(t: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x, np.uint32).astype(np.uint64) for x in t["n"].to_pylist())
+        return pa.table({"part": [t["part"][0].as_py()], "n": pa.array([np.minimum(total, 1 << 31).astype(np.uint32).tobytes()], pa.binary())})
+
+    few = sets.select("sid", "n", "members").coalesce(64).mapInArrow(counts, "part long, n binary")
+    rows = sorted((r["part"], r["n"]) for r in few.groupBy("part").applyInArrow(added, "part long, n binary").collect())
+    return np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(x, np.uint32) for _, x in rows)])
+
+
+def prefixes(sets: DataFrame, common: np.ndarray) -> DataFrame:
+    """h, sid: of each set the shingles, rarest first, of which linked sets share at least one.
+
+    The order (power of two of the slot's frequency, then hash) is one for all sets; which
+    order it is changes the work, not the result.
+    """
+    level = np.zeros(SLOTS, np.uint8)
+    level[: len(common)] = np.log2(np.maximum(common, 1)).astype(np.uint8)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n = b.column(1).to_numpy()
-            length = n - needed(n) + 1
-            h = [np.frombuffer(x, np.uint64, k) for x, k in zip(b.column(2).to_pylist(), length, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *h]).view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), length))], ["h", "sid"])
+        for sids, values, where in _of_sets(batches):
+            h, owner, n = [], [], np.diff(where)
+            rank = level[(values & np.uint64(SLOTS - 1)).astype(np.int64)]
+            for i, k in enumerate(n - needed(n) + 1):
+                own = values[where[i] : where[i + 1]]
+                h.append(own[np.argsort(rank[where[i] : where[i + 1]], kind="stable")[:k]])
+                owner.append(np.full(k, sids[i]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *h]).view(np.int64)), pa.array(np.concatenate([np.zeros(0, np.int64), *owner]))], ["h", "sid"])
 
     return sets.select("sid", "n", "members").mapInArrow(run, "h long, sid long")
 
@@ -219,7 +268,7 @@ def _gathered(t: pa.Table) -> tuple[np.ndarray, ...]:
     return h, d, np.concatenate([np.zeros(0, np.int64), *sids]), ns.astype(np.int64)
 
 
-def links(sets: DataFrame, pivots: DataFrame, bits: int) -> DataFrame:
+def links(sets: DataFrame, pivots: DataFrame, bits: int, salts: int) -> DataFrame:
     """u, v: pivots (a subset of sets, by sid) and the sets they link with."""
     def product(t: pa.Table) -> pa.Table:
         side = t["side"].to_numpy()
@@ -235,7 +284,7 @@ def links(sets: DataFrame, pivots: DataFrame, bits: int) -> DataFrame:
         keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
         a = 0
         while a < len(some):  # so many pairs at a time
-            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + 4_000_000, "right")))
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PAIRS, "right")))
             x, y = np.repeat(d[a:b], count[a:b]), pd_[_ranges(lo[a:b], count[a:b])]
             near = (4 * np.minimum(ns[x], pns[y]) >= 3 * np.maximum(ns[x], pns[y])) & (sids[x] != psids[y])
             new, n = np.unique(y[near] * len(sids) + x[near], return_counts=True)
@@ -243,10 +292,10 @@ def links(sets: DataFrame, pivots: DataFrame, bits: int) -> DataFrame:
             sums = np.bincount(back, np.concatenate([sums, n]), len(keys)).astype(np.int64)
             a = b
         y, x = keys // max(len(sids), 1), keys % max(len(sids), 1)
-        salt = sids[x] & 15
+        salt = sids[x] % salts
         order = np.lexsort((salt, y))
         x, y, sums, salt = x[order], y[order], sums[order], salt[order]
-        edges = np.flatnonzero(np.diff(y * 16 + salt, prepend=-1, append=-1))
+        edges = np.flatnonzero(np.diff(y * salts + salt, prepend=-1, append=-1))
         rows = [(int(psids[y[i]]), int(salt[i]), int(pns[y[i]]), sids[x[i:e]].tobytes(), ns[x[i:e]].tobytes(), sums[i:e].astype(np.int32).tobytes()) for i, e in zip(edges[:-1], edges[1:], strict=True)]
         kinds = {"u": pa.int64(), "salt": pa.int64(), "un": pa.int64(), "v": pa.binary(), "vn": pa.binary(), "o": pa.binary()}
         return pa.table({k: pa.array([r[i] for r in rows], kind) for i, (k, kind) in enumerate(kinds.items())})
@@ -291,21 +340,25 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     bits = max(1, (kit.blocks_for(total, POSTINGS, 16, spark) * 2 - 1).bit_length())
     classes = kit.stored(rows.filter("sid != 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes")
     bound = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * 3 / 4) / 8))
-    alive = shared_counts(docs, bits).join(classes, "sid").filter(F.col("shared") >= bound).filter(F.col("rep").isNotNull())
+    alive = shared_counts(docs, _of_texts, bits, False).join(classes, "sid").filter(F.col("shared") >= bound).filter(F.col("rep").isNotNull())
     alive = kit.stored(alive.select("sid", "rep"), "alive")
-    sets = kit.stored(sets_of(docs, alive), "sets")
-    total = sets.agg(F.sum("n")).first()[0] or 0
-    bits = max(1, (kit.blocks_for(total, POSTINGS // 2, 16, spark) * 2 - 1).bit_length())
-    first = prefixes(sets).groupBy("h").agg(F.count("*").alias("k"), F.min("sid").alias("sid")).filter("k > 1").select("sid").distinct()
+    every = kit.stored(sets_of(docs, alive), "sets")
+    total = every.agg(F.sum("n")).first()[0] or 0
+    bits = max(1, (kit.blocks_for(total, POSTINGS, 16, spark) * 2 - 1).bit_length())
+    shared = shared_counts(every, _of_sets, bits, True)
+    sets = kit.stored(every.join(shared, "sid").filter(4 * F.col("shared") >= 3 * F.col("n")).select("sid", "n", "members"), "sets")
+    size = sets.agg(F.count("*").alias("sets"), F.sum("n").alias("n")).first()
+    bits = max(1, (kit.blocks_for(size["n"] or 0, POSTINGS // 2, 16, spark) * 2 - 1).bit_length())
+    salts = max(4, size["sets"] // 500_000)
+    common = commonness(sets)
+    first = prefixes(sets, common).groupBy("h").agg(F.count("*").alias("k"), F.min("sid").alias("sid")).filter("k > 1").select("sid").distinct()
     met = kit.stored(first, "pivots")
-    found = kit.stored(links(sets, met, bits), "links")
-    label = kit.stored(components(found), "label")
+    label = kit.stored(components(links(sets, met, bits, salts)), "label")
     for step in range(6):
         left = sets.join(met, "sid", "left_anti").join(label, "sid", "left").select("sid", "n", "members", F.coalesce("comp", "sid").alias("comp"))
         named = kit.stored(left, "left")
-        held = prefixes(named).join(named.select("sid", "comp"), "sid")
-        held = kit.stored(held, "held")
-        per = held.groupBy("h", "comp").agg(F.count("*").alias("k"), F.min("sid").alias("one"))
+        held = kit.stored(prefixes(named, common).join(named.select("sid", "comp"), "sid"), "held")
+        per = held.groupBy("h", "comp").agg(F.count("*").alias("k"))
         split = kit.stored(per.groupBy("h").agg(F.max_by("comp", F.struct("k", "comp")).alias("most"), F.count("*").alias("comps")).filter("comps > 1").select("h", "most"), "split")
         rest = held.join(split, "h").filter("comp != most")
         more = rest.select("sid").distinct() if step else rest.groupBy("h").agg(F.min("sid").alias("sid")).select("sid").distinct()
@@ -313,8 +366,8 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         if not more.take(1):
             break
         met = kit.stored(met.union(more), "met")
-        found = kit.stored(found.union(links(sets, more, bits)), "links")
-        label = kit.stored(components(found), "label")
+        known = label.select(F.col("sid").alias("u"), F.col("comp").alias("v"))
+        label = kit.stored(components(known.union(links(sets, more, bits, salts))), "label")
     named = label.join(classes, "sid")
     least = kit.stored(named.groupBy("comp").agg(F.min("rep").alias("least")), "least")
     of = kit.stored(classes.join(label, "sid", "left").join(least, "comp", "left").select("sid", F.coalesce("least", "rep").alias("component_id")), "of")
