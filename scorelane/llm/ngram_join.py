@@ -11,15 +11,16 @@ is ever gathered whole:
    (l = n/8). Blocks count, for each set, how many of those prefix shingles occur in
    any other set; sets below their bound link with nothing and are discarded. Of the
    rest all shingles are counted so, and sets with under 3n/4 shared ones discarded.
-2. Product. Of each set the rarest shingles are taken, as many as must hold one that a
-   linked set takes too; each that several sets take names its least set a pivot.
-   Blocks accumulate overlap counts of pivots with all remaining sets (pairs whose
-   sizes differ by more than a quarter are discarded unseen); sums reaching
-   100 * overlap >= 75 * union are links.
-3. Rest. Where a prefix shingle still is held by several components, all its sets
-   outside the largest of them become pivots of further products, smallest set first
-   and then the whole remainder. A pivot has then met every other set, so no link
-   between different components is left; links inside one need no product.
+2. Of each set the rarest shingles are taken, as many as must hold one that a linked
+   set takes too. Sets that take the same shingle may link; each set is first compared
+   with the least set it meets so, then, where a shingle is still held by several
+   components, with a member of the largest: a few comparisons per set find nearly all
+   components of near copies without forming pairs inside them.
+3. Product. All sets that still share a taken shingle with a larger component become
+   rows of a blocked product with all sets: blocks accumulate overlap counts (pairs
+   whose sizes differ by more than a quarter are discarded unseen), and sums reaching
+   100 * overlap >= 75 * union are links. After it no shingle is taken by sets of two
+   components that have not been compared, so no link between components is missing.
 
 Components come from star contraction of the links. A class of exact copies or a
 group of near copies of any size yields one row a document, never pairs.
@@ -44,6 +45,7 @@ WORDS = 5
 MAX_BROADCAST = 1_000_000
 POSTINGS = 2_000_000
 SLOTS = 1 << 20
+PAIR_ROUNDS = 2
 #: Overlapping pairs that a product holds at a time.
 PAIRS = 1_000_000
 _C = kit.mixed(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -268,7 +270,7 @@ def _gathered(t: pa.Table) -> tuple[np.ndarray, ...]:
     return h, d, np.concatenate([np.zeros(0, np.int64), *sids]), ns.astype(np.int64)
 
 
-def links(sets: DataFrame, pivots: DataFrame, bits: int, salts: int) -> DataFrame:
+def links(sets: DataFrame, pivots: DataFrame, bits: int, groups: int) -> DataFrame:
     """u, v: pivots (a subset of sets, by sid) and the sets they link with."""
     def product(t: pa.Table) -> pa.Table:
         side = t["side"].to_numpy()
@@ -292,27 +294,42 @@ def links(sets: DataFrame, pivots: DataFrame, bits: int, salts: int) -> DataFram
             sums = np.bincount(back, np.concatenate([sums, n]), len(keys)).astype(np.int64)
             a = b
         y, x = keys // max(len(sids), 1), keys % max(len(sids), 1)
-        salt = sids[x] % salts
-        order = np.lexsort((salt, y))
-        x, y, sums, salt = x[order], y[order], sums[order], salt[order]
-        edges = np.flatnonzero(np.diff(y * salts + salt, prepend=-1, append=-1))
-        rows = [(int(psids[y[i]]), int(salt[i]), int(pns[y[i]]), sids[x[i:e]].tobytes(), ns[x[i:e]].tobytes(), sums[i:e].astype(np.int32).tobytes()) for i, e in zip(edges[:-1], edges[1:], strict=True)]
-        kinds = {"u": pa.int64(), "salt": pa.int64(), "un": pa.int64(), "v": pa.binary(), "vn": pa.binary(), "o": pa.binary()}
-        return pa.table({k: pa.array([r[i] for r in rows], kind) for i, (k, kind) in enumerate(kinds.items())})
+        u, v = psids[y], sids[x]
+        group = (kit.mixed(u.view(np.uint64) ^ kit.mixed(v.view(np.uint64))) % np.uint64(groups)).astype(np.int64)
+        order = np.argsort(group, kind="stable")
+        edges = np.flatnonzero(np.diff(group[order], prepend=-1, append=-1))
+        whole = [c[order] for c in (u, v, pns[y].astype(np.int32), ns[x].astype(np.int32), sums.astype(np.int32))]
+        rows = [[c[i:e].tobytes() for c in whole] for i, e in zip(edges[:-1], edges[1:], strict=True)]
+        return pa.table({"group": group[order][edges[:-1]], **{k: pa.array([r[i] for r in rows], pa.binary()) for i, k in enumerate(("u", "v", "un", "vn", "o"))}})
 
     def summed(t: pa.Table) -> pa.Table:
-        v = np.frombuffer(b"".join(t["v"].to_pylist()), np.int64)
-        vn = np.frombuffer(b"".join(t["vn"].to_pylist()), np.int64)
-        o = np.frombuffer(b"".join(t["o"].to_pylist()), np.int32)
-        ids, first, back = np.unique(v, return_index=True, return_inverse=True)
-        o, vn, u, un = np.bincount(back, o), vn[first], t["u"][0].as_py(), t["un"][0].as_py()
-        ids = ids[100 * o >= 75 * (vn + un - o)]
-        return pa.table({"u": np.full(len(ids), u, np.int64), "v": ids})
+        u, v, un, vn, o = (np.frombuffer(b"".join(t[k].to_pylist()), kind) for k, kind in (("u", np.int64), ("v", np.int64), ("un", np.int32), ("vn", np.int32), ("o", np.int32)))
+        order = np.lexsort((v, u))
+        u, v, un, vn, o = (c[order].astype(np.int64) for c in (u, v, un, vn, o))
+        first = np.flatnonzero(np.concatenate([np.ones(min(len(u), 1), bool), (u[1:] != u[:-1]) | (v[1:] != v[:-1])]))
+        o = np.add.reduceat(o, first) if len(u) else o
+        u, v, un, vn = (c[first] for c in (u, v, un, vn))
+        linked = 100 * o >= 75 * (vn + un - o)
+        return pa.table({"u": u[linked], "v": v[linked]})
 
     own = sets.join(pivots, "sid", "left_semi")
     pieces = _pieces(sets, bits, 0).union(_pieces(own, bits, 1))
-    partial = pieces.groupBy("block").applyInArrow(product, "u long, salt long, un long, v binary, vn binary, o binary")
-    return partial.groupBy("u", "salt").applyInArrow(summed, "u long, v long")
+    partial = pieces.groupBy("block").applyInArrow(product, "group long, u binary, v binary, un binary, vn binary, o binary")
+    return partial.groupBy("group").applyInArrow(summed, "u long, v long")
+
+
+def verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs(u, v) that link."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            members = [[np.frombuffer(x, np.uint64) for x in b.column(c).to_pylist()] for c in (2, 3)]
+            o = np.array([len(np.intersect1d(x, y, True)) for x, y in zip(*members, strict=True)], np.int64)
+            n = np.array([len(x) + len(y) for x, y in zip(*members, strict=True)], np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(100 * o >= 75 * (n - o))) for c in (0, 1)], ["u", "v"])
+
+    sides = [sets.select(F.col("sid").alias(c), F.col("n").alias(c + "n"), F.col("members").alias(c + "m")) for c in "uv"]
+    near = pairs.join(sides[0], "u").join(sides[1], "v").filter(4 * F.least("un", "vn") >= 3 * F.greatest("un", "vn"))
+    return near.select("u", "v", "um", "vm").mapInArrow(run, "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -348,26 +365,27 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     shared = shared_counts(every, _of_sets, bits, True)
     sets = kit.stored(every.join(shared, "sid").filter(4 * F.col("shared") >= 3 * F.col("n")).select("sid", "n", "members"), "sets")
     size = sets.agg(F.count("*").alias("sets"), F.sum("n").alias("n")).first()
-    bits = max(1, (kit.blocks_for(size["n"] or 0, POSTINGS // 2, 16, spark) * 2 - 1).bit_length())
-    salts = max(4, size["sets"] // 500_000)
+    blocks = max(64, -(-(size["n"] or 0) // POSTINGS))
     common = commonness(sets)
-    first = prefixes(sets, common).groupBy("h").agg(F.count("*").alias("k"), F.min("sid").alias("sid")).filter("k > 1").select("sid").distinct()
-    met = kit.stored(first, "pivots")
-    label = kit.stored(components(links(sets, met, bits, salts)), "label")
-    for step in range(6):
-        left = sets.join(met, "sid", "left_anti").join(label, "sid", "left").select("sid", "n", "members", F.coalesce("comp", "sid").alias("comp"))
-        named = kit.stored(left, "left")
-        held = kit.stored(prefixes(named, common).join(named.select("sid", "comp"), "sid"), "held")
-        per = held.groupBy("h", "comp").agg(F.count("*").alias("k"))
-        split = kit.stored(per.groupBy("h").agg(F.max_by("comp", F.struct("k", "comp")).alias("most"), F.count("*").alias("comps")).filter("comps > 1").select("h", "most"), "split")
-        rest = held.join(split, "h").filter("comp != most")
-        more = rest.select("sid").distinct() if step else rest.groupBy("h").agg(F.min("sid").alias("sid")).select("sid").distinct()
-        more = kit.stored(more, "pivots")
-        if not more.take(1):
-            break
-        met = kit.stored(met.union(more), "met")
+    held = kit.stored(prefixes(sets, common), "held")
+    least = kit.stored(held.groupBy("h").agg(F.count("*").alias("k"), F.min("sid").alias("m")).filter("k > 1").select("h", "m"), "least")
+    pairs = kit.stored(held.join(least, "h").filter("sid != m").groupBy("sid").agg(F.min("m").alias("v")).select(F.col("sid").alias("u"), "v"), "pairs")
+    label = kit.stored(components(verified(sets, pairs)), "label")
+    for step in range(PAIR_ROUNDS + 1):
+        comp = kit.stored(sets.select("sid").join(label, "sid", "left").select("sid", F.coalesce("comp", "sid").alias("comp")), "comp")
+        named = kit.stored(held.join(comp, "sid"), "named")
+        some = F.min_by("sid", F.xxhash64("sid", F.lit(step))).alias("some")
+        per = named.groupBy("h", "comp").agg(F.count("*").alias("k"), some)
+        most = F.max_by(F.struct("comp", "some"), F.struct("k", "comp")).alias("most")
+        split = kit.stored(per.groupBy("h").agg(most, F.count("*").alias("comps")).filter("comps > 1").select("h", "most.*").withColumnRenamed("comp", "largest"), "split")
+        rest = named.join(split, "h").filter("comp != largest")
+        if step < PAIR_ROUNDS:
+            pairs = kit.stored(rest.groupBy("sid").agg(F.min_by("some", F.xxhash64("some", F.lit(step))).alias("v")).select(F.col("sid").alias("u"), "v"), "pairs")
+            new = verified(sets, pairs)
+        else:
+            new = links(sets, kit.stored(rest.select("sid").distinct(), "pivots"), (blocks - 1).bit_length(), blocks)
         known = label.select(F.col("sid").alias("u"), F.col("comp").alias("v"))
-        label = kit.stored(components(known.union(links(sets, more, bits, salts))), "label")
+        label = kit.stored(components(known.union(new)), "label")
     named = label.join(classes, "sid")
     least = kit.stored(named.groupBy("comp").agg(F.min("rep").alias("least")), "least")
     of = kit.stored(classes.join(label, "sid", "left").join(least, "comp", "left").select("sid", F.coalesce("least", "rep").alias("component_id")), "of")
