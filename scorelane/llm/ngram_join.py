@@ -17,7 +17,9 @@ is ever gathered whole:
    components, with a member of the largest: a few comparisons per set find nearly all
    components of near copies without forming pairs inside them.
 3. Product. All sets that still share a taken shingle with a larger component become
-   rows of a blocked product with all sets: blocks accumulate overlap counts (pairs
+   rows of a blocked product with all sets. While those rows are few enough they are
+   sent to the sets in blocks of PIVOT_SHINGLES and overlaps add up in place; beyond
+   MOST_PARTS blocks both sides are exchanged by hash range, blocks accumulate overlap counts (pairs
    whose sizes differ by more than a quarter are discarded unseen), and sums reaching
    100 * overlap >= 75 * union are links. After it no shingle is taken by sets of two
    components that have not been compared, so no link between components is missing.
@@ -32,6 +34,7 @@ a row each. An empty table gives no rows. Only the two named columns are read.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -46,6 +49,9 @@ MAX_BROADCAST = 1_000_000
 POSTINGS = 2_000_000
 SLOTS = 1 << 20
 PAIR_ROUNDS = 2
+#: Shingles of pivots that are sent to all sets at once, and how often; beyond, both sides are exchanged.
+PIVOT_SHINGLES = 1 << 21
+MOST_PARTS = 32
 #: Overlapping pairs that a product holds at a time.
 PAIRS = 1_000_000
 _C = kit.mixed(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -176,10 +182,22 @@ def shared_counts(rows: DataFrame, source: Callable, bits: int, whole: bool) ->
         ids, n = np.unique(hit[hit != 0], return_counts=True)
         ids = np.concatenate([ids, *(np.frombuffer(s, np.int64) for s, _ in ready)])
         n = np.concatenate([n, *(np.frombuffer(c, np.int64) for _, c in ready)])
-        return pa.table({"sid": ids.astype(np.int64), "n": n.astype(np.int64)})
+        group = ids & (groups - 1)
+        order = np.argsort(group, kind="stable")
+        edges = np.flatnonzero(np.diff(group[order], prepend=-1, append=-1))
+        ids, n = ids[order].astype(np.int64), n[order].astype(np.int64)
+        cut = [[c[i:e].tobytes() for i, e in zip(edges[:-1], edges[1:], strict=True)] for c in (ids, n)]
+        return pa.table({"group": group[order][edges[:-1]], "sids": pa.array(cut[0], pa.binary()), "ns": pa.array(cut[1], pa.binary())})
+
+    def summed(t: pa.Table) -> pa.Table:
+        ids, back = np.unique(np.frombuffer(b"".join(t["sids"].to_pylist()), np.int64), return_inverse=True)
+        n = np.bincount(back, np.frombuffer(b"".join(t["ns"].to_pylist()), np.int64), len(ids))
+        return pa.table({"sid": ids, "shared": n.astype(np.int64)})
 
+    groups = 1 << bits
     blocks = rows.mapInArrow(postings, "block long, h binary, s binary, c binary")
-    return blocks.groupBy("block").applyInArrow(counted, "sid long, n long").groupBy("sid").agg(F.sum("n").alias("shared"))
+    partial = blocks.groupBy("block").applyInArrow(counted, "group long, sids binary, ns binary")
+    return partial.groupBy("group").applyInArrow(summed, "sid long, shared long")
 
 
 def sets_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -318,6 +336,47 @@ def links(sets: DataFrame, pivots: DataFrame, bits: int, groups: int) -> DataFra
     return partial.groupBy("group").applyInArrow(summed, "u long, v long")
 
 
+def links_near(sets: DataFrame, pivots: DataFrame, total: int) -> DataFrame:
+    """links() without an exchange: row blocks of pivots go to the sets, whose overlaps sum up where they lie."""
+    own = kit.stored(sets.join(pivots, "sid", "left_semi"), "pivots")
+    parts = max(1, -(-total // PIVOT_SHINGLES))
+    found = []
+    for part in range(parts):
+        rows = own.filter(F.pmod(F.xxhash64("sid"), F.lit(parts)) == part).collect()
+        psids = np.array([r["sid"] for r in rows], np.int64)
+        pns = np.array([r["n"] for r in rows], np.int64)
+        ph = np.frombuffer(b"".join(bytes(r["members"]) for r in rows), np.uint64)
+        order = np.argsort(ph, kind="stable")
+        ph, owner = ph[order], np.repeat(np.arange(len(rows), dtype=np.int32), pns)[order]
+
+        def run(batches: Iterator[pa.RecordBatch], psids=psids, pns=pns, ph=ph, owner=owner) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                step = max(1, 2 * PAIRS // max(len(psids), 1))
+                for lo in range(0, b.num_rows, step):
+                    p = b.slice(lo, step)
+                    sids, ns = p.column(0).to_numpy(), p.column(1).to_numpy()
+                    h = np.frombuffer(b"".join(p.column(2).to_pylist()), np.uint64)
+                    d = np.repeat(np.arange(len(ns)), ns)
+                    first = np.searchsorted(ph, h, "left")
+                    count = np.searchsorted(ph, h, "right") - first
+                    some = np.flatnonzero(count)
+                    first, count, d = first[some], count[some], d[some]
+                    ends, a = np.cumsum(count), 0
+                    o = np.zeros(len(ns) * len(psids), np.int64)
+                    while a < len(some):
+                        e = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PAIRS, "right")))
+                        o += np.bincount(np.repeat(d[a:e], count[a:e]) * len(psids) + owner[_ranges(first[a:e], count[a:e])], minlength=len(o))
+                        a = e
+                    at = np.flatnonzero(o)
+                    x, y = at // len(psids), at % len(psids)
+                    linked = (100 * o[at] >= 75 * (ns[x] + pns[y] - o[at])) & (sids[x] != psids[y])
+                    yield pa.RecordBatch.from_arrays([pa.array(psids[y[linked]]), pa.array(sids[x[linked]])], ["u", "v"])
+
+        if rows:
+            found.append(kit.stored(sets.select("sid", "n", "members").mapInArrow(run, "u long, v long"), "links"))
+    return functools.reduce(DataFrame.union, found) if found else own.select(F.col("sid").alias("u"), F.col("sid").alias("v")).limit(0)
+
+
 def verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs(u, v) that link."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -383,7 +442,10 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             pairs = kit.stored(rest.groupBy("sid").agg(F.min_by("some", F.xxhash64("some", F.lit(step))).alias("v")).select(F.col("sid").alias("u"), "v"), "pairs")
             new = verified(sets, pairs)
         else:
-            new = links(sets, kit.stored(rest.select("sid").distinct(), "pivots"), (blocks - 1).bit_length(), blocks)
+            pivots = kit.stored(rest.select("sid").distinct(), "pivots")
+            total = sets.join(pivots, "sid", "left_semi").agg(F.sum("n")).first()[0] or 0
+            near = total <= MOST_PARTS * PIVOT_SHINGLES
+            new = links_near(sets, pivots, total) if near else links(sets, pivots, (blocks - 1).bit_length(), blocks)
         known = label.select(F.col("sid").alias("u"), F.col("comp").alias("v"))
         label = kit.stored(components(known.union(new)), "label")
     named = label.join(classes, "sid")
