@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scorelane.llm import decontam, langid, ngram_join, packing, pages, quality, rules, shards
+from scorelane.llm import codec, decontam, langid, maxent, ngram_join, packing, pages, quality, rules, shards
 from scorelane.llm.kit import table
 
 
@@ -42,6 +42,14 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op9_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.scored(table(spark, sf_dir, "documents"))
+
+
+def op10_range_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codec.read_back(codec.written(table(spark, sf_dir, "documents")))
+
+
 _ALL = [f for name, f in list(globals().items()) if name.startswith("op")]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 ORACLES: dict[str, str] = {"op6_decontamination": decontam.ORACLE}
