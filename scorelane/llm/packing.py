@@ -16,6 +16,7 @@ often as they occur, null ids are carried. An empty table gives no rows.
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -44,29 +45,36 @@ class Encoder:
 
     A byte-level vocabulary encodes each piece of its splitting pattern by itself, so the
     library is asked once per distinct piece and a text's ids are looked up. Texts that
-    hold a special token's string go to the library whole. The memory is emptied when it
-    has WORDS_KEPT words.
+    hold a special token's string go to the library whole. The memory keeps the words
+    used since it last had WORDS_KEPT, and those of the turn before.
     """
 
-    #: Fixed value: the splitting pattern of byte-level vocabularies.
-    PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+    #: Fixed value: the splitting pattern of byte-level vocabularies; and the same for ASCII texts.
+    PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
+    ASCII_PIECES = re.compile(r" ?[a-zA-Z]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\sa-zA-Z0-9]+|\s+(?!\S)|\s+", re.ASCII)
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's begin (one more edge at the end)."""
-        split = [[] if not t or any(s in t for s in self.special) else self.PIECES.findall(t) for t in texts]
+        split = [[] if not t or any(s in t for s in self.special) else (self.ASCII_PIECES if t.isascii() else self.PIECES).findall(t) for t in texts]
         if len(self.known) > WORDS_KEPT:
-            self.known.clear()
-        new = list(set().union(*split).difference(self.known))
+            self.known, self.older = {}, self.known
+        new = []
+        for word in set().union(*split).difference(self.known):
+            if (was := self.older.get(word)) is not None:
+                self.known[word] = was
+            else:
+                new.append(word)
         for lo in range(0, len(new), 10_000):
             part = new[lo : lo + 10_000]
             for word, got in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
