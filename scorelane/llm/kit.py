@@ -24,6 +24,7 @@ CHUNK_BYTES = 2 << 20
 DEFAULT_SHARED = "file:///tmp/checkpoints/scorelane"
 _written: list[tuple[SparkSession, str]] = []
 _shipped: set[str] = set()
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ship(spark: SparkSession) -> None:
@@ -53,9 +54,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read again: lineage ends there."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/scorelane-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")  # the table stands for the exchanges that made it; their files go
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     _written.append((spark, path.rpartition("/")[0]))
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._stored_at = path.rpartition("/")[0]
+    return back
+
+
+def release(*frames: DataFrame) -> None:
+    """Removes tables of stored() that nothing reads any more: all that came of them is stored itself."""
+    for df in frames:
+        entry = (df.sparkSession, df._stored_at)
+        if entry in _written:
+            _written.remove(entry)
+            _remove(*entry)
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -339,7 +339,7 @@ def links(sets: DataFrame, pivots: DataFrame, bits: int, groups: int) -> DataFra
 def links_near(sets: DataFrame, pivots: DataFrame, total: int) -> DataFrame:
     """links() without an exchange: row blocks of pivots go to the sets, whose overlaps sum up where they lie."""
     own = kit.stored(sets.join(pivots, "sid", "left_semi"), "pivots")
-    parts = max(1, -(-total // PIVOT_SHINGLES))
+    parts = -(-total // PIVOT_SHINGLES)
     found = []
     for part in range(parts):
         rows = own.filter(F.pmod(F.xxhash64("sid"), F.lit(parts)) == part).collect()
@@ -392,19 +392,28 @@ def verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """sid, comp: the least node reachable over edges(u, v), for nodes that have any; star contraction."""
+    """sid, comp: the least node reachable over edges(u, v), for nodes that have any; star contraction.
+
+    It ends when a round leaves the edges as they were, by their number and two sums of hashes.
+    """
     edges = kit.stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct(), "edges")
+    state = None
     while True:
-        both = kit.stored(edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))), "both")
-        least = kit.stored(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "least")
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m"))
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         large = kit.stored(large.filter("u != v").distinct(), "large")
-        least = kit.stored(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         after = kit.stored(small.filter("u != v").distinct(), "edges")
-        if after.count() == edges.count() and not after.join(edges, ["u", "v"], "left_anti").take(1):
-            return after.select(F.col("u").alias("sid"), F.col("v").alias("comp")).union(after.select(F.col("v").alias("sid"), F.col("v").alias("comp")).distinct())
-        edges = after
+        kit.release(edges, large)
+        sums = [F.sum(F.xxhash64("u", "v", F.lit(k)).cast("decimal(38,0)")) for k in range(2)]
+        edges, before, state = after, state, after.agg(F.count("*"), *sums).first()
+        if state == before:
+            named = edges.select(F.col("u").alias("sid"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("sid"), F.col("v").alias("comp")).distinct())
+            found = kit.stored(named, "label")
+            kit.release(edges)
+            return found
 
 
 def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -419,27 +428,30 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     alive = shared_counts(docs, _of_texts, bits, False).join(classes, "sid").filter(F.col("shared") >= bound).filter(F.col("rep").isNotNull())
     alive = kit.stored(alive.select("sid", "rep"), "alive")
     every = kit.stored(sets_of(docs, alive), "sets")
+    kit.release(alive)
     total = every.agg(F.sum("n")).first()[0] or 0
     bits = max(1, (kit.blocks_for(total, POSTINGS, 16, spark) * 2 - 1).bit_length())
     shared = shared_counts(every, _of_sets, bits, True)
     sets = kit.stored(every.join(shared, "sid").filter(4 * F.col("shared") >= 3 * F.col("n")).select("sid", "n", "members"), "sets")
+    kit.release(every)
     size = sets.agg(F.count("*").alias("sets"), F.sum("n").alias("n")).first()
     blocks = max(64, -(-(size["n"] or 0) // POSTINGS))
     common = commonness(sets)
     held = kit.stored(prefixes(sets, common), "held")
-    least = kit.stored(held.groupBy("h").agg(F.count("*").alias("k"), F.min("sid").alias("m")).filter("k > 1").select("h", "m"), "least")
-    pairs = kit.stored(held.join(least, "h").filter("sid != m").groupBy("sid").agg(F.min("m").alias("v")).select(F.col("sid").alias("u"), "v"), "pairs")
-    label = kit.stored(components(verified(sets, pairs)), "label")
+    least = held.groupBy("h").agg(F.count("*").alias("k"), F.min("sid").alias("m")).filter("k > 1").select("h", "m")
+    pairs = held.join(least, "h").filter("sid != m").groupBy("sid").agg(F.min("m").alias("v")).select(F.col("sid").alias("u"), "v")
+    label = components(verified(sets, pairs))
     for step in range(PAIR_ROUNDS + 1):
-        comp = kit.stored(sets.select("sid").join(label, "sid", "left").select("sid", F.coalesce("comp", "sid").alias("comp")), "comp")
-        named = kit.stored(held.join(comp, "sid"), "named")
+        named = kit.stored(held.join(label, "sid", "left").select("h", "sid", F.coalesce("comp", "sid").alias("comp")), "named")
         some = F.min_by("sid", F.xxhash64("sid", F.lit(step))).alias("some")
         per = named.groupBy("h", "comp").agg(F.count("*").alias("k"), some)
         most = F.max_by(F.struct("comp", "some"), F.struct("k", "comp")).alias("most")
         split = kit.stored(per.groupBy("h").agg(most, F.count("*").alias("comps")).filter("comps > 1").select("h", "most.*").withColumnRenamed("comp", "largest"), "split")
+        if split.isEmpty():  # every shingle is held by one component
+            break
         rest = named.join(split, "h").filter("comp != largest")
         if step < PAIR_ROUNDS:
-            pairs = kit.stored(rest.groupBy("sid").agg(F.min_by("some", F.xxhash64("some", F.lit(step))).alias("v")).select(F.col("sid").alias("u"), "v"), "pairs")
+            pairs = rest.groupBy("sid").agg(F.min_by("some", F.xxhash64("some", F.lit(step))).alias("v")).select(F.col("sid").alias("u"), "v")
             new = verified(sets, pairs)
         else:
             pivots = kit.stored(rest.select("sid").distinct(), "pivots")
@@ -447,10 +459,13 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             near = total <= MOST_PARTS * PIVOT_SHINGLES
             new = links_near(sets, pivots, total) if near else links(sets, pivots, (blocks - 1).bit_length(), blocks)
         known = label.select(F.col("sid").alias("u"), F.col("comp").alias("v"))
-        label = kit.stored(components(known.union(new)), "label")
+        old, label = label, components(known.union(new))
+        kit.release(old, named, split)
+    kit.release(held, sets)
     named = label.join(classes, "sid")
     least = kit.stored(named.groupBy("comp").agg(F.min("rep").alias("least")), "least")
     of = kit.stored(classes.join(label, "sid", "left").join(least, "comp", "left").select("sid", F.coalesce("least", "rep").alias("component_id")), "of")
+    kit.release(label, least, classes)
     joined = rows.join(of, "sid", "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sid") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
