@@ -109,3 +109,35 @@ def operating_points(preds: DataFrame, thresholds: DataFrame) -> DataFrame:
     g = preds.crossJoin(F.broadcast(thresholds)).groupBy("threshold").agg(c(flag & (F.col("y") == 1)).alias("tp"), c(flag & (F.col("y") == 0)).alias("fp"), c(~flag & (F.col("y") == 1)).alias("fn"), c(~flag & (F.col("y") == 0)).alias("tn"))
     tp, fp, fn, tn = (F.col(k) for k in ("tp", "fp", "fn", "tn"))
     return g.select("threshold", "tp", "fp", "fn", "tn", *[F.round(safe_ratio(a, b), 6).alias(n) for n, a, b in (("flag_rate", tp + fp, tp + fp + fn + tn), ("precision", tp, tp + fp), ("recall", tp, tp + fn), ("fpr", fp, fp + tn), ("f1", 2 * tp, 2 * tp + fp + fn))])
+
+
+def psi_from_quantiles(stored: DataFrame, current: DataFrame, bins: int = 10, epsilon: float = 1e-6) -> DataFrame:
+    """PSI of current(x) against one row of stored(q), the reference's quantiles at even levels.
+
+    A bin expects the levels between its edges' first places in q, so a tied block counts whole.
+    Null where either side is empty, 0 with fewer than two bins.
+    """
+    last = F.size("q") - 1
+    places = F.transform(F.sequence(F.lit(0), F.lit(bins)), lambda i: F.element_at("q", (F.round(i * last / bins) + 1).cast("int")))
+    edges = stored.select("q", F.array_sort(F.array_distinct(places)).alias("e"))
+    inner = edges.select(F.slice("e", 2, F.greatest(F.size("e") - 2, F.lit(0))).alias("inner"))
+    seen = current.filter("x is not null and not isnan(x)").join(F.broadcast(inner))
+    seen = seen.groupBy(F.size(F.filter("inner", lambda v: v <= F.col("x"))).alias("bin")).agg(F.count("*").alias("c"))
+    below = lambda i: (F.array_position(F.col("q"), F.element_at("e", i)) - 1) / last
+    final = F.greatest(F.size("e") - 2, F.lit(0))
+    ranges = edges.select("q", "e", F.explode(F.sequence(F.lit(0), final)).alias("bin"))
+    lo = F.when(F.col("bin") == 0, 0.0).otherwise(below(F.col("bin") + 1))
+    hi = F.when(F.col("bin") == final, 1.0).otherwise(below(F.col("bin") + 2))
+    each = ranges.select("bin", (hi - lo).alias("p")).join(seen, "bin", "left").select("p", F.coalesce("c", F.lit(0)).alias("c"))
+    total = each.agg(F.sum("c").alias("total"))
+    p, a = F.greatest("p", F.lit(epsilon)), F.greatest(F.col("c") / F.col("total"), F.lit(epsilon))
+    return each.join(F.broadcast(total)).filter("total > 0").agg(F.round(F.sum((a - p) * F.ln(a / p)), 6).alias("psi"))
+
+
+def at_thresholds(preds: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Flag rate, precision and recall at each of a few cuts(source, threshold)."""
+    flagged = (F.col("s") >= F.col("threshold")).cast("int")
+    rows = preds.join(F.broadcast(cuts)).withColumn("flag", flagged)
+    hits = F.sum(F.col("flag") * F.col("y"))
+    share = lambda a, b: F.round(F.when(b > 0, a / b), 6)
+    return rows.groupBy("source", "threshold").agg(F.round(F.avg("flag"), 6).alias("flag_rate"), share(hits, F.sum("flag")).alias("precision"), share(hits, F.sum("y")).alias("recall"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scorelane.functions import clipped, epoch_days, lenient_number, safe_ratio
 from scorelane.operators import encode, metrics
+from scorelane.sources import read_table, scratch_dir, write_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -561,3 +562,73 @@ def paired_t_statistic(spark, d):
 def class_weights(spark, d):
     p, n = F.sum("y"), F.sum(1 - F.col("y"))
     return preds(spark, d).agg(r6(safe_ratio(F.count("*"), 2 * p)).alias("weight_pos"), r6(safe_ratio(F.count("*"), 2 * n)).alias("weight_neg"), r6(safe_ratio(n, p)).alias("scale_pos_weight"))
+
+
+# --- sources, stored predictions and reference levels -----------------------------------
+
+@query("SELECT event_id, event_type, value FROM events")
+def scan_csv_roundtrip(spark, d):
+    path = f"{scratch_dir(spark)}/events_csv"
+    events = t(spark, d, "events").select("event_id", "event_type", "value")
+    write_table(events, path)
+    return spark.read.schema(events.schema).option("header", "true").csv(path)
+
+
+@query(f"WITH {PREDS} SELECT row_id, y, s, CASE WHEN fold = 4 THEN 'holdout' ELSE 'cv' END AS stage, 'm' || (row_id % 2) AS model FROM preds")
+def pred_store_roundtrip(spark, d):
+    path = f"{scratch_dir(spark)}/preds.parquet"
+    stage = F.when(F.col("fold") == 4, "holdout").otherwise("cv").alias("stage")
+    model = F.concat(F.lit("m"), (F.col("row_id") % 2).cast("string")).alias("model")
+    write_table(preds(spark, d).select("row_id", "y", "s", stage, model), path, ("stage", "model"))
+    return read_table(spark, path)
+
+
+def hash_ranked(df: DataFrame, id_col: str, *keys: str) -> DataFrame:
+    """rank of each row by md5 of its id within keys, and n, how many there are.
+
+    Ranks are taken inside 4,096 buckets of the hash and shifted by the counts of the
+    buckets before, so no task has to hold a whole class.
+    """
+    hashed = df.withColumn("h", F.md5(F.col(id_col).cast("string").cast("binary"))).withColumn("b", F.substring("h", 1, 3))
+    counts = hashed.groupBy(*keys, "b").agg(F.count("*").alias("c"))
+    before = F.sum("c").over(Window.partitionBy(*keys).orderBy("b")) - F.col("c")
+    counts = counts.select(*keys, "b", before.alias("before"), F.sum("c").over(Window.partitionBy(*keys)).alias("n"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "b").orderBy("h", id_col))
+    return hashed.withColumn("inside", inside).join(counts, [*keys, "b"]).withColumn("rank", F.col("inside") + F.col("before"))
+
+
+@query(f"WITH {PREDS}, r AS (SELECT row_id, y, row_number() OVER (PARTITION BY y ORDER BY md5(CAST(row_id AS VARCHAR)), row_id) AS r, count(*) OVER (PARTITION BY y) AS n FROM preds) SELECT row_id, y, CASE WHEN r <= round(n * 0.25e0) THEN 'holdout' ELSE 'train' END AS part FROM r")
+def split_random_stratified(spark, d):
+    part = F.when(F.col("rank") <= F.round(F.col("n") * 0.25), "holdout").otherwise("train")
+    return hash_ranked(preds(spark, d).select("row_id", "y"), "row_id", "y").select("row_id", "y", part.alias("part"))
+
+
+@query(f"WITH {ORD}, gr AS (SELECT DISTINCT g FROM ord), k AS (SELECT g, row_number() OVER (ORDER BY md5(CAST(g AS VARCHAR)), g) <= ceil(count(*) OVER () * 0.25e0) AS out FROM gr) SELECT id, CASE WHEN out THEN 'holdout' ELSE 'train' END AS part FROM ord JOIN k USING (g)")
+def split_group(spark, d):
+    o = ord_(spark, d)
+    out = F.col("rank") <= F.ceil(F.col("n") * 0.25)
+    return o.join(hash_ranked(o.select("g").distinct(), "g").select("g", out.alias("out")), "g").select("id", F.when(F.col("out"), "holdout").otherwise("train").alias("part"))
+
+
+_LEVELS = [i / 100 for i in range(101)]
+
+
+@query(f"""WITH q AS (SELECT quantile_cont(value, {_LEVELS}) AS q FROM events WHERE ts < TIMESTAMP '2024-01-16'),
+e AS (SELECT q, list_sort(list_distinct([q[i * 10 + 1] FOR i IN range(0, 11)])) AS e FROM q),
+b AS (SELECT unnest(range(0, len(e) - 1)) AS bin, q, e FROM e),
+x AS (SELECT bin, CASE WHEN bin = 0 THEN 0e0 ELSE (list_position(q, e[bin + 1]) - 1) / 100e0 END AS lo, CASE WHEN bin = len(e) - 2 THEN 1e0 ELSE (list_position(q, e[bin + 2]) - 1) / 100e0 END AS hi FROM b),
+o AS (SELECT len([v FOR v IN e[2:len(e) - 1] IF v <= value]) AS bin, count(*) AS c FROM events, e WHERE ts >= TIMESTAMP '2024-01-16' GROUP BY 1),
+f AS (SELECT greatest(hi - lo, 1e-6) AS p, greatest(coalesce(c, 0) / (SELECT sum(c) FROM o), 1e-6) AS a FROM x LEFT JOIN o USING (bin))
+SELECT round(sum((a - p) * ln(a / p)), 6) AS psi FROM f""")
+def psi_from_quantiles(spark, d):
+    x = t(spark, d, "events").select(F.col("value").alias("x"), F.col("ts").cast("timestamp").alias("ts"))
+    stored = x.filter("ts < '2024-01-16'").agg(F.percentile("x", F.array(*map(F.lit, _LEVELS))).alias("q"))
+    return metrics.psi_from_quantiles(stored, x.filter("ts >= '2024-01-16'"))
+
+
+@query(ROC + ", th AS (SELECT 'fpr' AS source, round(th + (0.05 - f) / (hf - f) * (hth - th), 6) AS threshold FROM lo, hi UNION ALL SELECT 'top_pct', round(quantile_cont(s, 0.95), 6) FROM preds) SELECT source, threshold, round(avg(CAST(s >= threshold AS INT)), 6) AS flag_rate, round(sum(CASE WHEN s >= threshold THEN y END) / nullif(count(*) FILTER (s >= threshold), 0), 6) AS precision, round(sum(CASE WHEN s >= threshold THEN y ELSE 0 END) / sum(y), 6) AS recall FROM preds, th GROUP BY ALL")
+def implied_thresholds(spark, d):
+    p = preds(spark, d)
+    top = p.agg(F.round(F.percentile("s", 0.95), 6).alias("threshold")).select(F.lit("top_pct").alias("source"), "threshold")
+    fpr = metrics.at_fpr(p, 0.05).select(F.lit("fpr").alias("source"), F.col("threshold_at_fpr").alias("threshold"))
+    return metrics.at_thresholds(p, fpr.unionByName(top))

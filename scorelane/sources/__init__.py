@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -22,3 +24,9 @@ def ordered_source(spark: SparkSession, query: str, order_by: str) -> DataFrame:
     if not order_by:
         raise ValueError("order_by is needed: rows of a table have no order")
     return spark.sql(query).orderBy(order_by)
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder in the shared place the session names; a local one where it names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return f"{(named or 'file:///tmp/checkpoints').rstrip('/')}/scratch-{uuid.uuid4().hex}"

@@ -54,3 +54,12 @@ def test_five_rows_make_five_bands(spark):
 def test_no_frequent_level_keeps_the_top_one(spark):
     rows = spark.createDataFrame([(x,) for x in "aabcd"], "c string")
     assert [r["level"] for r in encode.kept_levels(rows, "c", 0.9).collect()] == ["a"]
+
+
+def test_psi_from_quantiles_of_ties_constants_and_nothing(spark):
+    tied = spark.createDataFrame([([0.0] * 51 + [i / 50 for i in range(1, 51)],)], "q array<double>")
+    same = spark.createDataFrame([(0.0,)] * 50 + [(i / 50 + 0.001,) for i in range(1, 51)], "x double")
+    assert metrics.psi_from_quantiles(tied, same).first()["psi"] < 0.05
+    constant = spark.createDataFrame([([1.0] * 101,)], "q array<double>")
+    assert metrics.psi_from_quantiles(constant, same).first()["psi"] == 0
+    assert metrics.psi_from_quantiles(tied, same.limit(0)).first()["psi"] is None
