@@ -16,8 +16,10 @@ often as they occur, null ids are carried. An empty table gives no rows.
 from __future__ import annotations
 
 import functools
+import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,6 +56,7 @@ class Encoder:
     ASCII_PIECES = re.compile(r" ?[a-zA-Z]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\sa-zA-Z0-9]+|\s+(?!\S)|\s+", re.ASCII)
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -66,11 +69,28 @@ class Encoder:
 
     def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's begin (one more edge at the end)."""
-        split = [[] if not t or any(s in t for s in self.special) else (self.ASCII_PIECES if t.isascii() else self.PIECES).findall(t) for t in texts]
         if len(self.known) > WORDS_KEPT:
             self.known, self.older = {}, self.known
+        known = self.known.__getitem__
+        ids = []
+        for t in texts:
+            if not t:
+                ids.append(b"")
+            elif any(s in t for s in self.special):
+                ids.append(self.whole(t).tobytes())
+            else:
+                pieces = (self.ASCII_PIECES if t.isascii() else self.PIECES).findall(t)
+                try:
+                    ids.append(b"".join(map(known, pieces)))
+                except KeyError:
+                    self.learn(set(pieces).difference(self.known))
+                    ids.append(b"".join(map(known, pieces)))
+        edges = np.concatenate([[0], np.cumsum([len(x) >> 2 for x in ids])]).astype(np.int64)
+        return np.frombuffer(b"".join(ids), np.uint32), edges
+
+    def learn(self, words: set[str]) -> None:
         new = []
-        for word in set().union(*split).difference(self.known):
+        for word in words:
             if (was := self.older.get(word)) is not None:
                 self.known[word] = was
             else:
@@ -78,11 +98,7 @@ class Encoder:
         for lo in range(0, len(new), 10_000):
             part = new[lo : lo + 10_000]
             for word, got in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(got.ids, np.uint32).tobytes()
-        known = self.known
-        ids = [self.whole(t).tobytes() if t and not p else b"".join([known[w] for w in p]) for t, p in zip(texts, split, strict=True)]
-        edges = np.concatenate([[0], np.cumsum([len(x) >> 2 for x in ids])]).astype(np.int64)
-        return np.frombuffer(b"".join(ids), np.uint32), edges
+                self.known[word] = array("I", got.ids).tobytes()
 
 
 @functools.cache
