@@ -144,8 +144,12 @@ def _of_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np
             yield p.column(0).to_numpy(), np.frombuffer(b"".join(p.column(2).to_pylist()), np.uint64), np.concatenate([[0], np.cumsum(p.column(1).to_numpy())])
 
 
-def shared_counts(rows: DataFrame, source: Callable, bits: int, whole: bool) -> DataFrame:
-    """sid, shared: how many shingles of a set (whole, or its prefix) occur in another set's too."""
+def shared_counts(rows: DataFrame, source: Callable, bits: int, total: int, whole: bool) -> DataFrame:
+    """sid, shared: how many shingles of a set (whole, or its prefix) occur in another set's too.
+
+    Counts of a block meet those of the others in groups of sets, sized by the total of
+    shingles: more blocks than their number asks for (a wide session) make no more groups.
+    """
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for sids, values, where in source(batches):
             if not len(sids):
@@ -194,7 +198,7 @@ def shared_counts(rows: DataFrame, source: Callable, bits: int, whole: bool) ->
         n = np.bincount(back, np.frombuffer(b"".join(t["ns"].to_pylist()), np.int64), len(ids))
         return pa.table({"sid": ids, "shared": n.astype(np.int64)})
 
-    groups = 1 << bits
+    groups = 1 << max(6, (total // POSTINGS).bit_length())
     blocks = rows.mapInArrow(postings, "block long, h binary, s binary, c binary")
     partial = blocks.groupBy("block").applyInArrow(counted, "group long, sids binary, ns binary")
     return partial.groupBy("group").applyInArrow(summed, "sid long, shared long")
@@ -425,13 +429,13 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     bits = max(1, (kit.blocks_for(total, POSTINGS, 16, spark) * 2 - 1).bit_length())
     classes = kit.stored(rows.filter("sid != 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes")
     bound = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * 3 / 4) / 8))
-    alive = shared_counts(docs, _of_texts, bits, False).join(classes, "sid").filter(F.col("shared") >= bound).filter(F.col("rep").isNotNull())
+    alive = shared_counts(docs, _of_texts, bits, total, False).join(classes, "sid").filter(F.col("shared") >= bound).filter(F.col("rep").isNotNull())
     alive = kit.stored(alive.select("sid", "rep"), "alive")
     every = kit.stored(sets_of(docs, alive), "sets")
     kit.release(alive)
     total = every.agg(F.sum("n")).first()[0] or 0
     bits = max(1, (kit.blocks_for(total, POSTINGS, 16, spark) * 2 - 1).bit_length())
-    shared = shared_counts(every, _of_sets, bits, True)
+    shared = shared_counts(every, _of_sets, bits, total, True)
     sets = kit.stored(every.join(shared, "sid").filter(4 * F.col("shared") >= 3 * F.col("n")).select("sid", "n", "members"), "sets")
     kit.release(every)
     size = sets.agg(F.count("*").alias("sets"), F.sum("n").alias("n")).first()
