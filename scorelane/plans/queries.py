@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scorelane.functions import clipped, epoch_days, lenient_number, safe_ratio
-from scorelane.operators import encode, metrics
+from scorelane.operators import encode, metrics, models
 from scorelane.sources import read_table, scratch_dir, write_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -632,3 +632,112 @@ def implied_thresholds(spark, d):
     top = p.agg(F.round(F.percentile("s", 0.95), 6).alias("threshold")).select(F.lit("top_pct").alias("source"), "threshold")
     fpr = metrics.at_fpr(p, 0.05).select(F.lit("fpr").alias("source"), F.col("threshold_at_fpr").alias("threshold"))
     return metrics.at_thresholds(p, fpr.unionByName(top))
+
+
+# --- orderings and stability of selections ----------------------------------------------
+
+_PARTS = "parts AS (SELECT 'event_type' AS variable, event_type AS level, CAST(event_type IN ('purchase','error') AND value > 40 AS INT) AS y FROM events UNION ALL SELECT 'user', CAST(user_id % 7 AS VARCHAR), CAST(event_type IN ('purchase','error') AND value > 40 AS INT) FROM events UNION ALL SELECT 'hour', CAST(hour(ts) AS VARCHAR), CAST(event_type IN ('purchase','error') AND value > 40 AS INT) FROM events)"
+
+
+@query(f"WITH {_PARTS}, k AS (SELECT variable, level, count(*) AS n, sum(y) AS pos FROM parts GROUP BY ALL), w AS (SELECT variable, (pos + 0.5e0) / (sum(pos) OVER v + 0.5e0 * count(*) OVER v) AS p, (n - pos + 0.5e0) / (sum(n - pos) OVER v + 0.5e0 * count(*) OVER v) AS q FROM k WINDOW v AS (PARTITION BY variable)), i AS (SELECT variable, round(sum((p - q) * least(4.0e0, greatest(-4.0e0, ln(p / q)))), 6) AS iv FROM w GROUP BY variable) SELECT variable, iv, CAST(row_number() OVER (ORDER BY iv DESC, variable) AS INT) AS rank FROM i")
+def ordering_iv(spark, d):
+    e = t(spark, d, "events")
+    y = (F.col("event_type").isin("purchase", "error") & (F.col("value") > 40)).cast("int")
+    levels = {"event_type": F.col("event_type"), "user": (F.col("user_id") % 7).cast("string"), "hour": F.hour(F.col("ts").cast("timestamp")).cast("string")}
+    rows = e.select(y.alias("y"), F.explode(F.create_map(*[x for k, v in levels.items() for x in (F.lit(k), v)])).alias("variable", "level"))
+    v = Window.partitionBy("variable")
+    k = rows.groupBy("variable", "level").agg(F.count("*").alias("n"), F.sum("y").alias("pos"))
+    share = lambda c: (c + 0.5) / (F.sum(c).over(v) + 0.5 * F.count("*").over(v))
+    w = k.select("variable", share(F.col("pos")).alias("p"), share(F.col("n") - F.col("pos")).alias("q"))
+    bounded = F.least(F.lit(4.0), F.greatest(F.lit(-4.0), F.log(F.col("p") / F.col("q"))))
+    iv = w.groupBy("variable").agg(r6(F.sum((F.col("p") - F.col("q")) * bounded)).alias("iv"))
+    return iv.select("variable", "iv", F.row_number().over(Window.orderBy(F.desc("iv"), "variable")).alias("rank"))
+
+
+RANKS = "ranks AS (SELECT m.m AS model, f.f AS fold, v.v AS variable, row_number() OVER (PARTITION BY m.m, f.f ORDER BY (v.v * 37 + f.f * 11 * (v.v % 3) + m.m * 5) % 29, v.v) AS r FROM range(0, 2) m(m), range(0, 5) f(f), range(0, 8) v(v))"
+
+
+def ranks(spark: SparkSession) -> DataFrame:
+    """Rank of each of eight variables by model and fold, by arithmetic."""
+    g = spark.range(80).select((F.col("id") % 2).alias("model"), (F.floor(F.col("id") / 2) % 5).alias("fold"), F.floor(F.col("id") / 10).alias("variable"))
+    key = (F.col("variable") * 37 + F.col("fold") * 11 * (F.col("variable") % 3) + F.col("model") * 5) % 29
+    return g.withColumn("r", F.row_number().over(Window.partitionBy("model", "fold").orderBy(key, "variable")))
+
+
+@query(f"WITH {RANKS} SELECT model, variable, round(count(*) FILTER (r <= 3) / count(*), 6) AS share FROM ranks GROUP BY ALL HAVING count(*) FILTER (r <= 3) > 0")
+def selection_stability(spark, d):
+    return ranks(spark).groupBy("model", "variable").agg(r6(F.count(F.when(F.col("r") <= 3, 1)) / F.count("*")).alias("share")).filter("share > 0")
+
+
+@query(f"WITH {RANKS}, p AS (SELECT a.model, a.fold AS f1, b.fold AS f2, corr(a.r, b.r) AS rho, CAST(bool_or(a.r = 1 AND b.r = 1) AS INT) AS top1, count(*) FILTER (a.r <= 5 AND b.r <= 5) AS both5 FROM ranks a JOIN ranks b ON a.model = b.model AND a.variable = b.variable AND a.fold < b.fold GROUP BY ALL) SELECT model, round(avg(rho), 6) AS spearman, round(avg(top1), 6) AS top1, round(avg(both5 / (10e0 - both5)), 6) AS top5_jaccard FROM p GROUP BY model")
+def ordering_agreement(spark, d):
+    a = ranks(spark)
+    b = a.select("model", "variable", F.col("fold").alias("fold2"), F.col("r").alias("r2"))
+    both5 = F.count(F.when((F.col("r") <= 5) & (F.col("r2") <= 5), 1))
+    p = a.join(b, ["model", "variable"]).filter("fold < fold2").groupBy("model", "fold", "fold2").agg(F.corr("r", "r2").alias("rho"), F.max(((F.col("r") == 1) & (F.col("r2") == 1)).cast("int")).alias("top1"), both5.alias("both5"))
+    return p.groupBy("model").agg(r6(F.avg("rho")).alias("spearman"), r6(F.avg("top1")).alias("top1"), r6(F.avg(F.col("both5") / (10.0 - F.col("both5")))).alias("top5_jaccard"))
+
+
+@query(f"WITH {GAINS}, g AS (SELECT model, k, round(avg(delta), 9) AS m FROM dl WHERE delta IS NOT NULL GROUP BY ALL) SELECT model, min(k) AS first_k FROM g WHERE m <= 0 GROUP BY model")
+def first_non_improving_k(spark, d):
+    return deltas(spark).groupBy("model", "k").agg(F.round(F.avg("delta"), 9).alias("m")).filter("m <= 0").groupBy("model").agg(F.min("k").alias("first_k"))
+
+
+# --- fits: rows only, SQL has none -------------------------------------------------------
+
+PANEL = ["value", "log_value", "hour", "user"]
+
+
+def panel(spark: SparkSession, d: str) -> DataFrame:
+    """id, y, fold and four variables of events, near unit scale."""
+    y = (F.col("event_type").isin("purchase", "error") & (F.col("value") > 40)).cast("int")
+    e = t(spark, d, "events")
+    return e.select(F.col("event_id").alias("id"), y.alias("y"), (F.col("event_id") % 3).alias("fold"), (F.col("value") / 100).alias("value"), F.log1p("value").alias("log_value"), (F.hour(F.col("ts").cast("timestamp")) / 24).alias("hour"), ((F.col("user_id") % 7) / 7).alias("user"))
+
+
+@query(None)
+def fit_logistic(spark, d):
+    model = models.fit(panel(spark, d), PANEL)
+    return spark.createDataFrame([*zip(PANEL, map(float, model.coefficients), strict=True), ("intercept", float(model.intercept))], "variable string, coefficient double")
+
+
+def _held_out(spark: SparkSession, d: str, family: str) -> DataFrame:
+    p = panel(spark, d)
+    return metrics.rank_metrics(models.scored(models.fit(p.filter("fold != 0"), PANEL, family), p.filter("fold = 0"), PANEL))
+
+
+@query(None)
+def fit_forest(spark, d):
+    return _held_out(spark, d, "forest")
+
+
+@query(None)
+def fit_gbt(spark, d):
+    return _held_out(spark, d, "gbt")
+
+
+def _ranked(spark: SparkSession, values: dict[str, float]) -> DataFrame:
+    return spark.createDataFrame([(v, float(x), i) for i, (v, x) in enumerate(values.items(), 1)], "variable string, value double, rank int")
+
+
+@query(None)
+def ordering_importance(spark, d):
+    p = panel(spark, d)
+    return _ranked(spark, models.importance(models.fit(p, PANEL, "forest"), p, PANEL))
+
+
+@query(None)
+def ordering_permutation(spark, d):
+    p = panel(spark, d)
+    return _ranked(spark, models.permutation_importance(models.fit(p, PANEL), p, PANEL, "id", hash_ranked))
+
+
+@query(None)
+def ordering_rfe(spark, d):
+    return _ranked(spark, {v: 1 / i for i, v in enumerate(models.eliminated(panel(spark, d), PANEL), 1)})
+
+
+@query(None)
+def cv_grid(spark, d):
+    cells = models.nested_grid(panel(spark, d), PANEL, ("logistic",), 3, 2)
+    return spark.createDataFrame(cells, "model string, k int, fold int, variables string, average_precision double")
