@@ -50,8 +50,8 @@ POSTINGS = 2_000_000
 SLOTS = 1 << 20
 PAIR_ROUNDS = 2
 #: Shingles of pivots that are sent to all sets at once, and how often; beyond, both sides are exchanged.
-PIVOT_SHINGLES = 1 << 21
-MOST_PARTS = 32
+PIVOT_SHINGLES = 1 << 20
+MOST_PARTS = 64
 #: Overlapping pairs that a product holds at a time.
 PAIRS = 1_000_000
 _C = kit.mixed(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -340,18 +340,26 @@ def links(sets: DataFrame, pivots: DataFrame, bits: int, groups: int) -> DataFra
     return partial.groupBy("group").applyInArrow(summed, "u long, v long")
 
 
+def _values(members: pa.Array) -> np.ndarray:
+    """The hashes of a binary column's rows, as they follow each other in its buffer."""
+    edges = np.frombuffer(members.buffers()[1], np.int64 if pa.types.is_large_binary(members.type) else np.int32)
+    lo, hi = edges[members.offset], edges[members.offset + len(members)]
+    return np.frombuffer(members.buffers()[2], np.uint8)[lo:hi].view(np.uint64) if hi > lo else np.zeros(0, np.uint64)
+
+
 def links_near(sets: DataFrame, pivots: DataFrame, total: int) -> DataFrame:
     """links() without an exchange: row blocks of pivots go to the sets, whose overlaps sum up where they lie."""
     own = kit.stored(sets.join(pivots, "sid", "left_semi"), "pivots")
     parts = -(-total // PIVOT_SHINGLES)
     found = []
     for part in range(parts):
-        rows = own.filter(F.pmod(F.xxhash64("sid"), F.lit(parts)) == part).collect()
-        psids = np.array([r["sid"] for r in rows], np.int64)
-        pns = np.array([r["n"] for r in rows], np.int64)
-        ph = np.frombuffer(b"".join(bytes(r["members"]) for r in rows), np.uint64)
+        rows = own.filter(F.pmod(F.xxhash64("sid"), F.lit(parts)) == part).select("sid", "n", "members").toArrow()
+        psids, pns = (np.array(rows[c].to_numpy(), np.int64) for c in ("sid", "n"))
+        ph = np.concatenate([np.zeros(0, np.uint64), *(_values(c) for c in rows["members"].chunks)])
+        del rows  # the driver holds one part at a time, and one copy of it
         order = np.argsort(ph, kind="stable")
-        ph, owner = ph[order], np.repeat(np.arange(len(rows), dtype=np.int32), pns)[order]
+        ph, owner = ph[order], np.repeat(np.arange(len(psids), dtype=np.int32), pns)[order]
+        del order
 
         def run(batches: Iterator[pa.RecordBatch], psids=psids, pns=pns, ph=ph, owner=owner) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -376,7 +384,7 @@ def links_near(sets: DataFrame, pivots: DataFrame, total: int) -> DataFrame:
                     linked = (100 * o[at] >= 75 * (ns[x] + pns[y] - o[at])) & (sids[x] != psids[y])
                     yield pa.RecordBatch.from_arrays([pa.array(psids[y[linked]]), pa.array(sids[x[linked]])], ["u", "v"])
 
-        if rows:
+        if len(psids):
             found.append(kit.stored(sets.select("sid", "n", "members").mapInArrow(run, "u long, v long"), "links"))
     return functools.reduce(DataFrame.union, found) if found else own.select(F.col("sid").alias("u"), F.col("sid").alias("v")).limit(0)
 
