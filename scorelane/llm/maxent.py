@@ -5,14 +5,22 @@ word hashes with their times to blocks of the hash range, which count each word
 the training documents and return, per document, the sum of log10(count + 1) and the
 number of known words. No list of words is ever gathered.
 
-The model is a softmax factored by classes, P(word) = P(class | context) * P(word | class).
-A word's class follows from its first and last byte; the end of a text is a class. Class
-scores are sums of weights of hashed features of the classes before: order 0, 1 and 2,
-and skips over one and two tokens. They are trained by gradient updates: executors hold
-the counts of (context, class) of all training tokens, send gradients of the likelihood
-for the current weights, and the driver steps (Adam). Inside a class words have their
-relative frequencies, (c + 1) / (N + V + 1) of the class, which leaves each class a share
-for unseen words, so that all outcomes' probabilities add up to 1.
+The model is a softmax factored by classes, P(word) = P(class | context) * P(word | class,
+context). A word's class follows from its first and last byte; the end of a text is a
+class. Inside a class the word's hash, five bits at a time, names a path of `depth` further
+choices of 32, each a softmax of the same kind; words that share the whole path (a cell)
+have their relative frequencies, (c + 1) / (N + V + 1) of the cell, which leaves each cell a
+share for unseen words, so that all outcomes' probabilities add up to 1. The depth follows
+the corpus: a cell has some 2^15 / 32 training tokens, about one frequent word.
+
+A choice's scores are sums of rows of a table of weights, one row for each hashed feature
+of the words before: none, the previous word, the previous two, the previous word with the
+class of the one before it, and the skips over one and over two words; each together with
+the path so far. The table grows with the square root of the training tokens, since every
+executor holds it. It is trained by distributed gradient updates: in a pass over all
+training tokens every task takes Adagrad steps on its part and sends the rows it changed;
+a row becomes its average over the tasks that used it, by use. Passes end when the
+log likelihood gains less than SETTLED of what the first pass met, or at PASSES.
 
 Null and empty texts are one end token. Rows with a null doc_id are learned from and not
 held out. Repeated rows are scored each. Without training documents counts are zero.
@@ -31,9 +39,14 @@ from scorelane.llm import kit
 
 CLASSES = 32
 END = CLASSES - 1
-BUCKETS = 1 << 13
-STEPS = 30
-PARTS = 16
+WAYS = 5  # bits of a choice inside a class
+BUCKETS = 1 << 13  # the least number of rows of weights
+BATCH = 1 << 12
+RATE = 0.25
+SETTLED = 0.02
+PASSES = 20
+TASK_BYTES = 256 << 20
+SLICES = 16
 POSTINGS = 2_000_000
 
 
@@ -51,88 +64,178 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return h, cls, doc
 
 
-def stream(cls: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Classes of all tokens, ends included, their documents, and the context number of each token."""
+def shape(tokens: int) -> tuple[int, int]:
+    """Choices inside a class, and rows of weights, for so many training tokens."""
+    return max(1, round(np.log2(max(tokens, 1) / 2**15) / WAYS)), max(BUCKETS, 16 * int(max(tokens, 1) ** 0.5))
+
+
+def cells(h: np.ndarray, depth: int) -> np.ndarray:
+    return h >> np.uint64(64 - WAYS * depth) << np.uint64(WAYS) | h & np.uint64(CLASSES - 1)
+
+
+def stream(h: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Hashes of all tokens, ends included, their documents, and the first, second and third token before each."""
     n = np.bincount(doc, minlength=n_docs) + 1
     edges = np.concatenate([[0], np.cumsum(n)])
-    out = np.full(edges[-1], END, np.int64)
-    out[np.arange(len(cls)) + doc] = cls
+    out = np.full(edges[-1], END, np.uint64)
+    out[np.arange(len(h)) + doc] = h
     owner = np.repeat(np.arange(n_docs), n)
     depth = np.arange(len(out)) - edges[owner]
-    context = np.zeros(len(out), np.int64)
+    context = []
     for back in (1, 2, 3):
-        before = np.full(len(out), END, np.int64)  # nothing before the first token: as after an end
-        before[back:] = out[:-back] if len(out) > back else out[:0]
-        context = context * CLASSES + np.where(depth >= back, before, END)
+        before = np.full(len(out), END, np.uint64)  # nothing before the first token: as after an end
+        before[back:] = out[:-back]
+        before[depth < back] = END
+        context.append(before)
     return out, owner, context
 
 
-def feature_rows(context: np.ndarray) -> np.ndarray:
-    """Buckets of the five features of each context (previous class highest)."""
-    one, two, three = context // CLASSES**2, context // CLASSES % CLASSES, context % CLASSES
-    raw = np.stack([np.zeros_like(one), 1 + one, 100 + one * CLASSES + two, 5000 + two, 6000 + three], 1).astype(np.uint64)
-    return (kit.mixed(raw) % np.uint64(BUCKETS)).astype(np.int64)
-
-
-def log_classes(weights: np.ndarray, context: np.ndarray) -> np.ndarray:
-    z = weights[feature_rows(context)].sum(1)
+def feature_hashes(context: list[np.ndarray]) -> np.ndarray:
+    """Hashes of the six features of each context."""
+    one, two, three = context
+    parts = ([], [one], [one, two], [one, two & np.uint64(CLASSES - 1)], [two], [three])
+    out = np.empty((len(one), len(parts)), np.uint64)
+    for k, own in enumerate(parts):
+        h = np.full(len(one), k + 1, np.uint64)
+        for x in own:
+            h = kit.mixed(h * np.uint64(0x9E3779B97F4A7C15) + x)
+        out[:, k] = h
+    return out
+
+
+def choices(h: np.ndarray, context: list[np.ndarray], depth: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of weights, outcome and token of each choice: classes of all tokens, then the choices inside the class."""
+    features, cls = feature_hashes(context), h & np.uint64(CLASSES - 1)
+    inner = np.flatnonzero(cls != END)
+    token, node, outcome = [np.arange(len(h))], [np.zeros(len(h), np.uint64)], [cls]
+    for k in range(1, depth + 1):
+        top = h[inner] >> np.uint64(64 - WAYS * k)
+        token.append(inner)
+        node.append(kit.mixed(top >> np.uint64(WAYS) << np.uint64(16) | np.uint64(k << 8) | cls[inner]))
+        outcome.append(top & np.uint64(CLASSES - 1))
+    token = np.concatenate(token)
+    raw = kit.mixed(features[token] ^ np.concatenate(node)[:, None])
+    return ((raw >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64), np.concatenate(outcome).astype(np.int64), token
+
+
+def log_classes(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Log probabilities of the outcomes; rows: the rows of weights of each choice, or the only one."""
+    rows = rows.reshape(len(rows), -1)
+    z = np.take(weights, rows[:, 0], axis=0)
+    for k in rows.T[1:]:
+        z += np.take(weights, k, axis=0)
     z -= z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
-
-
-def context_counts(train: DataFrame) -> DataFrame:
-    """part, n: counts of (context, class) over train(text), in PARTS rows."""
-    cells = CLASSES**4
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(cells, np.uint32)
-        for b in batches:
-            for lo, hi, data, offsets in kit.text_chunks(b.column(0)):
-                _, cls, doc = words(data, offsets)
-                cls, _, context = stream(cls, doc, hi - lo)
-                total += np.bincount(context * CLASSES + cls, minlength=cells).astype(np.uint32)
-        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS)), pa.array([x.tobytes() for x in np.split(total, PARTS)], pa.binary())], ["part", "n"])
+    z -= np.log(np.exp(z) @ np.ones(z.shape[1], z.dtype))[:, None]
+    return z
+
+
+def run_sums(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Sums of runs of n rows each, by halving."""
+    out = np.empty((len(n), x.shape[1]), x.dtype)
+    run = np.arange(len(n))
+    while len(run):
+        start, done = np.cumsum(n) - n, n == 1
+        out[run[done]] = np.take(x, start[done], axis=0)
+        run, start, n = run[~done], start[~done], n[~done]
+        half = (n + 1) // 2
+        place = np.arange(half.sum()) - np.repeat(np.cumsum(half) - half, half)
+        first = np.repeat(start, half) + 2 * place
+        pair = np.flatnonzero(2 * place + 1 < np.repeat(n, half))
+        y = np.take(x, first, axis=0)
+        y[pair] += np.take(x, first[pair] + 1, axis=0)
+        x, n = y, half
+    return out
+
+
+def step(weights: np.ndarray, squares: np.ndarray, used: np.ndarray, rows: np.ndarray, outcome: np.ndarray) -> float:
+    """One Adagrad step, in place; the log likelihood before it."""
+    logs = log_classes(weights, rows)
+    here = np.arange(len(rows))
+    before = float(logs[here, outcome].sum())
+    d = np.negative(np.exp(logs, out=logs), out=logs)
+    d[here, outcome] += 1
+    flat = np.sort(rows.T.ravel() << 32 | np.tile(here, rows.shape[1]))
+    row = flat >> 32
+    edges = np.flatnonzero(np.diff(row, prepend=-1))
+    mine, times = row[edges], np.diff(np.append(edges, len(row)))
+    g = run_sums(np.take(d, flat & 0xFFFFFFFF, axis=0), times)
+    squares[mine] += np.einsum("ij,ij->i", g, g)
+    weights[mine] += g * (RATE / (np.sqrt(squares[mine]) + np.float32(1e-6)))[:, None]
+    used[mine] += times
+    return before
+
+
+def trained(train: DataFrame, depth: int, buckets: int) -> tuple[np.ndarray, list[float]]:
+    """Weights learned from train(text), and the mean log likelihood of a token met in each pass."""
+    context = train.sparkSession.sparkContext
+    weights, squares = np.zeros((buckets, CLASSES), np.float32), np.zeros(buckets, np.float32)
+    size = -(-buckets // SLICES)
+    kinds = {"rows": np.int64, "change": np.float32, "used": np.float32, "squares": np.float32}
+    schema = "slice long, rows binary, change binary, used binary, squares binary"
+
+    def packed(k: int, *arrays: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([k]), *(pa.array([x.astype(t).tobytes()], pa.binary()) for x, t in zip(arrays, kinds.values(), strict=True))], ["slice", *kinds])
 
     def added(t: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.uint32).astype(np.float64) for x in t["n"].to_pylist())
-        return pa.table({"part": [t["part"][0].as_py()], "n": pa.array([total.tobytes()], pa.binary())})
-
-    return train.mapInArrow(run, "part long, n binary").groupBy("part").applyInArrow(added, "part long, n binary")
-
-
-def trained(counts: DataFrame, steps: int = STEPS) -> np.ndarray:
-    """Weights after `steps` distributed gradient updates."""
-    weights = np.zeros((BUCKETS, CLASSES))
-    m, v = np.zeros_like(weights), np.zeros_like(weights)
-    size = CLASSES**3 // PARTS
-    spread = kit.stored(counts.repartition(4), "contexts")
-    for step in range(1, steps + 1):
-        def gradient(batches: Iterator[pa.RecordBatch], weights: np.ndarray = weights.astype(np.float32)) -> Iterator[pa.RecordBatch]:
-            total, tokens = np.zeros((BUCKETS, CLASSES)), 0.0
+        k = t["slice"][0].as_py()
+        if k < 0:
+            seen = sum(np.frombuffer(x, np.float64) for x in t["rows"].to_pylist())
+            return pa.table({"slice": [k], "rows": pa.array([seen.tobytes()], pa.binary()), **{x: pa.array([b""], pa.binary()) for x in list(kinds)[1:]}})
+        n = min(size, buckets - k * size)
+        change, used, total = np.zeros((n, CLASSES), np.float32), np.zeros(n, np.float32), np.zeros(n, np.float32)
+        for i in range(len(t)):
+            rows, c, u, q = (np.frombuffer(t[x][i].as_py(), kind) for x, kind in kinds.items())
+            change[rows] += c.reshape(-1, CLASSES) * u[:, None]
+            used[rows] += u
+            total[rows] += q
+        rows = np.flatnonzero(used)
+        return pa.Table.from_batches([packed(k, rows, change[rows] / used[rows, None], used[rows], total[rows])])
+
+    history: list[float] = []
+    while len(history) < PASSES:
+        sent = context.broadcast((weights, squares))
+
+        def learn(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            w, q = (x.copy() for x in sent.value)
+            used, seen = np.zeros(buckets, np.float32), np.zeros(2)
             for b in batches:
-                for part, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    n = np.frombuffer(raw, np.float64).reshape(size, CLASSES)
-                    used = np.flatnonzero(n.any(1))
-                    context = part * size + used
-                    seen = n[used]
-                    d = seen - np.exp(log_classes(weights, context)) * seen.sum(1, keepdims=True)
-                    for k in feature_rows(context).T:
-                        np.add.at(total, k, d)
-                    tokens += seen.sum()
-            yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary()), pa.array([tokens])], ["g", "n"])
-
-        got = spread.mapInArrow(gradient, "g binary, n double").collect()
-        tokens = sum(r["n"] for r in got)
+                for lo, hi, data, offsets in kit.text_chunks(b.column(0)):
+                    h, _, doc = words(data, offsets)
+                    h, _, before = stream(h, doc, hi - lo)
+                    for at in range(0, len(h), BATCH):
+                        cut = slice(at, at + BATCH)
+                        rows, outcome, _ = choices(h[cut], [x[cut] for x in before], depth, buckets)
+                        seen += step(w, q, used, rows, outcome), len(h[cut])
+            first, squared = sent.value
+            for k in range(-(-buckets // size)):
+                own = slice(k * size, (k + 1) * size)
+                rows = np.flatnonzero(used[own])
+                if len(rows):
+                    at = rows + k * size
+                    yield packed(k, rows, w[at] - first[at], used[at], q[at] - squared[at])
+            yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([seen.tobytes()], pa.binary()), *[pa.array([b""], pa.binary())] * 3], ["slice", *kinds])
+
+        changed = kit.stored(train.mapInArrow(learn, schema).groupBy("slice").applyInArrow(added, schema), "changes")
+        logs, tokens = 0.0, 0.0
+        for r in changed.toLocalIterator():
+            if r["slice"] < 0:
+                logs, tokens = np.frombuffer(r["rows"], np.float64)
+                continue
+            at = np.frombuffer(r["rows"], np.int64) + r["slice"] * size
+            weights[at] += np.frombuffer(r["change"], np.float32).reshape(-1, CLASSES)
+            squares[at] += np.frombuffer(r["squares"], np.float32)
+        kit.release(changed)
+        sent.destroy()
         if not tokens:
             break
-        g = sum(np.frombuffer(r["g"], np.float32).reshape(BUCKETS, CLASSES).astype(np.float64) for r in got) / tokens
-        m, v = 0.8 * m + 0.2 * g, 0.95 * v + 0.05 * g * g
-        weights = weights + 0.25 / np.sqrt(1 + step / 5) * (m / (1 - 0.8**step)) / (np.sqrt(v / (1 - 0.95**step)) + 1e-7)
-    return weights
+        history.append(float(logs / tokens))
+        if len(history) > 1 and history[-1] - history[-2] < SETTLED * -history[0]:
+            break
+    return weights, history
 
 
-def word_sums(docs: DataFrame, blocks: int) -> DataFrame:
-    """Packed partial sums per document key, and (group -1) tokens and distinct words per class."""
+def word_sums(docs: DataFrame, blocks: int, depth: int) -> DataFrame:
+    """Packed partial sums per document key (of log10(count + 1), known words, log10 shares of the cell), and (group -1) tokens and distinct words per class."""
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, data, offsets in kit.text_chunks(b.column(1), 1 << 20):
@@ -142,7 +245,7 @@ def word_sums(docs: DataFrame, blocks: int) -> DataFrame:
                 new = np.flatnonzero(np.concatenate([np.ones(min(len(h), 1), bool), (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]))
                 times = np.diff(np.append(new, len(h)))
                 h, doc = h[new], doc[new].astype(np.uint16)
-                block = ((h >> np.uint64(40)) * np.uint64(blocks) >> np.uint64(24)).astype(np.int64)
+                block = ((h >> np.uint64(64 - WAYS * depth)) * np.uint64(blocks) >> np.uint64(WAYS * depth)).astype(np.int64)  # cells stay whole
                 edges = np.flatnonzero(np.diff(block, prepend=-1, append=-1))
                 keys = b.column(0).slice(lo, hi - lo).to_numpy().tobytes()
                 held = b.column(2).slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(np.uint8).tobytes()
@@ -161,40 +264,46 @@ def word_sums(docs: DataFrame, blocks: int) -> DataFrame:
         some = c > 0
         cls = (values & np.uint64(CLASSES - 1)).astype(np.int64)
         stats = [np.bincount(cls, w, CLASSES) for w in (c, some)]
+        _, cell = np.unique(cells(values, depth), return_inverse=True)
+        share = np.log10((c + 1) / (np.bincount(cell, c + some) + 1)[cell])
         sums = np.bincount(doc, times * np.log10(c + 1)[back], base[-1])
         known = np.bincount(doc, times * some[back], base[-1])
+        shares = np.bincount(doc, times * share[back], base[-1])
         keys = np.concatenate(keys)
         used = np.flatnonzero(np.bincount(doc, minlength=base[-1]))
-        keys, sums, known = keys[used], sums[used], known[used]
+        keys, sums, known, shares = keys[used], sums[used], known[used], shares[used]
         group = keys % 64
         order = np.argsort(group, kind="stable")
         edges = np.flatnonzero(np.diff(group[order], prepend=-1, append=-1))
-        cut = [[x[order][i:e].tobytes() for i, e in zip(edges[:-1], edges[1:], strict=True)] for x in (keys, sums, known)]
-        return pa.table({"group": pa.array([*group[order][edges[:-1]], -1], pa.int64()), **{k: pa.array([*x, y], pa.binary()) for k, x, y in zip(("keys", "sums", "known"), cut, (stats[0].tobytes(), stats[1].tobytes(), b""), strict=True)}})
+        cut = [[x[order][i:e].tobytes() for i, e in zip(edges[:-1], edges[1:], strict=True)] for x in (keys, sums, known, shares)]
+        return pa.table({"group": pa.array([*group[order][edges[:-1]], -1], pa.int64()), **{k: pa.array([*x, y], pa.binary()) for k, x, y in zip(("keys", "sums", "known", "shares"), cut, (stats[0].tobytes(), stats[1].tobytes(), b"", b""), strict=True)}})
 
     rows = docs.mapInArrow(postings, "block long, h binary, d binary, times binary, keys binary, held binary")
-    return rows.groupBy("block").applyInArrow(counted, "group long, keys binary, sums binary, known binary")
+    return rows.groupBy("block").applyInArrow(counted, "group long, keys binary, sums binary, known binary, shares binary")
 
 
 def _summed(t: pa.Table) -> pa.Table:
-    keys, sums, known = (np.frombuffer(b"".join(t[k].to_pylist()), kind) for k, kind in (("keys", np.int64), ("sums", np.float64), ("known", np.float64)))
+    keys, sums, known, shares = (np.frombuffer(b"".join(t[k].to_pylist()), kind) for k, kind in (("keys", np.int64), ("sums", np.float64), ("known", np.float64), ("shares", np.float64)))
     ids, back = np.unique(keys, return_inverse=True)
-    return pa.table({"key": ids, "sums": np.bincount(back, sums, len(ids)), "known": np.bincount(back, known, len(ids)).astype(np.int64)})
+    return pa.table({"key": ids, "sums": np.bincount(back, sums, len(ids)), "known": np.bincount(back, known, len(ids)).astype(np.int64), "shares": np.bincount(back, shares, len(ids))})
 
 
-def model_scores(docs: DataFrame, weights: np.ndarray, class_tokens: np.ndarray, class_words: np.ndarray) -> DataFrame:
-    """Adds n_tokens and log10 of P(class | context) / (N + V + 1 of the class), summed, to docs(doc_id, held_out, key, text)."""
-    table = weights.astype(np.float32)
-    inside = np.log10(class_tokens + class_words + 1)
+def model_scores(docs: DataFrame, weights: np.ndarray, depth: int) -> DataFrame:
+    """Adds n_tokens and log10 of P(class | context) and of the choices inside it, summed, to docs(doc_id, held_out, key, text)."""
+    sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = sent.value
         for b in batches:
             for lo, hi, data, offsets in kit.text_chunks(b.column(3), 1 << 20):
-                _, cls, doc = words(data, offsets)
-                cls, owner, context = stream(cls, doc, hi - lo)
-                seen, back = np.unique(context, return_inverse=True)
-                logs = log_classes(table, seen)[back, cls] / np.log(10) - inside[cls]
-                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(lo, hi - lo) for i in range(3)), pa.array(np.bincount(owner, minlength=hi - lo)), pa.array(np.bincount(owner, logs, hi - lo))], ["doc_id", "held_out", "key", "n_tokens", "logs"])
+                h, _, doc = words(data, offsets)
+                h, owner, before = stream(h, doc, hi - lo)
+                logs = np.zeros(len(h))
+                for at in range(0, len(h), BATCH):
+                    cut = slice(at, at + BATCH)
+                    rows, outcome, token = choices(h[cut], [x[cut] for x in before], depth, len(table))
+                    logs[cut] = np.bincount(token, log_classes(table, rows)[np.arange(len(rows)), outcome])
+                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(lo, hi - lo) for i in range(3)), pa.array(np.bincount(owner, minlength=hi - lo)), pa.array(np.bincount(owner, logs / np.log(10), hi - lo))], ["doc_id", "held_out", "key", "n_tokens", "logs"])
 
     return docs.mapInArrow(run, "doc_id long, held_out boolean, key long, n_tokens long, logs double")
 
@@ -208,20 +317,22 @@ def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), out.alias("held_out"), key.alias("key"), text.alias("text"))
     size = own.agg(F.sum(F.octet_length("text")).alias("b"), F.count(F.when(~F.col("held_out"), 1)).alias("train")).first()
     blocks = min(1 << 16, max(64, kit.blocks_for((size["b"] or 0) // 6, POSTINGS, 64, spark)))
-    partial = kit.stored(word_sums(own.select("key", "text", "held_out"), blocks), "sums")
+    depth, _ = shape((size["b"] or 0) // 6)
+    partial = kit.stored(word_sums(own.select("key", "text", "held_out"), blocks, depth), "sums")
     stats = partial.filter("group = -1").select("keys", "sums").collect()
     tokens, distinct = (sum((np.frombuffer(r[k], np.float64) for r in stats), np.zeros(CLASSES)) for k in ("keys", "sums"))
     tokens[END], distinct[END] = size["train"], float(size["train"] > 0)
     n, v = int(tokens.sum()), int(distinct.sum())
-    weights = trained(kit.stored(context_counts(own.filter(~F.col("held_out")).select("text")), "counts"))
-    rows = kit.stored(model_scores(own, weights, tokens, distinct), "rows")
-    sums = partial.filter("length(known) > 0").groupBy("group").applyInArrow(_summed, "key long, sums double, known long")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-(size["b"] or 0) // TASK_BYTES))
+    weights, _ = trained(own.filter(~F.col("held_out")).select("text").coalesce(tasks), depth, shape(n)[1])
+    rows = kit.stored(model_scores(own, weights, depth), "rows")
+    sums = partial.filter("length(known) > 0").groupBy("group").applyInArrow(_summed, "key long, sums double, known long, shares double")
     sums = kit.stored(sums, "sums")
-    copies = kit.stored(rows.groupBy("key").agg(F.count("*").alias("copies")).join(sums, "key", "left").select("key", (F.col("sums") / F.col("copies")).alias("sums"), (F.col("known") / F.col("copies")).cast("long").alias("known")), "copies")
+    copies = kit.stored(rows.groupBy("key").agg(F.count("*").alias("copies")).join(sums, "key", "left").select("key", (F.col("sums") / F.col("copies")).alias("sums"), (F.col("known") / F.col("copies")).cast("long").alias("known"), (F.col("shares") / F.col("copies")).alias("shares")), "copies")
     end, known = float(np.log10(size["train"] + 1)), int(size["train"] > 0)
     joined = rows.join(copies, "key", "left")
     found = F.coalesce("sums", F.lit(0.0)) + end
     return joined.select(
         "doc_id", "held_out", "n_tokens", (F.coalesce("known", F.lit(0)) + known).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (found - F.col("n_tokens") * float(np.log10(n + v + 1))).alias("base_score"), (found + F.col("logs")).alias("score"),
+        (found - F.col("n_tokens") * float(np.log10(n + v + 1))).alias("base_score"), (F.coalesce("shares", F.lit(0.0)) + F.col("logs")).alias("score"),
     )

@@ -230,6 +230,25 @@ def test_maxent(spark, docs, texts):
     assert np.allclose(np.exp(logs).sum(1), 1)
 
 
+def test_maxent_learns_the_order_of_words_of_one_class(spark):
+    cycle = [f"a{i}z" for i in range(20)]
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    texts = {i: " ".join(cycle * 10) for i in range(200)} | {held[1]: " ".join(cycle[::-1] * 10)}
+    got = {r["doc_id"]: r for r in maxent.scored(spark.createDataFrame([*texts.items()], "doc_id long, text string")).collect()}
+    right, wrong = (got[i] for i in held)
+    assert right["base_score"] == pytest.approx(wrong["base_score"]) and right["score"] > wrong["score"] + 50
+    train = spark.createDataFrame([(t,) for t in texts.values()], "text string")
+    history = maxent.trained(train, 1, maxent.BUCKETS)[1]
+    assert 1 < len(history) < maxent.PASSES and history[-1] > history[0]
+    assert maxent.shape(10**8)[0] > 1 and maxent.shape(10**9)[1] > maxent.shape(10**8)[1] > maxent.BUCKETS
+
+
+def test_maxent_run_sums():
+    n = np.array([1, 7, 2, 1, 64, 3])
+    x = np.random.default_rng(0).normal(size=(n.sum(), 4))
+    assert np.allclose(maxent.run_sums(x, n), np.add.reduceat(x, np.cumsum(n) - n, axis=0))
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
