@@ -10,7 +10,8 @@ term's offset, and intersects them with the other terms' lists from rare to comm
 match is exact phrase, or, with slack > 0, the terms in order within slack extra words.
 
 Test items are sent to the executors in blocks of at most BLOCK_BYTES of text; more
-items take more passes over the documents.
+items take more passes over the one stored index, whose chunks are named, so that the
+results of the passes meet by chunk and place in it, whatever the documents' ids are.
 
 Words are runs of a-z, 0-9 and non-ASCII characters after lower-casing A-Z. Null and
 empty texts have none; an item without words matches nothing, a null item_id is
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +40,7 @@ _SHIFT = 40
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
-INDEX = "doc_id array<bigint>, n_words binary, begins binary, terms binary, edges binary, places binary"
+INDEX = "chunk string, doc_id array<bigint>, n_words binary, begins binary, terms binary, edges binary, places binary"
 
 
 def item_words(text: str | None) -> list[str]:
@@ -82,8 +84,8 @@ def build_index(docs: DataFrame, terms: np.ndarray | None, gap: int = 64) -> Dat
                 order = np.argsort(h, kind="stable")
                 h, place = h[order], place[order]
                 edges = np.flatnonzero(np.concatenate([np.ones(min(len(h), 1), bool), h[1:] != h[:-1]]))
-                row = (b.column(0).slice(lo, hi - lo).to_pylist(), *(x.tobytes() for x in (n.astype(np.int64), begins.astype(np.int64), h[edges], np.append(edges, len(h)).astype(np.int64), place.astype(np.uint32))))
-                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.list_(pa.int64()), *[pa.binary()] * 5), strict=True)], ["doc_id", "n_words", "begins", "terms", "edges", "places"])
+                row = (uuid.uuid4().hex, b.column(0).slice(lo, hi - lo).to_pylist(), *(x.tobytes() for x in (n.astype(np.int64), begins.astype(np.int64), h[edges], np.append(edges, len(h)).astype(np.int64), place.astype(np.uint32))))
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.string(), pa.list_(pa.int64()), *[pa.binary()] * 5), strict=True)], ["chunk", "doc_id", "n_words", "begins", "terms", "edges", "places"])
 
     return docs.mapInArrow(run, INDEX)
 
@@ -141,7 +143,7 @@ def intersect(windows: Windows, terms: np.ndarray, edges: np.ndarray, places: np
 
 
 def search(index: DataFrame, windows: Windows, slack: int = 0) -> DataFrame:
-    """Per document of the index: n_words, items (sorted names), spans [first, end) of words in matches, merged."""
+    """Per document of the index: its chunk and place there, n_words, items (sorted names), spans [first, end) of words in matches, merged."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for r in b.to_pylist():
@@ -158,10 +160,10 @@ def search(index: DataFrame, windows: Windows, slack: int = 0) -> DataFrame:
                         spans[d][-1]["end"] = max(e, spans[d][-1]["end"])
                     else:
                         spans[d].append({"first": a, "end": e})
-                kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((r["doc_id"], n, [sorted(x) for x in items], spans), kinds, strict=True)], ["doc_id", "n_words", "items", "spans"])
+                kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([r["chunk"]] * len(n), range(len(n)), r["doc_id"], n, [sorted(x) for x in items], spans), kinds, strict=True)], ["chunk", "place", "doc_id", "n_words", "items", "spans"])
 
-    return index.mapInArrow(run, "doc_id long, n_words long, items array<string>, spans array<struct<first:long,end:long>>")
+    return index.mapInArrow(run, "chunk string, place long, doc_id long, n_words long, items array<string>, spans array<struct<first:long,end:long>>")
 
 
 def blocks_of(items: DataFrame, id_col: str, text_col: str, most: int) -> Iterator[list[tuple[str, str | None]]]:
@@ -175,18 +177,23 @@ def blocks_of(items: DataFrame, id_col: str, text_col: str, most: int) -> Iterat
 def contamination(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, slack: int = 0) -> DataFrame:
     """doc_id, n_words, items, spans of each document, over all blocks of items."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    blocks = lambda: (Windows(x, window) for x in blocks_of(items, item_col, item_text_col, BLOCK_BYTES))
+    terms, n = np.zeros(0, np.uint64), 0
+    for windows in blocks():
+        terms, n = np.union1d(terms, windows.vocabulary), n + 1
+    index = kit.stored(build_index(docs, terms), "index")
+    if n == 1:
+        return search(index, windows, slack).drop("chunk", "place")
     found = None
-    for block in blocks_of(items, item_col, item_text_col, BLOCK_BYTES):
-        windows = Windows(block, window)
-        index = kit.stored(build_index(docs, windows.vocabulary), "index")
-        part = search(index, windows, slack)
-        found = part if found is None else _both(found, part)
-    return found
+    for windows in blocks():
+        part = kit.stored(search(index, windows, slack), "found")
+        found = part if found is None else kit.stored(_both(found, part), "found")
+    return found.drop("chunk", "place")
 
 
 def _both(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Results of two blocks over the same rows, whose documents are told apart by id."""
-    union = a.union(b).groupBy("doc_id", "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    """Results of two blocks over the same rows of the index."""
+    union = a.union(b).groupBy("chunk", "place").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
     last = F.struct(F.col("spans"))
     merge = lambda out, s: F.when((F.size(out) > 0) & (F.element_at(out, -1)["end"] >= s["first"]), F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(F.element_at(out, -1)["first"].alias("first"), F.greatest(F.element_at(out, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(out, F.array(s)))
     return union.withColumn("spans", F.aggregate(last["spans"], F.array().cast("array<struct<first:bigint,end:bigint>>"), merge))

@@ -127,6 +127,16 @@ def test_decontamination(spark, docs, texts):
     assert near.first()["spans"][0].asDict() == {"first": 0, "end": 5}
 
 
+def test_decontamination_in_blocks_keeps_rows(spark, monkeypatch):
+    rows = [(None, "a b c x"), (None, "x a b c"), (7, "d e f x"), (7, "x x x x"), (7, "x x x x"), (8, "a b c d e f"), (None, None)]
+    items = spark.createDataFrame([("i", "a b c"), ("j", "d e f"), ("k", "b c d e"), ("l", "not here")], "item_id string, text string")
+    d = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    flat = lambda f: sorted(map(repr, f.collect()))
+    one = flat(decontam.digest(decontam.contamination(d, items)))
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 4)
+    assert len(one) == len(rows) and flat(decontam.digest(decontam.contamination(d, items))) == one
+
+
 def test_language_id(spark, docs):
     d = kit.table(spark, WHERE, "documents")
     got = langid.held_out_languages(d).join(d.select("doc_id", "lang"), "doc_id").toPandas()
