@@ -14,10 +14,10 @@ _ROW = "_pipeline_row"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep. A null doc_id is a value like any other."""
+    """Rows that the rules keep, each by its own verdict."""
     kit.ship(spark)
-    rejected = rules.quality_rules(docs).filter("not kept").select(F.col("doc_id").alias(_ROW)).distinct()
-    return _without(docs, rejected)
+    own = kit.numbered(docs, _ROW)
+    return _without(own, rules.quality_rules(own, id_col=_ROW).filter("not kept"))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,16 +28,17 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the least doc_id."""
+    """Of each component the row with the least doc_id; a null one only where there is no other."""
     kit.ship(spark)
     return ngram_join.deduplicated(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark window."""
+    """Rows without a benchmark window."""
     kit.ship(spark)
-    found = decontam.contamination(docs, kit.table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.filter(F.size("items") > 0).select(F.col("doc_id").alias(_ROW)).distinct())
+    own = kit.numbered(docs, _ROW)
+    found = decontam.contamination(own, kit.table(spark, sf_dir, "benchmark"), id_col=_ROW)
+    return _without(own, found.filter(F.size("items") > 0))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,9 +47,10 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed(docs)
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    gone = kit.stored(ids, "gone")
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone[_ROW]), "left_anti")
+def _without(own: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of own, as numbered, whose number is not among found's."""
+    gone = kit.stored(found.select(F.col("doc_id").alias(_ROW)), "gone")
+    return own.join(gone, _ROW, "left_anti").drop(_ROW)
 
 
 STAGES: list[tuple[str, Stage]] = [

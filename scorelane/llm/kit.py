@@ -66,6 +66,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """df stored with a number of its own for each row, whatever the ids in it are."""
+    return stored(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
 def release(*frames: DataFrame) -> None:
     """Removes tables of stored() that nothing reads any more: all that came of them is stored itself."""
     for df in frames:

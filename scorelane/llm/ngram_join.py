@@ -483,8 +483,17 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The row of each component with the least doc_id, all columns; rows with a null doc_id stay."""
-    found = ngram_components(docs).filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_id")).distinct()
-    gone = kit.stored(found, "copies")
-    own = docs.withColumn("_id", F.col("doc_id").cast("long"))
-    return own.filter("_id is null").drop("_id").union(own.filter("_id is not null").join(gone, "_id", "left_anti").drop("_id").dropDuplicates(["doc_id"]))
+    """Of each component the row with the least doc_id (null ones last), all columns.
+
+    Components are of rows, by a number each row is given: rows with a null or the same
+    doc_id are told apart. Rows with an empty set are copies of each other if their id is
+    the same, null included, and their text is.
+    """
+    own = kit.numbered(docs, "_row")
+    found = ngram_components(own, id_col="_row").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_comp"), F.col("n_shingles").alias("_n"))
+    id_, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))
+    keys = own.select("_row", id_.alias("_id"), F.sha2(text, 256).alias("_s")).join(found, "_row")
+    empty = F.col("_n") == 0
+    group = [F.when(~empty, F.col("_comp")).alias("_c"), *[F.when(empty, F.col(c)).alias(c + "e") for c in ("_id", "_s")]]
+    kept = keys.groupBy(*group).agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("least")).select(F.col("least._row").alias("_row"))
+    return own.join(kit.stored(kept, "kept"), "_row", "left_semi").drop("_row")

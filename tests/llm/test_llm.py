@@ -259,6 +259,22 @@ def test_maxent_run_sums():
     assert np.allclose(maxent.run_sums(x, n), np.add.reduceat(x, np.cumsum(n) - n, axis=0))
 
 
+def test_stages_filter_rows_not_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    where = str(tmp_path)
+    spark.createDataFrame([("i", "one two three four")], "item_id string, text string").write.parquet(f"{where}/benchmark.parquet")
+    clean, dirty, short = base(60), base(60, 1) + " one two three four", "too short"
+    rows = [(None, clean), (None, dirty), (None, short), (7, base(60, 2)), (7, dirty + " x"), (7, short)]
+    d = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = lambda f: sorted(((r["doc_id"], r["text"]) for r in f.collect()), key=repr)
+    assert left(corpus_pipeline.quality_rules(spark, d, where)) == sorted((x for x in rows if x[1] != short), key=repr)
+    assert left(corpus_pipeline.decontaminate(spark, d, where)) == sorted((x for x in rows if "one two" not in x[1]), key=repr)
+    copies = [(None, clean), (None, clean), (3, clean), (None, base(60, 3)), (None, base(60, 3)), (7, base(60, 4)), (7, base(60, 5)), (9, base(60, 4))]
+    d = spark.createDataFrame(copies, "doc_id long, text string").coalesce(1)
+    assert left(corpus_pipeline.near_duplicates(spark, d, where)) == sorted([(3, clean), (None, base(60, 3)), (7, base(60, 4)), (7, base(60, 5))], key=repr)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
