@@ -7,6 +7,10 @@ and where it stands (inside an article or main element; inside navigation, heade
 footer, aside, form or an element whose class or id names such a thing). A small CART
 tree, grown at import from the labelled table below, says which blocks are main text.
 
+An article or main element inside a form or an element with such a name is no part of it,
+unless it has such a name too. Where nothing else is main text, forms and names do not
+count. Of elements without an end only scripts, styles and comments go to the page's end.
+
 Null and empty pages, and pages without a main block, give an empty text. Unclosed and
 stray tags, and a '<' that starts no tag, are tolerated. Repeated rows get a row each.
 """
@@ -23,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Element names by what they do.
-INVISIBLE = "script|style|noscript|template|svg|head|iframe|object|select|textarea|button|canvas|math"
+INVISIBLE = "noscript|template|svg|head|title|iframe|object|select|textarea|button|canvas|math"
 BLOCKS = set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 ASIDE = set("nav header footer aside form menu dialog fieldset figure".split())
 HINTS = re.compile(r"\b(?:nav\w*|menu\w*|head(?:er)?|foot(?:er)?|side\w*|aside|ads?|adverts?|advertisement|sponsor\w*|promo\w*|banner|cookies?|notice|consent|popup|modal|overlay|subscribe|newsletter|signup|login|share|social|related|recommend\w*|breadcrumbs?|comments?|respon\w+|repl(?:y|ies)|disqus|widget|pager|pagination|tags?|copyright|legal|disclaimer|search|form)\b", re.I)
-_HIDDEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<({INVISIBLE})\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>", re.S | re.I)
+_HIDDEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style)\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<({INVISIBLE})\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>.*?</\2\s*>|<[!?][^>]*>", re.S | re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>")
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _VOID = set("area base br col embed hr img input link meta source track wbr".split())
@@ -83,13 +87,13 @@ class Tree:
 TREE = Tree(np.array(LABELLED, float))
 
 
-def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
-    """(text, words, words in links, in article, in something aside) of each block that has words."""
+def blocks(page: str) -> list[tuple[str, int, int, bool, int]]:
+    """(text, words, words in links, in article, in something aside: 1 by a form or a name only, 2 by an element) of each block that has words."""
     page = _HIDDEN.sub(" ", page.replace("\x00", ""))
-    out: list[tuple[str, int, int, bool, bool]] = []
+    out: list[tuple[str, int, int, bool, int]] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []
-    article = aside = False
+    stack: list[tuple[str, bool, int]] = []
+    article, aside = False, 0
     link = linked = 0
 
     def close() -> None:
@@ -127,10 +131,12 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
             elif name not in _VOID and name not in ("p", "li", "tr", "td", "th", "dt", "dd", "option"):
                 stack.append((name, article, aside))
                 names = " ".join(_MARK.sub(" ", next(filter(None, x.groups()), "")) for x in _NAMED.finditer(m[3])) if m[3] else ""
-                if name in ("article", "main") and not aside:
-                    article = True
-                if name in ASIDE and not (name in ("header", "figure") and article) or names and name not in ("article", "main", "body", "html") and HINTS.search(names):
-                    aside = True
+                if name in ("article", "main") and (not aside or aside == 1 and not article and not HINTS.search(names)):
+                    article, aside = True, 0
+                if name in ASIDE and name != "form" and not (name in ("header", "figure") and article):
+                    aside = 2
+                elif name == "form" or names and name not in ("article", "main", "body", "html") and HINTS.search(names):
+                    aside = max(aside, 1)
     add(page[at:])
     close()
     return out
@@ -138,12 +144,15 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
 
 def main_text(page: str | None) -> str:
     found = blocks(page or "")
-    edge = ("", 0, 0, False, False)
+    edge = ("", 0, 0, False, 0)
     density = lambda b: min(1.0, b[2] / b[1]) if b[1] else 0.0
-    kept = []
-    for before, b, after in zip([edge, *found], found, [*found[1:], edge]):
-        if TREE([b[1], density(b), before[1], density(before), after[1], density(after), b[3], b[4]]):
-            kept.append(b[0])
+    for most in (0, 1):  # a page that is all in forms or elements with such names is read without them
+        kept = []
+        for before, b, after in zip([edge, *found], found, [*found[1:], edge]):
+            if TREE([b[1], density(b), before[1], density(before), after[1], density(after), b[3], b[4] > most]):
+                kept.append(b[0])
+        if kept:
+            break
     return "\n\n".join(kept)
 
 

@@ -172,6 +172,13 @@ def test_pages(spark):
     assert got == [(1, want, len(want)), (2, "", 0), (3, "", 0), (3, "", 0)]
 
 
+def test_pages_keep_articles_in_named_wrappers():
+    text = "A sentence of the article that is long enough to be its text and has no link in it."
+    for page in (f'<div class="has-sidebar"><article><p>{text}</article></div>', f"<form><div><p>{text}</p></div></form>", f'<form id="f"><nav><a href=x>Home</a></nav><main><p>{text}</main></form>', f"<html><head><title>t</title><body><article><p>{text}</article>", f"<article><button>ok<p>{text}</article>"):
+        assert text in pages.main_text(page) and "Home" not in pages.main_text(page)
+    assert pages.main_text(f'<article><p>{text}</article><div id="comments"><article class="comment"><p>{text}</article></div>') == text
+
+
 def library():
     from tokenizers import Tokenizer
 
