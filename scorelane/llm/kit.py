@@ -8,6 +8,7 @@ A null text is an empty text everywhere.
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -32,10 +33,10 @@ def ship(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.applicationId not in _shipped:
         package = Path(__file__).resolve().parents[1]
-        with tempfile.TemporaryDirectory() as folder:
-            sources = shutil.ignore_patterns("__pycache__")
-            shutil.copytree(package, f"{folder}/top/{package.name}", ignore=sources)
-            context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp()}/{package.name}_{context.applicationId}", "zip", f"{folder}/top"))
+        folder = tempfile.mkdtemp()  # the driver serves the archive from there as long as it lives
+        atexit.register(shutil.rmtree, folder, True)
+        shutil.copytree(package, f"{folder}/top/{package.name}", ignore=shutil.ignore_patterns("__pycache__"))
+        context.addPyFile(shutil.make_archive(f"{folder}/{package.name}_{context.applicationId}", "zip", f"{folder}/top"))
         _shipped.add(context.applicationId)
 
 
@@ -47,6 +48,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it; a local one where it names none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return named.rstrip("/") if named else DEFAULT_SHARED
 
 
@@ -71,6 +74,20 @@ def numbered(df: DataFrame, name: str) -> DataFrame:
     return stored(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def tidy(spark: SparkSession) -> None:
+    """Lets go of what earlier jobs left with the driver: plans, broadcasts, files of exchanges."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release(*frames: DataFrame) -> None:
     """Removes tables of stored() that nothing reads any more: all that came of them is stored itself."""
     for df in frames:

@@ -12,34 +12,33 @@ is ever gathered whole:
    any other set; sets below their bound link with nothing and are discarded. Of the
    rest all shingles are counted so, and sets with under 3n/4 shared ones discarded.
 2. Of each set the rarest shingles are taken, as many as must hold one that a linked
-   set takes too. Sets that take the same shingle may link; each set is first compared
-   with the least set it meets so, then, where a shingle is still held by several
-   components, with a member of the largest: a few comparisons per set find nearly all
-   components of near copies without forming pairs inside them.
-3. Product. All sets that still share a taken shingle with a larger component become
-   rows of a blocked product with all sets. While those rows are few enough they are
-   sent to the sets in blocks of PIVOT_SHINGLES and overlaps add up in place; beyond
-   MOST_PARTS blocks both sides are exchanged by hash range, blocks accumulate overlap counts (pairs
-   whose sizes differ by more than a quarter are discarded unseen), and sums reaching
-   100 * overlap >= 75 * union are links. After it no shingle is taken by sets of two
-   components that have not been compared, so no link between components is missing.
+   set takes too. Sets that take the same shingle may link. Pivots are chosen among them:
+   two for each shingle, then, where a shingle is still held by several components, a
+   member of the largest.
+3. Product. Rows of sets and rows of their pivots meet in blocks; a block's overlaps are
+   accumulated over ranges of shingles, and pairs are discarded as soon as their sizes rule
+   a link out. Sums reaching 100 * overlap >= 75 * union are links; a few pivots per set
+   connect nearly all near copies without forming the pairs inside a group.
+4. Last, all sets that still share a taken shingle with a larger component become pivots
+   of all sets that take it. After it no shingle is taken by sets of two components that
+   have not been compared, so no link between components is missing.
 
 Components come from star contraction of the links. A class of exact copies or a
 group of near copies of any size yields one row a document, never pairs.
 
-Null and empty texts have an empty set and are their own component. A null doc_id is
-nobody's representative and its row links only through equal sets. Repeated rows get
-a row each. An empty table gives no rows. Only the two named columns are read.
+Null and empty texts have an empty set and are their own component. Rows with a null
+doc_id link like others and name no component, unless it has no other id: then its name is
+null. Rows of one doc_id with different texts are different sets. Repeated rows get a row
+each. An empty table gives no rows. Only the two named columns are read.
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from scorelane.llm import kit
@@ -48,11 +47,14 @@ WORDS = 5
 MAX_BROADCAST = 1_000_000
 POSTINGS = 2_000_000
 SLOTS = 1 << 20
-PAIR_ROUNDS = 2
-#: Shingles of pivots that are sent to all sets at once, and how often; beyond, both sides are exchanged.
-PIVOT_SHINGLES = 1 << 20
-MOST_PARTS = 64
-#: Overlapping pairs that a product holds at a time.
+#: Products with chosen pivots before the one with all that are left, at most; so few are left to that at once.
+ROUNDS = 3
+FEW = 4096
+#: Shingles of the pivots of a block, ranges of shingles that a product takes one after another,
+#: pairs whose sums it holds, and single products that it makes at a time.
+PIVOT_SHINGLES = 1 << 18
+COLUMNS = 8
+CELLS = 1 << 21
 PAIRS = 1_000_000
 _C = kit.mixed(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
@@ -212,9 +214,9 @@ def sets_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
             members = [values[a:b].tobytes() for a, b in zip(where[:-1], where[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.diff(where)), pa.array(members, pa.binary())], ["sid", "n", "members"])
 
-    side = chosen.select(F.col("rep").alias("_rep"))
+    side = chosen.select(F.col("rep").alias("_rep")).distinct()
     side = F.broadcast(side) if side.count() <= MAX_BROADCAST else side
-    wanted = docs.join(side, docs["doc_id"] == side["_rep"], "left_semi").select("doc_id", "text").mapInArrow(run, "sid long, n long, members binary")
+    wanted = docs.join(side, docs["doc_id"].eqNullSafe(side["_rep"]), "left_semi").select("doc_id", "text").mapInArrow(run, "sid long, n long, members binary")
     return wanted.join(chosen.select("sid"), "sid", "left_semi").dropDuplicates(["sid"])
 
 
@@ -257,170 +259,116 @@ def prefixes(sets: DataFrame, common: np.ndarray) -> DataFrame:
     return sets.select("sid", "n", "members").mapInArrow(run, "h long, sid long")
 
 
-_PIECE = "block long, side int, h binary, d binary, sids binary, ns binary"
+def needed_overlap(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Shingles that sets of n and m must share: 100 * o >= 75 * (n + m - o)."""
+    return -(-3 * (n + m) // 7)
 
 
-def _pieces(sets: DataFrame, bits: int, side: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for lo in range(0, b.num_rows, 2000):
-                p = b.slice(lo, 2000)
-                n = p.column(1).to_numpy()
-                h = np.frombuffer(b"".join(p.column(2).to_pylist()), np.uint64)
-                d = np.repeat(np.arange(len(n), dtype=np.uint16), n)
-                order = np.argsort(h, kind="stable")
-                h, d = h[order], d[order]
-                blocks, edges = _cut(h, bits)
-                cols = [[], [], [], []]
-                for a, e in zip(edges[:-1], edges[1:], strict=True):
-                    own, local = np.unique(d[a:e], return_inverse=True)
-                    for c, x in zip(cols, (h[a:e], local.astype(np.uint16), p.column(0).to_numpy()[own], n[own].astype(np.int32)), strict=True):
-                        c.append(x.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(blocks), pa.array(np.full(len(blocks), side, np.int32)), *(pa.array(c, pa.binary()) for c in cols)], ["block", "side", "h", "d", "sids", "ns"])
-
-    return sets.select("sid", "n", "members").mapInArrow(run, _PIECE)
-
-
-def _gathered(t: pa.Table) -> tuple[np.ndarray, ...]:
-    """h, document index, sids, sizes of the pieces of one side of a block."""
-    h = np.frombuffer(b"".join(t["h"].to_pylist()), np.uint64)
-    ds = [np.frombuffer(x, np.uint16).astype(np.int64) for x in t["d"].to_pylist()]
-    sids = [np.frombuffer(x, np.int64) for x in t["sids"].to_pylist()]
-    ns = np.frombuffer(b"".join(t["ns"].to_pylist()), np.int32)
-    base = np.concatenate([[0], np.cumsum([len(x) for x in sids])]).astype(np.int64)
-    d = np.concatenate([np.zeros(0, np.int64), *(x + o for x, o in zip(ds, base[:-1], strict=True))])
-    return h, d, np.concatenate([np.zeros(0, np.int64), *sids]), ns.astype(np.int64)
-
-
-def links(sets: DataFrame, pivots: DataFrame, bits: int, groups: int) -> DataFrame:
-    """u, v: pivots (a subset of sets, by sid) and the sets they link with."""
-    def product(t: pa.Table) -> pa.Table:
-        side = t["side"].to_numpy()
-        h, d, sids, ns = _gathered(t.filter(pa.array(side == 0)))
-        ph, pd_, psids, pns = _gathered(t.filter(pa.array(side == 1)))
-        order = np.argsort(ph, kind="stable")
-        ph, pd_ = ph[order], pd_[order]
-        lo = np.searchsorted(ph, h, "left")
-        count = np.searchsorted(ph, h, "right") - lo
-        some = np.flatnonzero(count)
-        lo, count, d = lo[some], count[some], d[some]
-        ends = np.cumsum(count)
-        keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        a = 0
-        while a < len(some):  # so many pairs at a time
-            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PAIRS, "right")))
-            x, y = np.repeat(d[a:b], count[a:b]), pd_[_ranges(lo[a:b], count[a:b])]
-            near = (4 * np.minimum(ns[x], pns[y]) >= 3 * np.maximum(ns[x], pns[y])) & (sids[x] != psids[y])
-            new, n = np.unique(y[near] * len(sids) + x[near], return_counts=True)
-            keys, back = np.unique(np.concatenate([keys, new]), return_inverse=True)
-            sums = np.bincount(back, np.concatenate([sums, n]), len(keys)).astype(np.int64)
-            a = b
-        y, x = keys // max(len(sids), 1), keys % max(len(sids), 1)
-        u, v = psids[y], sids[x]
-        group = (kit.mixed(u.view(np.uint64) ^ kit.mixed(v.view(np.uint64))) % np.uint64(groups)).astype(np.int64)
-        order = np.argsort(group, kind="stable")
-        edges = np.flatnonzero(np.diff(group[order], prepend=-1, append=-1))
-        whole = [c[order] for c in (u, v, pns[y].astype(np.int32), ns[x].astype(np.int32), sums.astype(np.int32))]
-        rows = [[c[i:e].tobytes() for c in whole] for i, e in zip(edges[:-1], edges[1:], strict=True)]
-        return pa.table({"group": group[order][edges[:-1]], **{k: pa.array([r[i] for r in rows], pa.binary()) for i, k in enumerate(("u", "v", "un", "vn", "o"))}})
+def product(u: tuple[np.ndarray, ...], p: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """The linked pairs of rows of two blocks, each (sids, sizes, members one after another).
 
-    def summed(t: pa.Table) -> pa.Table:
-        u, v, un, vn, o = (np.frombuffer(b"".join(t[k].to_pylist()), kind) for k, kind in (("u", np.int64), ("v", np.int64), ("un", np.int32), ("vn", np.int32), ("o", np.int32)))
-        order = np.lexsort((v, u))
-        u, v, un, vn, o = (c[order].astype(np.int64) for c in (u, v, un, vn, o))
-        first = np.flatnonzero(np.concatenate([np.ones(min(len(u), 1), bool), (u[1:] != u[:-1]) | (v[1:] != v[:-1])]))
-        o = np.add.reduceat(o, first) if len(u) else o
-        u, v, un, vn = (c[first] for c in (u, v, un, vn))
-        linked = 100 * o >= 75 * (vn + un - o)
-        return pa.table({"u": u[linked], "v": v[linked]})
-
-    own = sets.join(pivots, "sid", "left_semi")
-    pieces = _pieces(sets, bits, 0).union(_pieces(own, bits, 1))
-    partial = pieces.groupBy("block").applyInArrow(product, "group long, u binary, v binary, un binary, vn binary, o binary")
-    return partial.groupBy("group").applyInArrow(summed, "u long, v long")
-
-
-def _values(members: pa.Array) -> np.ndarray:
-    """The hashes of a binary column's rows, as they follow each other in its buffer."""
-    edges = np.frombuffer(members.buffers()[1], np.int64 if pa.types.is_large_binary(members.type) else np.int32)
-    lo, hi = edges[members.offset], edges[members.offset + len(members)]
-    return np.frombuffer(members.buffers()[2], np.uint8)[lo:hi].view(np.uint64) if hi > lo else np.zeros(0, np.uint64)
-
-
-def links_near(sets: DataFrame, pivots: DataFrame, total: int) -> DataFrame:
-    """links() without an exchange: row blocks of pivots go to the sets, whose overlaps sum up where they lie."""
-    own = kit.stored(sets.join(pivots, "sid", "left_semi"), "pivots")
-    parts = -(-total // PIVOT_SHINGLES)
-    found = []
-    for part in range(parts):
-        rows = own.filter(F.pmod(F.xxhash64("sid"), F.lit(parts)) == part).select("sid", "n", "members").toArrow()
-        psids, pns = (np.array(rows[c].to_numpy(), np.int64) for c in ("sid", "n"))
-        ph = np.concatenate([np.zeros(0, np.uint64), *(_values(c) for c in rows["members"].chunks)])
-        del rows  # the driver holds one part at a time, and one copy of it
-        order = np.argsort(ph, kind="stable")
-        ph, owner = ph[order], np.repeat(np.arange(len(psids), dtype=np.int32), pns)[order]
-        del order
-
-        def run(batches: Iterator[pa.RecordBatch], psids=psids, pns=pns, ph=ph, owner=owner) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                step = max(1, 2 * PAIRS // max(len(psids), 1))
-                for lo in range(0, b.num_rows, step):
-                    p = b.slice(lo, step)
-                    sids, ns = p.column(0).to_numpy(), p.column(1).to_numpy()
-                    h = np.frombuffer(b"".join(p.column(2).to_pylist()), np.uint64)
-                    d = np.repeat(np.arange(len(ns)), ns)
-                    first = np.searchsorted(ph, h, "left")
-                    count = np.searchsorted(ph, h, "right") - first
-                    some = np.flatnonzero(count)
-                    first, count, d = first[some], count[some], d[some]
-                    ends, a = np.cumsum(count), 0
-                    o = np.zeros(len(ns) * len(psids), np.int64)
-                    while a < len(some):
-                        e = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PAIRS, "right")))
-                        o += np.bincount(np.repeat(d[a:e], count[a:e]) * len(psids) + owner[_ranges(first[a:e], count[a:e])], minlength=len(o))
-                        a = e
-                    at = np.flatnonzero(o)
-                    x, y = at // len(psids), at % len(psids)
-                    linked = (100 * o[at] >= 75 * (ns[x] + pns[y] - o[at])) & (sids[x] != psids[y])
-                    yield pa.RecordBatch.from_arrays([pa.array(psids[y[linked]]), pa.array(sids[x[linked]])], ["u", "v"])
-
-        if len(psids):
-            found.append(kit.stored(sets.select("sid", "n", "members").mapInArrow(run, "u long, v long"), "links"))
-    return functools.reduce(DataFrame.union, found) if found else own.select(F.col("sid").alias("u"), F.col("sid").alias("v")).limit(0)
-
-
-def verified(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs(u, v) that link."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            members = [[np.frombuffer(x, np.uint64) for x in b.column(c).to_pylist()] for c in (2, 3)]
-            o = np.array([len(np.intersect1d(x, y, True)) for x, y in zip(*members, strict=True)], np.int64)
-            n = np.array([len(x) + len(y) for x, y in zip(*members, strict=True)], np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(100 * o >= 75 * (n - o))) for c in (0, 1)], ["u", "v"])
-
-    sides = [sets.select(F.col("sid").alias(c), F.col("n").alias(c + "n"), F.col("members").alias(c + "m")) for c in "uv"]
-    near = pairs.join(sides[0], "u").join(sides[1], "v").filter(4 * F.least("un", "vn") >= 3 * F.greatest("un", "vn"))
-    return near.select("u", "v", "um", "vm").mapInArrow(run, "u long, v long")
+    Entry (i, j) of the product of the incidence matrices is the overlap of row i of u and
+    row j of p. It is accumulated over COLUMNS ranges of shingles. After each range pairs are
+    discarded whose sum, with all shingles that the smaller rest could still add, stays below
+    what their sizes ask for; rows and columns without pairs take no further part.
+    """
+    (psids, pns, ph), found = p, []
+    order = np.argsort(ph, kind="stable")
+    ph, powner = ph[order], np.repeat(np.arange(len(psids)), pns)[order]
+    edges = (np.arange(1, COLUMNS, dtype=np.uint64) << np.uint64(64 - COLUMNS.bit_length() + 1)).astype(np.uint64)
+    pcut = np.concatenate([[0], np.searchsorted(ph, edges), [len(ph)]])
+    first = np.concatenate([[0], np.cumsum(u[1])])
+    step = max(1, CELLS // max(len(psids), 1))
+    for lo in range(0, len(u[0]), step):
+        sids, ns = u[0][lo : lo + step], u[1][lo : lo + step]
+        h = u[2][first[lo] : first[min(lo + step, len(u[0]))]]
+        order = np.argsort(h, kind="stable")
+        h, owner = h[order], np.repeat(np.arange(len(sids)), ns)[order]
+        cut = np.concatenate([[0], np.searchsorted(h, edges), [len(h)]])
+        need = needed_overlap(ns[:, None], pns[None, :])
+        live = (4 * np.minimum(ns[:, None], pns[None, :]) >= 3 * np.maximum(ns[:, None], pns[None, :])) & (sids[:, None] != psids[None, :])
+        sums, left, pleft = np.zeros(need.shape, np.int64), ns.copy(), pns.copy()
+        for k in range(COLUMNS):
+            some, psome = live.any(1), live.any(0)
+            if not some.any():
+                break
+            x, y = slice(cut[k], cut[k + 1]), slice(pcut[k], pcut[k + 1])
+            left -= np.bincount(owner[x], minlength=len(ns))
+            pleft -= np.bincount(powner[y], minlength=len(pns))
+            mine, theirs = some[owner[x]], psome[powner[y]]
+            a, row, b, column = h[x][mine], owner[x][mine], ph[y][theirs], powner[y][theirs]
+            at = np.searchsorted(b, a, "left")
+            count = np.searchsorted(b, a, "right") - at
+            shared = np.flatnonzero(count)
+            at, count, row = at[shared], count[shared], row[shared]
+            ends, i = np.cumsum(count), 0
+            while i < len(shared):  # so many products at a time
+                e = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PAIRS, "right")))
+                np.add.at(sums.reshape(-1), np.repeat(row[i:e], count[i:e]) * len(pns) + column[_ranges(at[i:e], count[i:e])], 1)
+                i = e
+            live &= sums + np.minimum(left[:, None], pleft[None, :]) >= need
+        i, j = np.nonzero(live)
+        found.append((sids[i], psids[j]))
+    return tuple(np.concatenate([np.zeros(0, np.int64), *c]) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+
+
+def spanning(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fewer edges that connect the same: of each u its least v, and that v with the other ones."""
+    order = np.lexsort((v, u))
+    u, v = u[order], v[order]
+    new = np.flatnonzero(np.concatenate([np.ones(min(len(u), 1), bool), u[1:] != u[:-1]]))
+    lead = np.repeat(v[new], np.diff(np.append(new, len(u))))
+    pairs = np.unique(np.stack([lead, v])[:, lead != v], axis=1)
+    return np.concatenate([u[new], pairs[0]]), np.concatenate([v[new], pairs[1]])
+
+
+def links(sets: DataFrame, rows: DataFrame, pivots: DataFrame, parts: int) -> DataFrame:
+    """u, v: edges that connect the linked pairs of rows(sid, part) and pivots(sid, part) of the same part.
+
+    A part's pivots are one side of a block; its rows are cut so that a block has about
+    POSTINGS shingles of them, whatever their number. Blocks are formed by exchange.
+    """
+    def run(t: pa.Table) -> pa.Table:
+        side = t["side"].to_numpy()
+        blocks = []
+        for k in (0, 1):
+            own = t.filter(pa.array(side == k))
+            blocks.append((np.array(own["sid"].to_numpy(), np.int64), np.array(own["n"].to_numpy(), np.int64), np.frombuffer(b"".join(own["members"].to_pylist()), np.uint64)))
+        u, v = spanning(*product(*blocks)) if len(blocks[0][0]) and len(blocks[1][0]) else (np.zeros(0, np.int64),) * 2
+        return pa.table({"u": u, "v": v})
+
+    sized = rows.join(sets.select("sid", "n"), "sid").groupBy("part").agg(F.floor(F.sum("n") / POSTINGS).alias("_last"))
+    sized = kit.stored(sized, "parts")
+    few = F.broadcast(sized) if parts <= MAX_BROADCAST else sized
+    left = rows.join(few, "part").select("sid", "part", F.pmod(F.xxhash64("sid", F.lit(7)), F.col("_last") + 1).alias("cut"), F.lit(0).alias("side"))
+    right = pivots.join(few, "part").select("sid", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))).alias("cut"), F.lit(1).alias("side"))
+    whole = left.union(right).join(sets.select("sid", "n", "members"), "sid").select("part", "cut", "side", "sid", "n", "members")
+    return whole.groupBy("part", "cut").applyInArrow(run, "u long, v long")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """sid, comp: the least node reachable over edges(u, v), for nodes that have any; star contraction.
 
-    It ends when a round leaves the edges as they were, by their number and two sums of hashes.
+    A round makes large stars, then small stars. It ends when a round leaves the edges as
+    they were, by their number and two sums of hashes, which are observed as they are written.
     """
-    edges = kit.stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct(), "edges")
-    state = None
+    def kept(df: DataFrame) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        sums = [F.sum(F.xxhash64("u", "v", F.lit(k)).cast("decimal(38,0)")).alias(f"s{k}") for k in range(2)]
+        found = kit.stored(df.filter("u != v").distinct().observe(seen, F.count("*").alias("n"), *sums), "edges")
+        return found, tuple(seen.get.values())
+
+    edges, state = kept(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
-        large = kit.stored(large.filter("u != v").distinct(), "large")
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).filter("u != v")
+        large = kit.stored(large.distinct(), "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        after = kit.stored(small.filter("u != v").distinct(), "edges")
+        after, now = kept(small)
         kit.release(edges, large)
-        sums = [F.sum(F.xxhash64("u", "v", F.lit(k)).cast("decimal(38,0)")) for k in range(2)]
-        edges, before, state = after, state, after.agg(F.count("*"), *sums).first()
+        edges, before, state = after, state, now
         if state == before:
             named = edges.select(F.col("u").alias("sid"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("sid"), F.col("v").alias("comp")).distinct())
             found = kit.stored(named, "label")
@@ -437,7 +385,7 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     bits = max(1, (kit.blocks_for(total, POSTINGS, 16, spark) * 2 - 1).bit_length())
     classes = kit.stored(rows.filter("sid != 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes")
     bound = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * 3 / 4) / 8))
-    alive = shared_counts(docs, _of_texts, bits, total, False).join(classes, "sid").filter(F.col("shared") >= bound).filter(F.col("rep").isNotNull())
+    alive = shared_counts(docs, _of_texts, bits, total, False).join(classes, "sid").filter(F.col("shared") >= bound)
     alive = kit.stored(alive.select("sid", "rep"), "alive")
     every = kit.stored(sets_of(docs, alive), "sets")
     kit.release(alive)
@@ -446,40 +394,52 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     shared = shared_counts(every, _of_sets, bits, total, True)
     sets = kit.stored(every.join(shared, "sid").filter(4 * F.col("shared") >= 3 * F.col("n")).select("sid", "n", "members"), "sets")
     kit.release(every)
-    size = sets.agg(F.count("*").alias("sets"), F.sum("n").alias("n")).first()
-    blocks = max(64, -(-(size["n"] or 0) // POSTINGS))
-    common = commonness(sets)
-    held = kit.stored(prefixes(sets, common), "held")
-    least = held.groupBy("h").agg(F.count("*").alias("k"), F.min("sid").alias("m")).filter("k > 1").select("h", "m")
-    pairs = held.join(least, "h").filter("sid != m").groupBy("sid").agg(F.min("m").alias("v")).select(F.col("sid").alias("u"), "v")
-    label = components(verified(sets, pairs))
-    for step in range(PAIR_ROUNDS + 1):
-        named = kit.stored(held.join(label, "sid", "left").select("h", "sid", F.coalesce("comp", "sid").alias("comp")), "named")
-        some = F.min_by("sid", F.xxhash64("sid", F.lit(step))).alias("some")
-        per = named.groupBy("h", "comp").agg(F.count("*").alias("k"), some)
-        most = F.max_by(F.struct("comp", "some"), F.struct("k", "comp")).alias("most")
-        split = kit.stored(per.groupBy("h").agg(most, F.count("*").alias("comps")).filter("comps > 1").select("h", "most.*").withColumnRenamed("comp", "largest"), "split")
-        if split.isEmpty():  # every shingle is held by one component
-            break
-        rest = named.join(split, "h").filter("comp != largest")
-        if step < PAIR_ROUNDS:
-            pairs = rest.groupBy("sid").agg(F.min_by("some", F.xxhash64("some", F.lit(step))).alias("v")).select(F.col("sid").alias("u"), "v")
-            new = verified(sets, pairs)
-        else:
-            pivots = kit.stored(rest.select("sid").distinct(), "pivots")
-            total = sets.join(pivots, "sid", "left_semi").agg(F.sum("n")).first()[0] or 0
-            near = total <= MOST_PARTS * PIVOT_SHINGLES
-            new = links_near(sets, pivots, total) if near else links(sets, pivots, (blocks - 1).bit_length(), blocks)
-        known = label.select(F.col("sid").alias("u"), F.col("comp").alias("v"))
-        old, label = label, components(known.union(new))
-        kit.release(old, named, split)
+    parts = 1 + (sets.agg(F.sum("n")).first()[0] or 0) // PIVOT_SHINGLES
+    held = kit.stored(prefixes(sets, commonness(sets)), "held")
+    label = joined(sets, held, parts)
     kit.release(held, sets)
     named = label.join(classes, "sid")
-    least = kit.stored(named.groupBy("comp").agg(F.min("rep").alias("least")), "least")
+    least = named.groupBy("comp").agg(F.min("rep").alias("least"))
     of = kit.stored(classes.join(label, "sid", "left").join(least, "comp", "left").select("sid", F.coalesce("least", "rep").alias("component_id")), "of")
-    kit.release(label, least, classes)
-    joined = rows.join(of, "sid", "left")
-    return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sid") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    kit.release(label, classes)
+    kit.tidy(spark)
+    whole = rows.join(of, "sid", "left")
+    return whole.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sid") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def joined(sets: DataFrame, held: DataFrame, parts: int) -> DataFrame:
+    """sid, comp: components of the links of all sets; held(h, sid): the shingles of which linked sets share one."""
+    part = lambda c: F.pmod(F.xxhash64(c, F.lit(3)), F.lit(parts)).alias("part")
+    some = lambda c, k: F.min_by(c, F.xxhash64(c, F.lit(k)))
+    two = held.groupBy("h").agg(F.count("*").alias("k"), F.array(F.min("sid"), some("sid", 1)).alias("v")).filter("k > 1")
+    pairs = held.join(two.select("h", F.explode("v").alias("v")), "h").filter("sid != v").select("sid", "v")
+    label, known = None, None
+    for step in range(ROUNDS):
+        pairs = kit.stored(pairs.distinct(), "pairs")
+        new = kit.stored(links(sets, pairs.select("sid", part("v")).distinct(), pairs.select(F.col("v").alias("sid"), part("v")).distinct(), parts), "links")
+        kit.release(pairs)
+        old, label = label, components(new if known is None else new.union(known))
+        kit.release(new, *([old] if old else []))
+        kit.tidy(sets.sparkSession)
+        known = label.select(F.col("sid").alias("u"), F.col("comp").alias("v"))
+        named = held.join(label, "sid", "left").select("h", "sid", F.coalesce("comp", "sid").alias("comp"))
+        per = named.groupBy("h", "comp").agg(F.count("*").alias("k"), some("sid", step + 2).alias("some"))
+        most = F.max_by(F.struct("comp", "some"), F.struct("k", "comp")).alias("most")
+        split = per.groupBy("h").agg(most, F.count("*").alias("comps")).filter("comps > 1").select("h", "most.some", F.col("most.comp").alias("largest"))
+        open_ = kit.stored(named.join(split, "h"), "open")
+        rest = open_.filter("comp != largest")
+        many = rest.select("sid").distinct().count()
+        if not many:  # every shingle is held by one component
+            return label
+        if many <= FEW:
+            break
+        pairs = rest.select("sid", F.col("some").alias("v"))
+    pivots = rest.select("h", "sid", part("sid")).distinct()
+    asked = open_.join(pivots.select("h", "part").distinct(), "h").select("sid", "part").distinct()
+    new = kit.stored(links(sets, asked, pivots.select("sid", "part").distinct(), parts), "links")
+    last = components(new.union(known))
+    kit.release(new, label, open_)
+    return last
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -489,11 +449,12 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     doc_id are told apart. Rows with an empty set are copies of each other if their id is
     the same, null included, and their text is.
     """
-    own = kit.numbered(docs, "_row")
-    found = ngram_components(own, id_col="_row").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_comp"), F.col("n_shingles").alias("_n"))
+    row = kit.unused(docs, "row")
+    own = kit.numbered(docs, row)
+    found = ngram_components(own, id_col=row).select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_comp"), F.col("n_shingles").alias("_n"))
     id_, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))
-    keys = own.select("_row", id_.alias("_id"), F.sha2(text, 256).alias("_s")).join(found, "_row")
+    keys = own.select(F.col(row).alias("_row"), id_.alias("_id"), F.sha2(text, 256).alias("_s")).join(found, "_row")
     empty = F.col("_n") == 0
     group = [F.when(~empty, F.col("_comp")).alias("_c"), *[F.when(empty, F.col(c)).alias(c + "e") for c in ("_id", "_s")]]
-    kept = keys.groupBy(*group).agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("least")).select(F.col("least._row").alias("_row"))
-    return own.join(kit.stored(kept, "kept"), "_row", "left_semi").drop("_row")
+    kept = keys.groupBy(*group).agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("least")).select(F.col("least._row").alias(row))
+    return own.join(kit.stored(kept, "kept"), row, "left_semi").drop(row)

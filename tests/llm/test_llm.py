@@ -58,19 +58,64 @@ def test_ngram_join(spark, docs, texts):
     got = ngram_join.ngram_components(docs).collect()
     assert len(got) == docs.count()
     assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got if r["doc_id"] is not None} == {(i, len(sets[i]), label[i]) for i in sets}
+    assert [r["component_id"] for r in got if r["doc_id"] is None] == [None]
     kept = ngram_join.deduplicated(docs).collect()
     assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == sorted({label[i] for i in sets})
     assert ngram_join.ngram_components(empty(spark)).count() == 0
 
 
-def test_products_agree(spark, docs):
-    """The exchanged product and the one in place find the same links."""
-    own = docs.filter("doc_id is not null and length(text) > 5").select("doc_id", "text").dropDuplicates(["text"])
-    every = ngram_join.described(own).filter("n > 0")
-    sets = kit.stored(ngram_join.sets_of(own, every.selectExpr("sid", "doc_id as rep")), "sets")
-    pivots = sets.select("sid")
-    a = {tuple(r) for r in ngram_join.links(sets, pivots, 3, 8).collect()}
-    assert a and a == {tuple(r) for r in ngram_join.links_near(sets, pivots, 10_000).collect()}
+def brute_components(rows):
+    """Least id (None without any) reachable over links, by row of rows(id, text)."""
+    def shingles(t):
+        w = tokens(t)
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+    sets, at = [shingles(t) for _, t in rows], list(range(len(rows)))
+    for a, b in combinations(range(len(rows)), 2):
+        if sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+            at = [at[a] if x == at[b] else x for x in at]
+    least = {k: min((i for (i, _), x in zip(rows, at) if x == k and i is not None), default=None) for k in set(at)}
+    return [(i, len(s), least[x] if s else i) for (i, _), s, x in zip(rows, sets, at)]
+
+
+def edited(text, places, mark):
+    w = text.split()
+    for i in places:
+        w[i] = f"{mark}{i}"
+    return " ".join(w)
+
+
+@pytest.fixture(scope="module")
+def copies():
+    """Chains of near copies through rows without an id, ids with several texts, one large group, a shared passage."""
+    rng = np.random.default_rng(5)
+    a, shared = base(200, 11), base(40, 12)
+    chain = [a, edited(a, (50, 120), "x"), edited(edited(a, (50, 120), "x"), (20, 90), "y"), edited(edited(edited(a, (50, 120), "x"), (20, 90), "y"), (150, 180), "z")]
+    rows = [(1, chain[0]), (None, chain[1]), (None, chain[2]), (3, chain[3]), (3, base(60, 13)), (None, base(60, 13)), (2, base(60, 14)), (2, base(60, 14)), (None, base(70, 15)), (None, base(70, 15))]
+    rows += [(100 + i, edited(base(120, 16), rng.choice(120, int(rng.integers(0, 3)), False), f"q{i}_")) for i in range(60)]
+    rows += [(200 + i, base(30, 300 + i) + " " + shared + " " + base(30, 400 + i)) for i in range(30)]
+    return rows + [(300 + i, shared + " " + base(int(rng.integers(4, 14)), 500 + i)) for i in range(30)] + [(None, None), (400, ""), (401, "a b"), (402, "A B")]
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_ngram_join_of_chains_groups_and_passages(spark, copies, monkeypatch, small):
+    if small:  # many blocks and all rounds
+        for name, value in (("PIVOT_SHINGLES", 300), ("POSTINGS", 500), ("CELLS", 64), ("PAIRS", 50), ("FEW", 0)):
+            monkeypatch.setattr(ngram_join, name, value)
+    got = ngram_join.ngram_components(spark.createDataFrame(copies, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(brute_components(copies), key=repr)
+
+
+def test_product_equals_brute_force():
+    rng = np.random.default_rng(4)
+    pool = rng.integers(0, 1 << 63, 60, np.uint64) * np.uint64(2)
+    sets = [np.sort(rng.choice(pool, int(rng.integers(20, 60)), False)) for _ in range(40)]
+    sets += [np.sort(rng.choice(s, max(1, len(s) - 3), False)) for s in sets[:20]]
+    block = (np.arange(len(sets)), np.array([len(s) for s in sets]), np.concatenate(sets))
+    want = {(i, j) for i in range(len(sets)) for j in range(len(sets)) if i != j and 100 * len(np.intersect1d(sets[i], sets[j])) >= 75 * len(np.union1d(sets[i], sets[j]))}
+    assert want and set(zip(*ngram_join.product(block, block), strict=True)) == want
+    u, v = ngram_join.spanning(*ngram_join.product(block, block))
+    assert len(u) <= len(want) and set(zip(u, v, strict=True)) <= want | {(b, a) for a, b in want} | {(a, c) for a, b in want for x, c in want if x == b}
 
 
 def test_rules_statistics(spark, docs, texts):
