@@ -1,29 +1,32 @@
 """Language-model scores: unigram base and a hashed maximum-entropy model.
 
-Base counts are exact over all training documents: every document sends its distinct
-word hashes with their times to blocks of the hash range, which count each word over
-the training documents and return, per document, the sum of log10(count + 1) and the
-number of known words. No list of words is ever gathered.
+Base counts are exact over all documents. Tasks send the counts of their words, summed
+before they are sent, to blocks of the hash range; what comes of it are the totals and the
+head: words that make up at least a 2^-HEAD of all tokens, so at most 2^HEAD of them,
+which every executor gets. The logarithms of head words are summed where the documents
+lie. Of all other words each document sends its hashes and their times to blocks, which
+return sums per document; no key of theirs holds more than a 2^-HEAD of the tokens.
 
 The model is a softmax factored by classes, P(word) = P(class | context) * P(word | class,
 context). A word's class follows from its first and last byte; the end of a text is a
 class. Inside a class the word's hash, five bits at a time, names a path of `depth` further
 choices of 32, each a softmax of the same kind; words that share the whole path (a cell)
 have their relative frequencies, (c + 1) / (N + V + 1) of the cell, which leaves each cell a
-share for unseen words, so that all outcomes' probabilities add up to 1. The depth follows
-the corpus: a cell has some 2^15 / 32 training tokens, about one frequent word.
+share for unseen words, so that all outcomes' probabilities add up to 1. The depth grows
+with the logarithm of the corpus.
 
 A choice's scores are sums of rows of a table of weights, one row for each hashed feature
-of the words before: none, the previous word, the previous two, the previous word with the
-class of the one before it, and the skips over one and over two words; each together with
-the path so far. The table grows with the square root of the training tokens, since every
-executor holds it. It is trained by distributed gradient updates: in a pass over all
-training tokens every task takes Adagrad steps on its part and sends the rows it changed;
-a row becomes its average over the tasks that used it, by use. Passes end when the
-log likelihood gains less than SETTLED of what the first pass met, or at PASSES.
-
-Null and empty texts are one end token. Rows with a null doc_id are learned from and not
-held out. Repeated rows are scored each. Without training documents counts are zero.
+of the words before: none, the previous word, the previous two, and the skip over one word;
+each together with the path so far. The table grows with the square root of the training
+tokens, since every executor holds it. It is trained by distributed gradient updates: in a
+pass over all training tokens every task takes Adagrad steps on its part and sends the rows
+it changed; a row becomes its average over the tasks that used it, by use. Passes end when
+the log likelihood gains less than SETTLED of what the first pass met, or at PASSES.
+
+Words are told apart by 64-bit hashes. Null and empty texts are one end token. Rows with a
+null doc_id are learned from and not held out. Repeated rows are scored each. Without
+training documents counts are zero. An empty table gives no rows. Only the two named
+columns are read.
 """
 
 from __future__ import annotations
@@ -41,13 +44,17 @@ CLASSES = 32
 END = CLASSES - 1
 WAYS = 5  # bits of a choice inside a class
 BUCKETS = 1 << 13  # the least number of rows of weights
-BATCH = 1 << 12
+BATCH = 1 << 14
 RATE = 0.25
-SETTLED = 0.02
+SETTLED = 0.05
 PASSES = 20
 TASK_BYTES = 256 << 20
 SLICES = 16
 POSTINGS = 2_000_000
+#: Head words have at least a 2^-HEAD of all tokens.
+HEAD = 15
+#: Words whose counts a task holds before it sends them.
+HELD = 1 << 20
 
 
 def _classes() -> np.ndarray:
@@ -66,7 +73,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def shape(tokens: int) -> tuple[int, int]:
     """Choices inside a class, and rows of weights, for so many training tokens."""
-    return max(1, round(np.log2(max(tokens, 1) / 2**15) / WAYS)), max(BUCKETS, 16 * int(max(tokens, 1) ** 0.5))
+    return max(1, round(np.log2(max(tokens, 1) / 2**19) / WAYS)), max(BUCKETS, 16 * int(max(tokens, 1) ** 0.5))
 
 
 def cells(h: np.ndarray, depth: int) -> np.ndarray:
@@ -74,7 +81,7 @@ def cells(h: np.ndarray, depth: int) -> np.ndarray:
 
 
 def stream(h: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Hashes of all tokens, ends included, their documents, and the first, second and third token before each."""
+    """Hashes of all tokens, ends included, their documents, and the first and second token before each."""
     n = np.bincount(doc, minlength=n_docs) + 1
     edges = np.concatenate([[0], np.cumsum(n)])
     out = np.full(edges[-1], END, np.uint64)
@@ -82,7 +89,7 @@ def stream(h: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.
     owner = np.repeat(np.arange(n_docs), n)
     depth = np.arange(len(out)) - edges[owner]
     context = []
-    for back in (1, 2, 3):
+    for back in (1, 2):
         before = np.full(len(out), END, np.uint64)  # nothing before the first token: as after an end
         before[back:] = out[:-back]
         before[depth < back] = END
@@ -91,9 +98,9 @@ def stream(h: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.
 
 
 def feature_hashes(context: list[np.ndarray]) -> np.ndarray:
-    """Hashes of the six features of each context."""
-    one, two, three = context
-    parts = ([], [one], [one, two], [one, two & np.uint64(CLASSES - 1)], [two], [three])
+    """Hashes of the four features of each context."""
+    one, two = context
+    parts = ([], [one], [one, two], [two])
     out = np.empty((len(one), len(parts)), np.uint64)
     for k, own in enumerate(parts):
         h = np.full(len(one), k + 1, np.uint64)
@@ -234,105 +241,190 @@ def trained(train: DataFrame, depth: int, buckets: int) -> tuple[np.ndarray, lis
     return weights, history
 
 
-def word_sums(docs: DataFrame, blocks: int, depth: int) -> DataFrame:
-    """Packed partial sums per document key (of log10(count + 1), known words, log10 shares of the cell), and (group -1) tokens and distinct words per class."""
+class Counts:
+    """Totals of the training documents, counts of the head words, and the totals of each cell."""
+
+    def __init__(self, docs: DataFrame, blocks: int, depth: int, train: int) -> None:
+        """docs(text, held_out); train: how many documents are learned from, each with one end token."""
+        stored = kit.stored(word_counts(docs, blocks), "counts")
+        every = stored.agg(F.sum("total")).first()[0] or 0
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for h, c, of_all in zip(*(b.column(k).to_pylist() for k in (0, 1, 2)), strict=True):
+                    h, c, of_all = np.frombuffer(h, np.uint64), np.frombuffer(c, np.int64), np.frombuffer(of_all, np.int64)
+                    cell, back = np.unique(cells(h, depth), return_inverse=True)
+                    n, v = (np.bincount(back, x, len(cell)).astype(np.int64) for x in (c, c > 0))
+                    some = of_all << HEAD >= every
+                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (cell, n, v, h[some], c[some])], ["cell", "n", "v", "h", "c"])
+
+        found = stored.select("h", "c", "of_all").mapInArrow(run, "cell binary, n binary, v binary, h binary, c binary").collect()
+        kit.release(stored)
+        whole = lambda name, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(r[name], kind) for r in found)])
+        h = whole("h", np.uint64)
+        order = np.argsort(h)
+        self.head, self.count = h[order], whole("c", np.int64)[order]
+        self.cell, back = np.unique(whole("cell", np.uint64), return_inverse=True)
+        n, v = (np.bincount(back, whole(k, np.int64), len(self.cell)).astype(np.int64) for k in ("n", "v"))
+        self.size, self.depth, self.train = n + v + 1, depth, train
+        self.tokens, self.distinct = int(n.sum()) + train, int(v.sum()) + (train > 0)
+
+    def logs(self, h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 of count + 1, and of the share in the cell, of words h with counts c; all cells of words are known."""
+        log = np.log10(c + 1)
+        return log, log - np.log10(self.size[np.searchsorted(self.cell, cells(h, self.depth))])
+
+    def in_head(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place in the head, and whether the word is there at all."""
+        at = np.minimum(np.searchsorted(self.head, h), max(len(self.head) - 1, 0))
+        return at, self.head[at] == h if len(self.head) else np.zeros(len(h), bool)
+
+
+def _block(h: np.ndarray, blocks: int) -> np.ndarray:
+    return ((h >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
+
+
+def _runs(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending blocks and the edges of their runs."""
+    edges = np.flatnonzero(np.diff(block, prepend=-1, append=-1))
+    return block[edges[:-1]], edges
+
+
+def word_counts(docs: DataFrame, blocks: int) -> DataFrame:
+    """h, c, of_all (packed: words and their counts in training and in all documents) and total, by block of the hash range."""
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def merged() -> tuple[np.ndarray, ...]:
+            h, back = np.unique(np.concatenate([x[0] for x in held]), return_inverse=True)
+            return h, *(np.bincount(back, np.concatenate([x[k] for x in held]), len(h)).astype(np.int64) for k in (1, 2))
+
+        def sent(h: np.ndarray, c: np.ndarray, of_all: np.ndarray) -> pa.RecordBatch:
+            at, edges = _runs(_block(h, blocks))
+            cols = [[x[i:e].tobytes() for i, e in zip(edges[:-1], edges[1:], strict=True)] for x in (h, c, of_all)]
+            return pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(x, pa.binary()) for x in cols)], ["block", "h", "c", "of_all"])
+
+        for b in batches:
+            for lo, hi, data, offsets in kit.text_chunks(b.column(0)):
+                h, _, doc = words(data, offsets)
+                out = b.column(1).slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(bool)
+                h, back, n = np.unique(h, return_inverse=True, return_counts=True)
+                held.append((h, np.bincount(back, ~out[doc], len(h)).astype(np.int64), n))
+                if sum(len(x[0]) for x in held) > 2 * HELD:
+                    held = [merged()]
+                    if len(held[0][0]) > HELD:
+                        yield sent(*held.pop())
+        if held:
+            yield sent(*merged())
+
+    def added(t: pa.Table) -> pa.Table:
+        h, back = np.unique(np.frombuffer(b"".join(t["h"].to_pylist()), np.uint64), return_inverse=True)
+        c, of_all = (np.bincount(back, np.frombuffer(b"".join(t[k].to_pylist()), np.int64), len(h)).astype(np.int64) for k in ("c", "of_all"))
+        return pa.table({"total": [int(of_all.sum())], **{k: pa.array([x.tobytes()], pa.binary()) for k, x in (("h", h), ("c", c), ("of_all", of_all))}})
+
+    rows = docs.select("text", "held_out").mapInArrow(counts, "block long, h binary, c binary, of_all binary")
+    return rows.groupBy("block").applyInArrow(added, "total long, h binary, c binary, of_all binary")
+
+
+def tail_sums(docs: DataFrame, counts: Counts, blocks: int) -> DataFrame:
+    """key, sums, known, shares of the words beyond the head of each key of docs(key, text, held_out)."""
+    sent = docs.sparkSession.sparkContext.broadcast(counts)
+
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, data, offsets in kit.text_chunks(b.column(1), 1 << 20):
                 h, _, doc = words(data, offsets)
+                rare = ~sent.value.in_head(h)[1]
+                h, doc = h[rare], doc[rare]
                 order = np.lexsort((doc, h))
                 h, doc = h[order], doc[order]
                 new = np.flatnonzero(np.concatenate([np.ones(min(len(h), 1), bool), (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]))
                 times = np.diff(np.append(new, len(h)))
-                h, doc = h[new], doc[new].astype(np.uint16)
-                block = ((h >> np.uint64(64 - WAYS * depth)) * np.uint64(blocks) >> np.uint64(WAYS * depth)).astype(np.int64)  # cells stay whole
-                edges = np.flatnonzero(np.diff(block, prepend=-1, append=-1))
-                keys = b.column(0).slice(lo, hi - lo).to_numpy().tobytes()
-                held = b.column(2).slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(np.uint8).tobytes()
-                cols = [[x[i:e].tobytes() for i, e in zip(edges[:-1], edges[1:], strict=True)] for x in (h, doc, times.astype(np.uint32))]
-                yield pa.RecordBatch.from_arrays([pa.array(block[edges[:-1]]), *(pa.array(c, pa.binary()) for c in cols), pa.array([keys] * len(cols[0]), pa.binary()), pa.array([held] * len(cols[0]), pa.binary())], ["block", "h", "d", "times", "keys", "held"])
+                h, doc = h[new], doc[new]
+                at, edges = _runs(_block(h, blocks))
+                key = b.column(0).slice(lo, hi - lo).to_numpy()[doc]
+                out = b.column(2).slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(np.uint8)[doc]
+                cols = [[x[i:e].tobytes() for i, e in zip(edges[:-1], edges[1:], strict=True)] for x in (h, key, times.astype(np.uint32), out)]
+                yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(c, pa.binary()) for c in cols)], ["block", "h", "key", "times", "out"])
 
     def counted(t: pa.Table) -> pa.Table:
-        h = np.frombuffer(b"".join(t["h"].to_pylist()), np.uint64)
-        times = np.frombuffer(b"".join(t["times"].to_pylist()), np.uint32).astype(np.float64)
-        keys = [np.frombuffer(x, np.int64) for x in t["keys"].to_pylist()]
-        held = np.frombuffer(b"".join(t["held"].to_pylist()), np.uint8)
-        base = np.concatenate([[0], np.cumsum([len(x) for x in keys])])
-        doc = np.concatenate([np.frombuffer(x, np.uint16).astype(np.int64) + o for x, o in zip(t["d"].to_pylist(), base[:-1], strict=True)])
+        h, key, times, out = (np.frombuffer(b"".join(t[k].to_pylist()), kind) for k, kind in (("h", np.uint64), ("key", np.int64), ("times", np.uint32), ("out", np.uint8)))
         values, back = np.unique(h, return_inverse=True)
-        c = np.bincount(back, times * (held[doc] == 0), len(values))
-        some = c > 0
-        cls = (values & np.uint64(CLASSES - 1)).astype(np.int64)
-        stats = [np.bincount(cls, w, CLASSES) for w in (c, some)]
-        _, cell = np.unique(cells(values, depth), return_inverse=True)
-        share = np.log10((c + 1) / (np.bincount(cell, c + some) + 1)[cell])
-        sums = np.bincount(doc, times * np.log10(c + 1)[back], base[-1])
-        known = np.bincount(doc, times * some[back], base[-1])
-        shares = np.bincount(doc, times * share[back], base[-1])
-        keys = np.concatenate(keys)
-        used = np.flatnonzero(np.bincount(doc, minlength=base[-1]))
-        keys, sums, known, shares = keys[used], sums[used], known[used], shares[used]
-        group = keys % 64
+        c = np.bincount(back, times * (out == 0), len(values)).astype(np.int64)
+        keys, row = np.unique(key, return_inverse=True)
+        sums = [np.bincount(row, times * x[back], len(keys)) for x in (*sent.value.logs(values, c), c > 0)]
+        group = (kit.mixed(keys.view(np.uint64)) % np.uint64(blocks)).astype(np.int64)
         order = np.argsort(group, kind="stable")
-        edges = np.flatnonzero(np.diff(group[order], prepend=-1, append=-1))
-        cut = [[x[order][i:e].tobytes() for i, e in zip(edges[:-1], edges[1:], strict=True)] for x in (keys, sums, known, shares)]
-        return pa.table({"group": pa.array([*group[order][edges[:-1]], -1], pa.int64()), **{k: pa.array([*x, y], pa.binary()) for k, x, y in zip(("keys", "sums", "known", "shares"), cut, (stats[0].tobytes(), stats[1].tobytes(), b"", b""), strict=True)}})
-
-    rows = docs.mapInArrow(postings, "block long, h binary, d binary, times binary, keys binary, held binary")
-    return rows.groupBy("block").applyInArrow(counted, "group long, keys binary, sums binary, known binary, shares binary")
+        at, edges = _runs(group[order])
+        cut = [[x[order][i:e].tobytes() for i, e in zip(edges[:-1], edges[1:], strict=True)] for x in (keys, *sums)]
+        return pa.table({"group": at, **{k: pa.array(x, pa.binary()) for k, x in zip(("keys", "sums", "shares", "known"), cut, strict=True)}})
 
+    def summed(t: pa.Table) -> pa.Table:
+        keys, sums, shares, known = (np.frombuffer(b"".join(t[k].to_pylist()), kind) for k, kind in (("keys", np.int64), ("sums", np.float64), ("shares", np.float64), ("known", np.float64)))
+        ids, back = np.unique(keys, return_inverse=True)
+        return pa.table({"key": ids, **{k: np.bincount(back, x, len(ids)) for k, x in (("sums", sums), ("shares", shares), ("known", known))}})
 
-def _summed(t: pa.Table) -> pa.Table:
-    keys, sums, known, shares = (np.frombuffer(b"".join(t[k].to_pylist()), kind) for k, kind in (("keys", np.int64), ("sums", np.float64), ("known", np.float64), ("shares", np.float64)))
-    ids, back = np.unique(keys, return_inverse=True)
-    return pa.table({"key": ids, "sums": np.bincount(back, sums, len(ids)), "known": np.bincount(back, known, len(ids)).astype(np.int64), "shares": np.bincount(back, shares, len(ids))})
+    rows = docs.select("key", "text", "held_out").mapInArrow(postings, "block long, h binary, key binary, times binary, out binary")
+    partial = rows.groupBy("block").applyInArrow(counted, "group long, keys binary, sums binary, shares binary, known binary")
+    return partial.groupBy("group").applyInArrow(summed, "key long, sums double, shares double, known double")
 
 
-def model_scores(docs: DataFrame, weights: np.ndarray, depth: int) -> DataFrame:
-    """Adds n_tokens and log10 of P(class | context) and of the choices inside it, summed, to docs(doc_id, held_out, key, text)."""
-    sent = docs.sparkSession.sparkContext.broadcast(weights)
+def head_and_model(docs: DataFrame, weights: np.ndarray, counts: Counts) -> DataFrame:
+    """doc_id, held_out, key of docs(.., text) with n_tokens; sums, shares, known of head words and ends; and log10 of the choices, summed."""
+    sent = docs.sparkSession.sparkContext.broadcast((weights, counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sent.value
+        table, counts = sent.value
+        log, share = counts.logs(counts.head, counts.count)
         for b in batches:
             for lo, hi, data, offsets in kit.text_chunks(b.column(3), 1 << 20):
                 h, _, doc = words(data, offsets)
-                h, owner, before = stream(h, doc, hi - lo)
+                at, some = counts.in_head(h)
+                at, mine, n = at[some], doc[some], hi - lo
+                of_head = [np.bincount(mine, x[at], n) for x in (log, share, counts.count > 0)]
+                h, owner, before = stream(h, doc, n)
                 logs = np.zeros(len(h))
-                for at in range(0, len(h), BATCH):
-                    cut = slice(at, at + BATCH)
-                    rows, outcome, token = choices(h[cut], [x[cut] for x in before], depth, len(table))
+                for i in range(0, len(h), BATCH):
+                    cut = slice(i, i + BATCH)
+                    rows, outcome, token = choices(h[cut], [x[cut] for x in before], counts.depth, len(table))
                     logs[cut] = np.bincount(token, log_classes(table, rows)[np.arange(len(rows)), outcome])
-                yield pa.RecordBatch.from_arrays([*(b.column(i).slice(lo, hi - lo) for i in range(3)), pa.array(np.bincount(owner, minlength=hi - lo)), pa.array(np.bincount(owner, logs / np.log(10), hi - lo))], ["doc_id", "held_out", "key", "n_tokens", "logs"])
+                of_head[0] += np.log10(counts.train + 1)
+                of_head[2] += counts.train > 0
+                yield pa.RecordBatch.from_arrays([*(b.column(k).slice(lo, n) for k in range(3)), pa.array(np.bincount(owner, minlength=n)), *map(pa.array, of_head), pa.array(np.bincount(owner, logs / np.log(10), n))], ["doc_id", "held_out", "key", "n_tokens", "sums", "shares", "known", "logs"])
 
-    return docs.mapInArrow(run, "doc_id long, held_out boolean, key long, n_tokens long, logs double")
+    return docs.select("doc_id", "held_out", "key", "text").mapInArrow(run, "doc_id long, held_out boolean, key long, n_tokens long, sums double, shares double, known double, logs double")
 
 
-def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, held_out, key, text; repeated rows have one key."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     out = F.coalesce(kit.remainder(id_col, 7) == 2, F.lit(False))
     key = F.xxhash64(F.lit("row"), F.col(id_col), text)
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), out.alias("held_out"), key.alias("key"), text.alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), out.alias("held_out"), key.alias("key"), text.alias("text"))
+
+
+def fitted(own: DataFrame) -> tuple[Counts, np.ndarray, int]:
+    """Counts and weights learned from the rows of keyed() that are not held out, and how many blocks words go to."""
+    spark = own.sparkSession
     size = own.agg(F.sum(F.octet_length("text")).alias("b"), F.count(F.when(~F.col("held_out"), 1)).alias("train")).first()
-    blocks = min(1 << 16, max(64, kit.blocks_for((size["b"] or 0) // 6, POSTINGS, 64, spark)))
-    depth, _ = shape((size["b"] or 0) // 6)
-    partial = kit.stored(word_sums(own.select("key", "text", "held_out"), blocks, depth), "sums")
-    stats = partial.filter("group = -1").select("keys", "sums").collect()
-    tokens, distinct = (sum((np.frombuffer(r[k], np.float64) for r in stats), np.zeros(CLASSES)) for k in ("keys", "sums"))
-    tokens[END], distinct[END] = size["train"], float(size["train"] > 0)
-    n, v = int(tokens.sum()), int(distinct.sum())
-    tasks = max(spark.sparkContext.defaultParallelism, -(-(size["b"] or 0) // TASK_BYTES))
-    weights, _ = trained(own.filter(~F.col("held_out")).select("text").coalesce(tasks), depth, shape(n)[1])
-    rows = kit.stored(model_scores(own, weights, depth), "rows")
-    sums = partial.filter("length(known) > 0").groupBy("group").applyInArrow(_summed, "key long, sums double, known long, shares double")
-    sums = kit.stored(sums, "sums")
-    copies = kit.stored(rows.groupBy("key").agg(F.count("*").alias("copies")).join(sums, "key", "left").select("key", (F.col("sums") / F.col("copies")).alias("sums"), (F.col("known") / F.col("copies")).cast("long").alias("known"), (F.col("shares") / F.col("copies")).alias("shares")), "copies")
-    end, known = float(np.log10(size["train"] + 1)), int(size["train"] > 0)
-    joined = rows.join(copies, "key", "left")
-    found = F.coalesce("sums", F.lit(0.0)) + end
-    return joined.select(
-        "doc_id", "held_out", "n_tokens", (F.coalesce("known", F.lit(0)) + known).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (found - F.col("n_tokens") * float(np.log10(n + v + 1))).alias("base_score"), (F.coalesce("shares", F.lit(0.0)) + F.col("logs")).alias("score"),
+    total = size["b"] or 0
+    blocks = kit.blocks_for(total // 6, POSTINGS, 16, spark)
+    counts = Counts(own, blocks, shape(total // 6)[0], size["train"])
+    tasks = max(spark.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
+    weights, _ = trained(own.filter(~F.col("held_out")).select("text").coalesce(tasks), counts.depth, shape(counts.tokens)[1])
+    return counts, weights, blocks
+
+
+def scored(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    own = keyed(docs, id_col, text_col)
+    counts, weights, blocks = fitted(own)
+    rows = kit.stored(head_and_model(own, weights, counts), "rows")
+    tail = kit.stored(tail_sums(own, counts, blocks), "tail")
+    copies = rows.groupBy("key").agg(F.count("*").alias("copies")).filter("copies > 1")
+    several = tail.join(copies, "key", "left").select("key", *[(F.col(c) / F.coalesce("copies", F.lit(1))).alias(f"tail_{c}") for c in ("sums", "shares", "known")])
+    both = lambda c: F.col(c) + F.coalesce(f"tail_{c}", F.lit(0.0))
+    return rows.join(several, "key", "left").select(
+        "doc_id", "held_out", "n_tokens", F.round(both("known")).cast("long").alias("n_known"), F.lit(counts.tokens).cast("long").alias("train_tokens"),
+        (both("sums") - F.col("n_tokens") * float(np.log10(counts.tokens + counts.distinct + 1))).alias("base_score"), (both("shares") + F.col("logs")).alias("score"),
     )

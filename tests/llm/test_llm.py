@@ -288,6 +288,7 @@ def test_maxent(spark, docs, texts):
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(c[x] > 0 for x in w), n)
         assert r["base_score"] == pytest.approx(sum(np.log10((c[x] + 1) / (n + v + 1)) for x in w), rel=1e-9)
         assert r["score"] < 0
+    assert maxent.scored(empty(spark)).count() == 0
     logs = maxent.log_classes(np.random.default_rng(0).normal(size=(maxent.BUCKETS, maxent.CLASSES)), np.arange(50))
     assert np.allclose(np.exp(logs).sum(1), 1)
 
@@ -305,6 +306,54 @@ def test_maxent_learns_the_order_of_words_of_one_class(spark):
     assert maxent.shape(10**8)[0] > 1 and maxent.shape(10**9)[1] > maxent.shape(10**8)[1] > maxent.BUCKETS
 
 
+@pytest.mark.parametrize("head", [15, 3])
+def test_maxent_scores_equal_brute_force(spark, docs, monkeypatch, head):
+    """Word by word from the weights and plain counts; and the outcomes of a context add up to 1."""
+    monkeypatch.setattr(maxent, "HEAD", head)  # at 3 most words are beyond the head
+    monkeypatch.setattr(maxent, "HELD", 50)
+    monkeypatch.setattr(maxent, "PASSES", 1)
+    own = maxent.keyed(docs, "doc_id", "text")
+    counts, weights, blocks = maxent.fitted(own)
+    rows = own.collect()
+
+    def hashed(w):
+        b = w.encode()
+        return (kit.hash_of(w) & ~31) | int(maxent._classes()[b[0] << 8 | b[-1]])
+
+    c = Counter(hashed(w) for r in rows if not r["held_out"] for w in tokens(r["text"]))
+    cell = lambda h: int(maxent.cells(np.array([h], np.uint64), counts.depth)[0])
+    size = Counter()
+    for h, n in c.items():
+        size[cell(h)] += n + 1
+
+    def path(h, one, two):
+        at, outcome, _ = maxent.choices(np.array([h], np.uint64), [np.array([x], np.uint64) for x in (one, two)], counts.depth, len(weights))
+        z = weights[at].astype(float).sum(1)
+        return float((z[np.arange(len(z)), outcome] - np.log(np.exp(z).sum(1))).sum() / np.log(10))
+
+    def score(text):
+        total, one, two = 0.0, maxent.END, maxent.END
+        for w in tokens(text):
+            h = hashed(w)
+            total += path(h, one, two) + np.log10((c[h] + 1) / (size[cell(h)] + 1))
+            one, two = h, one
+        return total + path(maxent.END, one, two)
+
+    got = {(r["doc_id"], r["n_tokens"]): r["score"] for r in maxent.scored(docs).collect()}
+    small = [r for r in rows if len(r["text"]) < 2000]
+    assert len(small) > 8
+    for r in small:
+        assert got[r["doc_id"], len(tokens(r["text"])) + 1] == pytest.approx(score(r["text"]), rel=1e-4)
+    assert (len(counts.head) > 0.9 * len(c)) == (head == 15)
+    some = np.random.default_rng(1).integers(0, 1 << 64, 40_000, np.uint64)
+    ways = {cell(h): int(h) for h in some if int(h) & 31 != maxent.END}
+    assert len(ways) == 31 * 32 and counts.depth == 1
+    context = np.full(len(ways) + 1, hashed("w1"), np.uint64), np.full(len(ways) + 1, hashed("w2"), np.uint64)
+    at, outcome, token = maxent.choices(np.array([*ways.values(), maxent.END], np.uint64), list(context), 1, len(weights))
+    p = np.exp(np.bincount(token, maxent.log_classes(weights.astype(float), at)[np.arange(len(at)), outcome]))
+    assert p.sum() == pytest.approx(1, abs=1e-6)
+
+
 def test_maxent_run_sums():
     n = np.array([1, 7, 2, 1, 64, 3])
     x = np.random.default_rng(0).normal(size=(n.sum(), 4))
