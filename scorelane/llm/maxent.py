@@ -16,12 +16,13 @@ share for unseen words, so that all outcomes' probabilities add up to 1. The dep
 with the logarithm of the corpus.
 
 A choice's scores are sums of rows of a table of weights, one row for each hashed feature
-of the words before: none, the previous word, the previous two, and the skip over one word;
-each together with the path so far. The table grows with the square root of the training
+of the words before: none, the previous word, and the skip over one word; each together
+with the path so far. The table grows with the square root of the training
 tokens, since every executor holds it. It is trained by distributed gradient updates: in a
 pass over all training tokens every task takes Adagrad steps on its part and sends the rows
-it changed; a row becomes its average over the tasks that used it, by use. Passes end when
-the log likelihood gains less than SETTLED of what the first pass met, or at PASSES.
+it changed; a row becomes its average over the tasks that used it, by use. Training ends
+after a pass whose second half met a log likelihood better than that of its first half by
+less than SETTLED of what the first pass met, or at PASSES: one pass over a large corpus, several over a small one.
 
 Words are told apart by 64-bit hashes. Null and empty texts are one end token. Rows with a
 null doc_id are learned from and not held out. Repeated rows are scored each. Without
@@ -46,7 +47,7 @@ WAYS = 5  # bits of a choice inside a class
 BUCKETS = 1 << 13  # the least number of rows of weights
 BATCH = 1 << 14
 RATE = 0.25
-SETTLED = 0.05
+SETTLED = 0.03
 PASSES = 20
 TASK_BYTES = 256 << 20
 SLICES = 16
@@ -98,31 +99,39 @@ def stream(h: np.ndarray, doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.
 
 
 def feature_hashes(context: list[np.ndarray]) -> np.ndarray:
-    """Hashes of the four features of each context."""
+    """Hashes of the features of each context: the previous word, the skip over one."""
     one, two = context
-    parts = ([], [one], [one, two], [two])
-    out = np.empty((len(one), len(parts)), np.uint64)
-    for k, own in enumerate(parts):
-        h = np.full(len(one), k + 1, np.uint64)
-        for x in own:
-            h = kit.mixed(h * np.uint64(0x9E3779B97F4A7C15) + x)
-        out[:, k] = h
+    out = np.empty((len(one), 2), np.uint64)
+    for k, own in enumerate((one, two)):
+        out[:, k] = kit.mixed(own + np.uint64(k + 1) * np.uint64(0x9E3779B97F4A7C15))
     return out
 
 
+def nodes(depth: int) -> int:
+    """How many choices there are: of a class, and at each place of the paths inside."""
+    return 1 + CLASSES * sum(1 << WAYS * k for k in range(depth))
+
+
 def choices(h: np.ndarray, context: list[np.ndarray], depth: int, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of weights, outcome and token of each choice: classes of all tokens, then the choices inside the class."""
-    features, cls = feature_hashes(context), h & np.uint64(CLASSES - 1)
+    """Rows of weights, outcome and token of each choice: classes of all tokens, then the choices inside the class.
+
+    The first row is that of the choice itself, without a word before; these follow the
+    buckets of hashed ones.
+    """
+    features, cls = feature_hashes(context), (h & np.uint64(CLASSES - 1)).astype(np.int64)
     inner = np.flatnonzero(cls != END)
-    token, node, outcome = [np.arange(len(h))], [np.zeros(len(h), np.uint64)], [cls]
+    token, node, outcome = [np.arange(len(h))], [np.zeros(len(h), np.int64)], [cls]
     for k in range(1, depth + 1):
-        top = h[inner] >> np.uint64(64 - WAYS * k)
+        top = (h[inner] >> np.uint64(64 - WAYS * k)).astype(np.int64)
         token.append(inner)
-        node.append(kit.mixed(top >> np.uint64(WAYS) << np.uint64(16) | np.uint64(k << 8) | cls[inner]))
-        outcome.append(top & np.uint64(CLASSES - 1))
-    token = np.concatenate(token)
-    raw = kit.mixed(features[token] ^ np.concatenate(node)[:, None])
-    return ((raw >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64), np.concatenate(outcome).astype(np.int64), token
+        node.append(nodes(k - 1) + (cls[inner] << WAYS * (k - 1)) + (top >> WAYS))
+        outcome.append(top & (CLASSES - 1))
+    token, node = np.concatenate(token), np.concatenate(node)
+    raw = kit.mixed(features[token] ^ kit.mixed(node.astype(np.uint64))[:, None])
+    rows = np.empty((len(token), features.shape[1] + 1), np.int64)
+    rows[:, 0] = buckets + node
+    rows[:, 1:] = (raw >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    return rows, np.concatenate(outcome), token
 
 
 def log_classes(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -154,29 +163,32 @@ def run_sums(x: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out
 
 
-def step(weights: np.ndarray, squares: np.ndarray, used: np.ndarray, rows: np.ndarray, outcome: np.ndarray) -> float:
+def step(weights: np.ndarray, squares: np.ndarray, used: np.ndarray, rows: np.ndarray, outcome: np.ndarray, buckets: int) -> float:
     """One Adagrad step, in place; the log likelihood before it."""
     logs = log_classes(weights, rows)
     here = np.arange(len(rows))
     before = float(logs[here, outcome].sum())
     d = np.negative(np.exp(logs, out=logs), out=logs)
     d[here, outcome] += 1
-    flat = np.sort(rows.T.ravel() << 32 | np.tile(here, rows.shape[1]))
-    row = flat >> 32
-    edges = np.flatnonzero(np.diff(row, prepend=-1))
-    mine, times = row[edges], np.diff(np.append(edges, len(row)))
-    g = run_sums(np.take(d, flat & 0xFFFFFFFF, axis=0), times)
-    squares[mine] += np.einsum("ij,ij->i", g, g)
-    weights[mine] += g * (RATE / (np.sqrt(squares[mine]) + np.float32(1e-6)))[:, None]
-    used[mine] += times
+    node = (rows[:, 0] - buckets).astype(np.uint16 if len(weights) - buckets < 1 << 16 else np.int64)
+    flat = np.sort(rows[:, 1:].T.ravel() << 32 | np.tile(here, rows.shape[1] - 1))
+    for row, at in ((rows[:, 0], np.argsort(node, kind="stable")), (None, None)):
+        row, at = (row[at], at) if at is not None else (flat >> 32, flat & 0xFFFFFFFF)
+        edges = np.flatnonzero(np.diff(row, prepend=-1))
+        mine, times = row[edges], np.diff(np.append(edges, len(row)))
+        g = run_sums(np.take(d, at, axis=0), times)
+        squares[mine] += np.einsum("ij,ij->i", g, g)
+        weights[mine] += g * (RATE / (np.sqrt(squares[mine]) + np.float32(1e-6)))[:, None]
+        used[mine] += times
     return before
 
 
 def trained(train: DataFrame, depth: int, buckets: int) -> tuple[np.ndarray, list[float]]:
     """Weights learned from train(text), and the mean log likelihood of a token met in each pass."""
     context = train.sparkSession.sparkContext
-    weights, squares = np.zeros((buckets, CLASSES), np.float32), np.zeros(buckets, np.float32)
-    size = -(-buckets // SLICES)
+    whole = buckets + nodes(depth)
+    weights, squares = np.zeros((whole, CLASSES), np.float32), np.zeros(whole, np.float32)
+    size = -(-whole // SLICES)
     kinds = {"rows": np.int64, "change": np.float32, "used": np.float32, "squares": np.float32}
     schema = "slice long, rows binary, change binary, used binary, squares binary"
 
@@ -188,7 +200,7 @@ def trained(train: DataFrame, depth: int, buckets: int) -> tuple[np.ndarray, lis
         if k < 0:
             seen = sum(np.frombuffer(x, np.float64) for x in t["rows"].to_pylist())
             return pa.table({"slice": [k], "rows": pa.array([seen.tobytes()], pa.binary()), **{x: pa.array([b""], pa.binary()) for x in list(kinds)[1:]}})
-        n = min(size, buckets - k * size)
+        n = min(size, whole - k * size)
         change, used, total = np.zeros((n, CLASSES), np.float32), np.zeros(n, np.float32), np.zeros(n, np.float32)
         for i in range(len(t)):
             rows, c, u, q = (np.frombuffer(t[x][i].as_py(), kind) for x, kind in kinds.items())
@@ -204,17 +216,20 @@ def trained(train: DataFrame, depth: int, buckets: int) -> tuple[np.ndarray, lis
 
         def learn(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             w, q = (x.copy() for x in sent.value)
-            used, seen = np.zeros(buckets, np.float32), np.zeros(2)
+            used, met = np.zeros(whole, np.float32), []
             for b in batches:
                 for lo, hi, data, offsets in kit.text_chunks(b.column(0)):
                     h, _, doc = words(data, offsets)
                     h, _, before = stream(h, doc, hi - lo)
-                    for at in range(0, len(h), BATCH):
-                        cut = slice(at, at + BATCH)
+                    size_of = min(BATCH, max(512, len(h) // 16))  # small corpora take more steps a pass
+                    for at in range(0, len(h), size_of):
+                        cut = slice(at, at + size_of)
                         rows, outcome, _ = choices(h[cut], [x[cut] for x in before], depth, buckets)
-                        seen += step(w, q, used, rows, outcome), len(h[cut])
+                        met.append((step(w, q, used, rows, outcome, buckets), len(h[cut])))
+            half = len(met) // 2
+            seen = np.array([np.sum(met[:half], 0) if half else (0, 0), np.sum(met[half:], 0) if met else (0, 0)], np.float64)
             first, squared = sent.value
-            for k in range(-(-buckets // size)):
+            for k in range(-(-whole // size)):
                 own = slice(k * size, (k + 1) * size)
                 rows = np.flatnonzero(used[own])
                 if len(rows):
@@ -223,20 +238,21 @@ def trained(train: DataFrame, depth: int, buckets: int) -> tuple[np.ndarray, lis
             yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([seen.tobytes()], pa.binary()), *[pa.array([b""], pa.binary())] * 3], ["slice", *kinds])
 
         changed = kit.stored(train.mapInArrow(learn, schema).groupBy("slice").applyInArrow(added, schema), "changes")
-        logs, tokens = 0.0, 0.0
+        seen = np.zeros((2, 2))
         for r in changed.toLocalIterator():
             if r["slice"] < 0:
-                logs, tokens = np.frombuffer(r["rows"], np.float64)
+                seen = np.frombuffer(r["rows"], np.float64).reshape(2, 2)
                 continue
             at = np.frombuffer(r["rows"], np.int64) + r["slice"] * size
             weights[at] += np.frombuffer(r["change"], np.float32).reshape(-1, CLASSES)
             squares[at] += np.frombuffer(r["squares"], np.float32)
         kit.release(changed)
         sent.destroy()
-        if not tokens:
+        if not seen[1, 1]:
             break
-        history.append(float(logs / tokens))
-        if len(history) > 1 and history[-1] - history[-2] < SETTLED * -history[0]:
+        history.append(float(seen[:, 0].sum() / seen[:, 1].sum()))
+        early, late = seen[:, 0] / np.maximum(seen[:, 1], 1)
+        if seen[0, 1] and late - early < SETTLED * -history[0]:
             break
     return weights, history
 
@@ -381,12 +397,12 @@ def head_and_model(docs: DataFrame, weights: np.ndarray, counts: Counts) -> Data
                 h, _, doc = words(data, offsets)
                 at, some = counts.in_head(h)
                 at, mine, n = at[some], doc[some], hi - lo
-                of_head = [np.bincount(mine, x[at], n) for x in (log, share, counts.count > 0)]
+                of_head = [np.bincount(mine, x[at].astype(np.float64), n).astype(np.float64) for x in (log, share, counts.count > 0)]
                 h, owner, before = stream(h, doc, n)
                 logs = np.zeros(len(h))
                 for i in range(0, len(h), BATCH):
                     cut = slice(i, i + BATCH)
-                    rows, outcome, token = choices(h[cut], [x[cut] for x in before], counts.depth, len(table))
+                    rows, outcome, token = choices(h[cut], [x[cut] for x in before], counts.depth, len(table) - nodes(counts.depth))
                     logs[cut] = np.bincount(token, log_classes(table, rows)[np.arange(len(rows)), outcome])
                 of_head[0] += np.log10(counts.train + 1)
                 of_head[2] += counts.train > 0

@@ -327,7 +327,7 @@ def test_maxent_scores_equal_brute_force(spark, docs, monkeypatch, head):
         size[cell(h)] += n + 1
 
     def path(h, one, two):
-        at, outcome, _ = maxent.choices(np.array([h], np.uint64), [np.array([x], np.uint64) for x in (one, two)], counts.depth, len(weights))
+        at, outcome, _ = maxent.choices(np.array([h], np.uint64), [np.array([x], np.uint64) for x in (one, two)], counts.depth, len(weights) - maxent.nodes(counts.depth))
         z = weights[at].astype(float).sum(1)
         return float((z[np.arange(len(z)), outcome] - np.log(np.exp(z).sum(1))).sum() / np.log(10))
 
@@ -349,7 +349,7 @@ def test_maxent_scores_equal_brute_force(spark, docs, monkeypatch, head):
     ways = {cell(h): int(h) for h in some if int(h) & 31 != maxent.END}
     assert len(ways) == 31 * 32 and counts.depth == 1
     context = np.full(len(ways) + 1, hashed("w1"), np.uint64), np.full(len(ways) + 1, hashed("w2"), np.uint64)
-    at, outcome, token = maxent.choices(np.array([*ways.values(), maxent.END], np.uint64), list(context), 1, len(weights))
+    at, outcome, token = maxent.choices(np.array([*ways.values(), maxent.END], np.uint64), list(context), 1, len(weights) - maxent.nodes(1))
     p = np.exp(np.bincount(token, maxent.log_classes(weights.astype(float), at)[np.arange(len(at)), outcome]))
     assert p.sum() == pytest.approx(1, abs=1e-6)
 
