@@ -53,12 +53,13 @@ class Windows:
     def __init__(self, items: list[tuple[str, str | None]], length: int = WINDOW) -> None:
         words = [(i, w) for i, text in items if (w := item_words(text))]
         self.names = sorted({i for i, _ in words})
+        place = {x: k for k, x in enumerate(self.names)}
         vocabulary = sorted({x for _, w in words for x in w})
         hashes = np.array([kit.hash_of(x) for x in vocabulary], np.uint64)
         order = np.argsort(hashes)
         self.vocabulary = hashes[order]
         number = {vocabulary[k]: i for i, k in enumerate(order)}
-        found = sorted({(self.names.index(i), *(number[x] for x in w[a : a + length])) for i, w in words for a in range(max(1, len(w) - length + 1))})
+        found = sorted({(place[i], *(number[x] for x in w[a : a + length])) for i, w in words for a in range(max(1, len(w) - length + 1))})
         self.item = np.array([x[0] for x in found], np.int64)
         self.size = np.array([len(x) - 1 for x in found], np.int64)
         self.term = np.full((len(found), length), -1, np.int64)
