@@ -5,16 +5,16 @@ hash of its lower-cased bytes, and marks for its shape (capitals, repetition of
 token before it) are tokens of their own. A slot's vector is its sparse random index
 vector plus the normalised sum of the index vectors of its neighbours in the training
 sample. A document is the mean of its tokens' vectors (and of PRIOR zeros). A network of one hidden layer
-learns labels from that, and a temperature fitted on a fifth of the sample calibrates
-its probabilities.
+learns labels from that, rare ones with more weight, whose effect on the odds is taken back
+afterwards; a temperature fitted on a fifth of the sample calibrates its probabilities.
 
-The fit takes at most SAMPLE labelled documents of at most LONGEST bytes (documented
-bounds), picked by a hash; scoring reads every whole text. Neighbour sums are made on
+The fit takes at most SAMPLE distinct labelled documents of at most LONGEST bytes (documented
+bounds), those of the least hashes; scoring reads every whole text. Neighbour sums are made on
 the executors, in PARTS pieces of SLOTS x WIDTH numbers; the pooled sample (SAMPLE x
 WIDTH numbers) is all that training holds on the driver.
 
 Null and empty texts pool to zeros and get the network's score of that. Without labels
-every score is 0.5. Rows with a null label are not learned from; a null doc_id is never
+every score is 0.5. An empty table gives no rows. Rows with a null label are not learned from; a null doc_id is never
 held out. Repeated rows get a row each.
 """
 
@@ -125,6 +125,7 @@ class Network:
         fit_x, fit_y = x[~aside], y[~aside]
         weight = np.where(fit_y == 1, 0.5 / max(fit_y.mean(), 1e-3), 0.5 / max(1 - fit_y.mean(), 1e-3))
         weight = np.sqrt(weight)
+        self.shift = float(np.log(weight[fit_y == 1].max(initial=0) / weight[fit_y == 0].max(initial=0))) if 0 < fit_y.mean() < 1 else 0.0
         p = [rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(1)]
         m, v, t = [np.zeros_like(a) for a in p], [np.zeros_like(a) for a in p], 0
         for _ in range(epochs):
@@ -142,7 +143,7 @@ class Network:
                     p[k] -= 0.004 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
         self.p = p
         z, held = self.logits(x[aside]), y[aside]
-        grid = np.exp(np.linspace(0, np.log(16), 80))
+        grid = np.exp(np.linspace(-np.log(8), np.log(16), 140))
         loss = [np.logaddexp(0, np.where(held == 1, -z, z) / s).mean() for s in grid] if len(held) else [0.0]
         self.temperature = float(grid[int(np.argmin(loss))]) if len(held) else 1.0
 
@@ -150,7 +151,7 @@ class Network:
         return np.clip((x - self.mean) / self.scale, -8, 8).astype(np.float64)
 
     def logits(self, x: np.ndarray) -> np.ndarray:
-        return np.tanh(x @ self.p[0] + self.p[1]) @ self.p[2] + self.p[3]
+        return np.tanh(x @ self.p[0] + self.p[1]) @ self.p[2] + self.p[3] - self.shift
 
     def scores(self, pooled_x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.logits(self.prepared(pooled_x)) / self.temperature, -30, 30)))
@@ -194,11 +195,12 @@ def score(docs: DataFrame, vectors: np.ndarray, network: Network | None, *keep:
 def classified(docs: DataFrame, labels: DataFrame, *keep: str) -> DataFrame:
     """keep, score and predicted of all docs; learned from labelled docs whose crc32 remainder is not 1."""
     learn = labels.filter(F.col("quality").isNotNull() & F.coalesce(kit.remainder("doc_id", 3) != 1, F.lit(False))).select(F.col("doc_id").alias("_id"), "quality")
-    share = SAMPLE * 2 / max(learn.count(), 1)
-    picked = learn.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).limit(2 * SAMPLE)
+    picked = learn.groupBy("_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("_id"), "_id").limit(2 * SAMPLE)
     texts = docs.filter(F.octet_length("text") <= LONGEST).select("doc_id", "text")
-    sample = kit.stored(texts.join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("text", "quality").limit(SAMPLE), "sample")
-    return score(docs, *fit(sample), *keep)
+    found = texts.join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select(F.xxhash64("_id", "text").alias("h"), "text", "quality")
+    most = found.select("h").distinct().orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
+    rows = found.filter(F.col("h") <= F.lit(most)).groupBy("h").agg(F.first("text").alias("text"), F.max("quality").alias("quality"))
+    return score(docs, *fit(kit.stored(rows.select("text", "quality"), "sample")), *keep)
 
 
 def held_out_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
