@@ -8,21 +8,25 @@ each byte after its longest known context is a fixed number per language; these
 tabulated once and a text's exact code lengths are sums of table rows over its bytes.
 The shortest code names the language.
 
-The trees hold at most NODES contexts, the most frequent of the training sample;
-training takes about SAMPLE documents per language of at most LONGEST bytes (documented
-bounds of the fit; every document is scored over its whole text).
+The trees hold at most NODES contexts, those that make up the largest share of a language
+of the sample, and fewer where there are more than FULL languages. Training takes about
+SAMPLE distinct documents per language, fewer with more languages but 20 at least, and of
+each at most LONGEST bytes (documented bounds of the fit; every language that occurs is
+learned, and every document is scored over its whole text).
 
 Null texts and texts without a letter are 'und' with score 0. Rows with a null language
 are never learned from. Without training rows everything is 'und'.
+Repeated rows get a row each, ties go to the first language by name, an empty table gives
+no rows, and only the named columns are read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +35,12 @@ from scorelane.llm import kit
 ORDER = 4
 NODES = 12_000
 SAMPLE = 400
-LONGEST = 32_768
-LETTER = re.compile(r"[^\W\d_]")
+LONGEST = 16_384
+#: Languages whose tables have NODES contexts; with more of them each table has fewer.
+FULL = 8
+#: Fixed value of the contract: a letter.
+LETTER = regex.compile(r"\p{L}")
+_LANGS = 16  # bits of a language number
 
 
 class Trees:
@@ -47,9 +55,17 @@ class Trees:
         counted = [self._followers(streams, k) for k in range(order + 1)]
         contexts = [np.unique(c[0], return_inverse=True) for c in counted]
         times = [np.bincount(at, c[2], len(keys)) for (keys, at), c in zip(contexts, counted, strict=True)]
-        least = 2.0
-        if sum(map(len, times)) > most:
-            least = max(least, float(np.sort(np.concatenate(times))[::-1][most]) + 1)
+        of_lang = np.maximum(np.array([sum(map(len, x)) for x in streams], float), 1)
+        worth = []  # a context's largest share of a language's bytes, so that rare languages keep theirs
+        for (keys, at), c in zip(contexts, counted, strict=True):
+            pair, n = np.unique(at * len(self.langs) + (c[1] & ((1 << _LANGS) - 1)), return_inverse=True)
+            share = np.bincount(n, c[2], len(pair)) / of_lang[pair % max(len(self.langs), 1)]
+            top = np.zeros(len(keys))
+            np.maximum.at(top, pair // max(len(self.langs), 1), share)
+            worth.append(np.where(times[len(worth)] >= 2, top, 0.0))
+        most = most * FULL // max(FULL, len(self.langs))
+        ranked = np.sort(np.concatenate(worth))[::-1]
+        least = max(float(ranked[most]) if len(ranked) > most else 0.0, 1e-300)
         uniform = np.full((1, width, len(self.langs)), 1 / 256)
         root = self._dense(counted[0], np.zeros(len(counted[0][0]), np.int64), 1, width)
         probability = [self._blend(root, uniform)]
@@ -58,7 +74,7 @@ class Trees:
         base = 1
         for k in range(1, order + 1):
             keys, at = contexts[k]
-            keep = np.array([i for i in np.flatnonzero(times[k] >= least) if int(keys[i]) >> 8 in shorter], np.int64)
+            keep = np.array([i for i in np.flatnonzero(worth[k] > least) if int(keys[i]) >> 8 in shorter], np.int64)
             parent = np.array([shorter[int(keys[i]) >> 8] for i in keep], np.int64)
             place = np.full(len(keys), -1, np.int64)
             place[keep] = np.arange(len(keep))
@@ -75,7 +91,7 @@ class Trees:
         self.bits = -np.log2(np.concatenate(probability)).astype(np.float32)
 
     def _followers(self, streams: list[list[np.ndarray]], k: int) -> tuple[np.ndarray, ...]:
-        """Contexts of k bytes (nearest byte highest), symbol * 64 + language, times."""
+        """Contexts of k bytes (nearest byte highest), symbol and language, times."""
         pairs = [np.zeros(0, np.int64)]
         for j, group in enumerate(streams):
             for s in group:
@@ -84,13 +100,13 @@ class Trees:
                     key = np.zeros(len(x) - k, np.int64)
                     for back in range(1, k + 1):
                         key = key * 256 + x[k - back : len(x) - back]
-                    pairs.append((key << 14) | (x[k:] * 64 + j))
+                    pairs.append((key << 8 + _LANGS) | (x[k:] << _LANGS) | j)
         pair, n = np.unique(np.concatenate(pairs), return_counts=True)
-        return pair >> 14, pair & ((1 << 14) - 1), n
+        return pair >> 8 + _LANGS, pair & ((1 << 8 + _LANGS) - 1), n
 
     def _dense(self, counted: tuple[np.ndarray, ...], at: np.ndarray, n: int, width: int) -> np.ndarray:
         out = np.zeros((n, width, len(self.langs)))
-        np.add.at(out, (at, counted[1] >> 6, counted[1] & 63), counted[2])
+        np.add.at(out, (at, counted[1] >> _LANGS, counted[1] & ((1 << _LANGS) - 1)), counted[2])
         return out
 
     @staticmethod
@@ -120,15 +136,17 @@ class Trees:
 
 def train(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> Trees:
     """Trees of about `sample` documents per language, picked by a hash of id and text."""
-    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.octet_length(text_col) <= LONGEST)).select(F.col(lang_col).cast("string").alias("l"), F.col(text_col).alias("t"), F.col(id_col).alias("i"))
-    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(63).collect()}
+    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("l"), F.col(text_col).alias("t"), F.col(id_col).alias("i"))
+    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Trees({})
+    sample = max(20, min(sample, sample * FULL // len(counts)))
     at = F.pmod(F.xxhash64("i", "t"), F.lit(1 << 40)) / float(1 << 40)
     share: Column = F.create_map(*[x for l, n in counts.items() for x in (F.lit(l), F.lit(min(1.0, sample / n)))])
     picked: dict[str, list[bytes]] = {l: [] for l in counts}
-    for r in rows.filter(F.col("l").isin(list(counts)) & (at < share[F.col("l")])).select("l", "t").limit(2 * sample * len(counts)).collect():
-        picked[r["l"]].append(r["t"].encode())
+    chosen = rows.withColumn("at", at).filter(F.col("at") < share[F.col("l")]).groupBy("l", "at").agg(F.first(F.substring("t", 1, LONGEST)).alias("t"))
+    for r in chosen.orderBy("at").limit(2 * sample * len(counts)).collect():
+        picked[r["l"]].append(r["t"].encode()[:LONGEST])
     return Trees({l: x for l, x in picked.items() if x})
 
 
