@@ -4,8 +4,9 @@ Packing is bounded-space online best-fit. Pieces arrive one by one; each goes in
 open bin with the least free space that still holds it, found as the lowest set bit, at
 or above its length, of a bitset keyed by free space. At most `open_bins` bins are open;
 when none fits and all are in use, the fullest closes first. Every input partition packs
-its own documents, so the work needs no exchange; a partition leaves at most open_bins
-bins partly filled.
+its own documents, so texts need no exchange. The pieces of bins that are open at a
+partition's end, as rows without their ids, are packed once more by the same rule, REPACK
+of them to a task, so that partly filled bins do not grow with the number of partitions.
 
 A document is its tokens and an end id. One longer than a sequence is cut into pieces of
 full length, of which only the first may be shorter; pieces of full length are sequences
@@ -34,6 +35,7 @@ from scorelane.llm import kit
 LENGTH = 2048
 OPEN_BINS = 1024
 WORDS_KEPT = 400_000
+REPACK = 250_000
 
 
 def vocabulary_path() -> str:
@@ -120,6 +122,7 @@ class Packer:
         self.free = 0  # bit f is set if an open bin has f free
         self.bins: list[list[int]] = [[] for _ in range(length + 1)]
         self.open = self.made = 0
+        self.closed: list[int] = []  # bins that take no more, until the caller clears it
 
     def place(self, n: int) -> tuple[int, int]:
         """Bin and offset of a piece of n tokens."""
@@ -133,7 +136,7 @@ class Packer:
         else:
             if self.open == self.most and n < self.length:
                 fullest = (self.free & -self.free).bit_length() - 1
-                self.bins[fullest].pop()
+                self.closed.append(self.bins[fullest].pop())
                 if not self.bins[fullest]:
                     self.free &= ~(1 << fullest)
                 self.open -= 1
@@ -144,6 +147,8 @@ class Packer:
             self.bins[left].append(bin_)
             self.free |= 1 << left
             self.open += 1
+        else:
+            self.closed.append(bin_)
         return bin_, self.length - space
 
 
@@ -155,12 +160,38 @@ def cuts(n: int, length: int) -> list[int]:
 PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
+class Bins:
+    """A packer that keeps the rows of its open bins until they close."""
+
+    def __init__(self, length: int, open_bins: int, high: int) -> None:
+        self.packer, self.high = Packer(length, open_bins), high
+        self.held: dict[int, list[tuple]] = {}
+
+    def place(self, row: tuple) -> list[tuple]:
+        """Places a row (its length is the fourth value); the rows of bins that closed, with sequence_id and offset."""
+        bin_, offset = self.packer.place(row[3])
+        self.held.setdefault(bin_, []).append((*row, self.high | bin_, offset))
+        done = [x for b in self.packer.closed for x in self.held.pop(b)]
+        self.packer.closed.clear()
+        return done
+
+    def rest(self) -> list[tuple]:
+        rows, self.held = [x for b in self.held.values() for x in b], {}
+        return rows
+
+
+def _batch(rows: list[tuple], open_: bool | None = None) -> pa.RecordBatch:
+    names = [x.split()[0] for x in PACKED.split(", ")]
+    cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 7, (pa.int64(), pa.int32(), *[pa.int64()] * 5), strict=True)]
+    return pa.RecordBatch.from_arrays(cols, names) if open_ is None else pa.RecordBatch.from_arrays([*cols, pa.array([open_] * len(rows), pa.bool_())], [*names, "open"])
+
+
 def packed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, open_bins: int = OPEN_BINS, end_id: int = 0, path: str | None = None) -> DataFrame:
-    """One row per piece; sequence_id is the partition's number in the high bits, then the bin's."""
+    """One row per piece; sequence_id is the turn (bit 60) and the partition's number in the high bits, then the bin's."""
     path = path or vocabulary_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, high = Packer(length, open_bins), TaskContext.get().partitionId() << 36
+        bins = Bins(length, open_bins, TaskContext.get().partitionId() << 36)
         end = np.array([end_id], np.uint32)
         for b in batches:
             names = b.column(0).to_pylist()
@@ -170,11 +201,19 @@ def packed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", l
                     own = np.append(ids[edges[i] : edges[i + 1]], end)
                     start = 0
                     for k, n in enumerate(cuts(len(own), length)):
-                        bin_, offset = packer.place(n)
-                        rows.append((names[lo + i], k, start, n, zlib.crc32(own[start : start + n].tobytes()), high | bin_, offset))
+                        rows += bins.place((names[lo + i], k, start, n, zlib.crc32(own[start : start + n].tobytes())))
                         start += n
-            kinds = (pa.int64(), pa.int32(), *[pa.int64()] * 5)
-            cols = zip(*rows, strict=True) if rows else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in PACKED.split(", ")])
+            yield _batch(rows, False)
+        yield _batch(bins.rest(), True)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PACKED)
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bins = Bins(length, open_bins, 1 << 60 | TaskContext.get().partitionId() << 36)
+        for b in batches:
+            yield _batch([x for row in zip(*(c.to_pylist() for c in b.columns), strict=True) for x in bins.place(row)])
+        yield _batch(bins.rest())
+
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    first = kit.stored(own.mapInArrow(run, f"{PACKED}, open boolean"), "packed")
+    left = first.filter("open").select("doc_id", "piece", "start", "length", "ids_crc32")
+    parts = 1 + left.count() // REPACK
+    return first.filter("not open").drop("open").union(left.coalesce(parts).mapInArrow(again, PACKED))
