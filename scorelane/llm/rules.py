@@ -2,12 +2,15 @@
 
 Everything here is DataFrame expressions. The statistics come from one projection
 over each whole text. The second part fits, per language and source, a minimum
-covariance determinant estimate: starting from medians and absolute deviations it
-keeps the share H of rows nearest to the centre, takes their mean and covariance, and
-repeats (concentration steps). Rows whose Mahalanobis distance under the last estimate
-is beyond CUTOFF are rejected. A pass over the table yields only sums per stratum;
-strata are joined back by broadcast while their number is below MAX_BROADCAST, else by
-a shuffled join.
+covariance determinant estimate. There are three starts: medians with absolute deviations,
+with the covariance of squashed deviations, and with that of their directions. Of each, the
+share H of rows nearest to the centre is kept, their mean and covariance taken, and so on
+(concentration steps) until no determinant falls by SETTLED of itself; the start with the
+least determinant counts. Covariances are regularised by the diagonal FLOORS ** 2, as in the
+regularised form of the estimate, since features may be constant. Rows whose Mahalanobis
+distance is beyond CUTOFF are rejected. A pass over the table yields only sums per stratum
+and start; these are joined back by broadcast while their number is below MAX_BROADCAST,
+else by a shuffled join. Edges of the kept share are percentiles to a 10,000th of the rows.
 
 A stratum of fewer than MIN_ROWS rows is pooled with the others of its language.
 Null languages and sources are values of their own. Null and empty texts have no words
@@ -31,7 +34,10 @@ SYMBOLS = "[#*$%&|<>]"
 WINDOW = 8
 
 H = 0.75
-STEPS = 3
+STARTS = 3
+STEPS = 12
+SETTLED = 1e-3
+ACCURACY = 10_000
 MIN_ROWS = 200
 MAX_BROADCAST = 10_000
 #: Mean of the inner H of a 5-dimensional normal makes its covariance too small by this.
@@ -108,29 +114,55 @@ def _factored(moments: DataFrame) -> DataFrame:
             cov = F.greatest(cov, F.lit(0.0)) + FLOORS[i] ** 2 if i == j else cov
             rest = reduce(lambda a, k, i=i, j=j: a - F.col(f"l{i}{k}") * F.col(f"l{j}{k}"), range(j), cov)
             moments = moments.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(FLOORS[i] ** 2 / 4))) if i == j else rest / F.col(f"l{j}{j}"))
-    return moments.select("stratum", *[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i in range(P) for j in range(i + 1)])
+    log = reduce(lambda a, b: a + b, (2 * F.log(f"l{i}{i}") for i in range(P)))
+    return moments.select("stratum", *[f"m{i}" for i in range(P)], *[f"l{i}{j}" for i in range(P) for j in range(i + 1)], log.alias("logdet"))
+
+
+def _of_start(k: int) -> Column:
+    return F.concat("stratum", F.lit(f"\x02{k}"))
+
+
+def starts(rows: DataFrame, few: bool) -> DataFrame:
+    """A first mean and factor for each stratum and start."""
+    mid = rows.groupBy("stratum").agg(*[F.percentile_approx(f"x{i}", 0.5, ACCURACY).alias(f"m{i}") for i in range(P)])
+    apart = _joined(rows, mid, few).groupBy("stratum").agg(*[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, ACCURACY).alias(f"a{i}") for i in range(P)])
+    wide = mid.join(apart, "stratum").select("stratum", *[f"m{i}" for i in range(P)], *[F.sqrt((1.4826 * F.col(f"a{i}")) ** 2 + FLOORS[i] ** 2).alias(f"w{i}") for i in range(P)])
+    wide = kit.stored(wide, "mcd")
+    z = _joined(rows, wide, few).select("stratum", *[((F.col(f"x{i}") - F.col(f"m{i}")) / F.col(f"w{i}")).alias(f"z{i}") for i in range(P)])
+    norm = F.sqrt(reduce(lambda a, b: a + b, (F.col(f"z{i}") ** 2 for i in range(P))) + 1e-9)
+    shapes = {1: [F.tanh(f"z{i}") for i in range(P)], 2: [F.col(f"z{i}") / norm for i in range(P)]}
+    pairs = [(i, j) for i in range(P) for j in range(i + 1)]
+    sums = z.groupBy("stratum").agg(*[F.avg(y[i] * y[j]).alias(f"c{k}_{i}{j}") for k, y in shapes.items() for i, j in pairs])
+    both = wide.join(sums, "stratum")
+    out = []
+    for k in range(STARTS):
+        scale = {0: 0.0, 1: 2.0, 2: float(P)}[k]  # squashing and directions make variances smaller
+        q = lambda i, j, k=k, scale=scale: (F.col(f"c{k}_{i}{j}") * scale * F.col(f"w{i}") * F.col(f"w{j}") if k else (F.col(f"w{i}") ** 2 if i == j else F.lit(0.0)))
+        moments = both.select(_of_start(k).alias("stratum"), F.lit(1).alias("n"), *[F.col(f"m{i}").alias(f"s{i}") for i in range(P)], *[(q(i, j) / CONSISTENCY + F.col(f"m{i}") * F.col(f"m{j}")).alias(f"q{i}{j}") for i, j in pairs])
+        out.append(_factored(moments))
+    return reduce(DataFrame.union, out)
 
 
 def mcd(rows: DataFrame) -> DataFrame:
-    """Estimates per stratum of rows(stratum, x0..): mean and factor of the covariance. rows is read many times."""
-    few = rows.select("stratum").distinct().count() <= MAX_BROADCAST
-    mid = rows.groupBy("stratum").agg(*[F.percentile_approx(f"x{i}", 0.5, 2000).alias(f"m{i}") for i in range(P)])
-    apart = _joined(rows, mid, few).groupBy("stratum").agg(*[F.percentile_approx(F.abs(F.col(f"x{i}") - F.col(f"m{i}")), 0.5, 2000).alias(f"a{i}") for i in range(P)])
-    first = mid.join(apart, "stratum").select(
-        "stratum", *[f"m{i}" for i in range(P)],
-        *[(F.sqrt((1.4826 * F.col(f"a{i}")) ** 2 + FLOORS[i] ** 2) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(P) for j in range(i + 1)],
-    )
-    estimates = kit.stored(first, "mcd")
+    """Estimates per stratum of rows(stratum, x0..): mean, factor and log determinant of the covariance. rows is read many times."""
+    few = STARTS * rows.select("stratum").distinct().count() <= MAX_BROADCAST
+    estimates = kit.stored(starts(rows, few), "mcd")
+    each = rows.select(F.explode(F.array(*[_of_start(k) for k in range(STARTS)])).alias("stratum"), *[f"x{i}" for i in range(P)])
     for _ in range(STEPS):
-        near = _distance(_joined(rows, estimates, few))
-        edge = near.groupBy("stratum").agg(F.percentile_approx("d", H, 2000).alias("edge"))
+        near = _distance(_joined(each, estimates.drop("logdet"), few))
+        edge = near.groupBy("stratum").agg(F.percentile_approx("d", H, ACCURACY).alias("edge"))
         inner = _joined(near.select("stratum", "d", *[f"x{i}" for i in range(P)]), edge, few).filter(F.col("d") <= F.col("edge"))
         moments = inner.groupBy("stratum").agg(
             F.count("*").alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(P)],
             *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i in range(P) for j in range(i + 1)],
         )
-        estimates = kit.stored(_factored(moments), "mcd")
-    return estimates
+        before, estimates = estimates, kit.stored(_factored(moments), "mcd")
+        fall = estimates.join(before.select("stratum", F.col("logdet").alias("was")), "stratum").agg(F.max(F.col("was") - F.col("logdet"))).first()[0]
+        if fall is None or fall < SETTLED:
+            break
+    cols = [c for c in estimates.columns if c != "stratum"]
+    best = estimates.groupBy(F.substring_index("stratum", "\x02", 1).alias("stratum")).agg(F.min_by(F.struct(*cols), F.struct("logdet", "stratum")).alias("b"))
+    return kit.stored(best.select("stratum", *[F.col(f"b.{c}").alias(c) for c in cols]), "mcd")
 
 
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
@@ -149,7 +181,7 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     )
     rows = kit.stored(named, "rows")
     estimates = mcd(rows.filter(~F.col("base_failed")).select("stratum", *[f"x{i}" for i in range(P)]))
-    side = estimates.withColumnRenamed("stratum", "_s")
+    side = estimates.drop("logdet").withColumnRenamed("stratum", "_s")
     side = F.broadcast(side) if side.count() <= MAX_BROADCAST else side
     scored = _distance(rows.join(side, F.col("stratum") == F.col("_s"), "left"))
     distance = F.when(~F.col("base_failed"), F.col("d"))

@@ -141,6 +141,30 @@ def test_rules_keep_clean_documents(spark):
     assert n.get((1, False), 0) <= 0.02 * n[(1, True)] and n.get((0, False), 0) > n.get((0, True), 0)
 
 
+def test_rules_find_the_least_determinant(spark):
+    """Against concentration steps from many random starts."""
+    rng = np.random.default_rng(8)
+    p = rules.P
+    mix = rng.normal(size=(p, p)) * 2
+    x = rng.normal(size=(400, p)) @ mix
+    x[:80] = 25 + rng.normal(size=(80, p))
+    rows = spark.createDataFrame([("s", *map(float, r)) for r in x], "stratum string, " + ", ".join(f"x{i} double" for i in range(p)))
+    got = rules.mcd(rows).first()
+
+    def taken(rows):
+        return rows.mean(0), np.cov(rows.T, bias=True) * rules.CONSISTENCY + np.diag(np.square(rules.FLOORS))
+
+    best = np.inf
+    for _ in range(100):
+        mean, cov = taken(x[rng.choice(len(x), p + 1, False)])
+        for _ in range(30):
+            d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            mean, cov = taken(x[np.argsort(d)[: int(rules.H * len(x))]])
+        best = min(best, np.linalg.slogdet(cov)[1])
+    assert got["logdet"] <= best + 0.05
+    assert np.abs([got[f"m{i}"] for i in range(p)]).max() < 3
+
+
 def test_shards(spark, docs, texts):
     d = kit.table(spark, WHERE, "documents")
     rows = shards.shards(d, 8).toPandas()
@@ -200,6 +224,14 @@ def test_code_lengths_are_of_a_distribution():
     assert np.allclose(total, 1, atol=1e-4)
 
 
+def test_language_id_learns_every_language(spark):
+    words = [base(60, k).replace("w", f"{chr(97 + k % 26)}{chr(97 + k // 26)}") for k in range(70)]
+    rows = [(i, " ".join(np.random.default_rng(i).permutation(words[i % 70].split())), f"l{i % 70:02}") for i in range(70 * 6)] + [(9000, "½ ² Ⅷ ① 12 _", "l00")]
+    got = langid.held_out_languages(spark.createDataFrame([(*r, None) for r in rows], "doc_id long, text string, lang string, score string")).collect()
+    right = [r["lang_pred"] == f"l{r['doc_id'] % 70:02}" for r in got if r["doc_id"] < 9000]
+    assert np.mean(right) > 0.9 and {r["lang_pred"] for r in got if r["doc_id"] == 9000} == {"und"}
+
+
 def test_quality(spark, docs):
     d, labels = (kit.table(spark, "/root/testdata/sf0.01", t) for t in ("documents", "labels"))
     got = quality.held_out_quality(d, labels).join(labels, "doc_id").toPandas()
@@ -251,6 +283,12 @@ def test_packing(spark, docs, texts):
     assert packing.packed(empty(spark)).count() == 0
 
 
+def test_packing_does_not_grow_with_partitions(spark):
+    d = spark.createDataFrame([(i, base(5 + i * 37 % 90, i)) for i in range(300)], "doc_id long, text string")
+    n = [packing.packed(d.repartition(k)).select("sequence_id").distinct().count() for k in (1, 40)]
+    assert n[1] <= n[0] + 1
+
+
 def test_packer_takes_the_best_fit():
     p = packing.Packer(10, 2)
     assert [p.place(n) for n in (6, 7, 3, 4, 9, 9, 1)] == [(0, 0), (1, 0), (1, 7), (0, 6), (2, 0), (3, 0), (3, 9)]
