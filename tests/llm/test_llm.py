@@ -414,6 +414,30 @@ def test_stages_filter_rows_not_ids(spark, tmp_path):
     assert left(corpus_pipeline.near_duplicates(spark, d, where)) == sorted([(3, clean), (None, base(60, 3)), (7, base(60, 4)), (7, base(60, 5))], key=repr)
 
 
+def test_stages_take_any_table(spark, tmp_path):
+    """Empty tables, nulls everywhere, repeated rows, and columns named like those the stages make."""
+    import corpus_pipeline
+
+    where = str(tmp_path)
+    spark.createDataFrame([("i", "one two three four"), (None, None)], "item_id string, text string").write.parquet(f"{where}/benchmark.parquet")
+    spark.createDataFrame([(1, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{where}/labels.parquet")
+    clash = ["_id", "_row", "row", "ROW_", "score", "predicted", "_text", "n_words", "kept", "stratum", "x0", "sid", "h", "comp", "items", "quality", "key", "open", "length"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in clash)
+    long = base(150, 21)
+    rows = [(None, None), (None, None), (1, ""), (1, base(60)), (1, base(60)), (2, base(60)), (3, long), (None, base(70, 22)), (3, base(50, 23) + " one two three four")]
+    for table in ([], [(i, t, None, None, None, *clash) for i, t in rows]):
+        docs = spark.createDataFrame(table, schema)
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            after = stage(spark, docs, where)
+            assert after.columns == docs.columns
+            docs = kit.stored(after, "after")
+            assert {tuple(r[c] for c in clash) for r in docs.collect()} <= {tuple(clash)}
+        got = sorted({(r["doc_id"], r["text"]) for r in docs.collect()}, key=repr)
+        assert got == (sorted([(1, base(60)), (3, long), (None, base(70, 22))], key=repr) if table else [])
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, where)
+        assert packed.select("doc_id").distinct().count() == len(got)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
