@@ -23,7 +23,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from scorelane.llm import kit
@@ -35,8 +35,8 @@ WINDOW = 8
 
 H = 0.75
 STARTS = 3
-STEPS = 12
-SETTLED = 1e-3
+STEPS = 10
+SETTLED = 0.01
 ACCURACY = 10_000
 MIN_ROWS = 200
 MAX_BROADCAST = 10_000
@@ -156,9 +156,11 @@ def mcd(rows: DataFrame) -> DataFrame:
             F.count("*").alias("n"), *[F.sum(f"x{i}").alias(f"s{i}") for i in range(P)],
             *[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i in range(P) for j in range(i + 1)],
         )
-        before, estimates = estimates, kit.stored(_factored(moments), "mcd")
-        fall = estimates.join(before.select("stratum", F.col("logdet").alias("was")), "stratum").agg(F.max(F.col("was") - F.col("logdet"))).first()[0]
-        if fall is None or fall < SETTLED:
+        seen = Observation()
+        after = _factored(moments).join(estimates.select("stratum", F.col("logdet").alias("_was")), "stratum")
+        after = after.observe(seen, F.max(F.col("_was") - F.col("logdet")).alias("fall"), F.count("*").alias("n"))
+        estimates = kit.stored(after.drop("_was"), "mcd")
+        if not seen.get["n"] or seen.get["fall"] < SETTLED:
             break
     cols = [c for c in estimates.columns if c != "stratum"]
     best = estimates.groupBy(F.substring_index("stratum", "\x02", 1).alias("stratum")).agg(F.min_by(F.struct(*cols), F.struct("logdet", "stratum")).alias("b"))
