@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelane.functions import clipped
+from scorelane.functions import clipped, finite
 
 
 def winsorize(df: DataFrame, c: str, low: float, high: float) -> DataFrame:
@@ -67,7 +67,38 @@ def target_out_of_fold(df: DataFrame, c: str, y: str, fold: str, m: float) -> Da
     level = g.groupBy(c).agg(F.sum("n").alias("ln"), F.sum("pos").alias("lp"))
     folds = g.groupBy(fold).agg(F.sum("n").alias("fn"), F.sum("pos").alias("fp"))
     al = g.agg(F.sum("n").alias("an"), F.sum("pos").alias("ap"))
-    t = g.join(level, c).join(folds, fold).crossJoin(F.broadcast(al))
+    null_safe = lambda a, b, on: a.join(b.withColumnsRenamed({x: f"_{x}" for x in on}), [F.col(x).eqNullSafe(F.col(f"_{x}")) for x in on]).drop(*[f"_{x}" for x in on])
+    t = null_safe(null_safe(g, level, [c]), folds, [fold]).crossJoin(F.broadcast(al))
     prior = (F.col("ap") - F.col("fp")) / (F.col("an") - F.col("fn"))
     t = t.select(c, fold, ((F.col("lp") - F.col("pos") + m * prior) / (F.col("ln") - F.col("n") + m)).alias("encoded"))
-    return df.join(t, [c, fold])
+    return null_safe(df, t, [c, fold])
+
+
+def one_hot(df: DataFrame, c: str, *, drop_first: bool = False, most: int | None = None) -> list[str]:
+    """Sorted levels that get a column: of the `most` frequent ones, without the first if asked; learned from df."""
+    g = df.filter(F.col(c).isNotNull()).groupBy(c).count().orderBy(F.desc("count"), c)
+    levels = sorted(r[0] for r in (g.limit(most) if most else g).collect())
+    return levels[1:] if drop_first else levels
+
+
+def one_hot_columns(c: str, levels: list[str]) -> list[Column]:
+    """A column per level, zero in each for null and unknown values."""
+    return [F.coalesce((F.col(c) == x).cast("double"), F.lit(0.0)).alias(f"{c}_{x}") for x in levels]
+
+
+def winsorize_report(df: DataFrame, columns: list[str], low: float, high: float) -> DataFrame:
+    """variable, low, high, clipped_rate of its finite cells."""
+    q = df.agg(*[F.percentile(finite(F.col(c).cast("double")), F.array(F.lit(low), F.lit(high))).alias(c) for c in columns])
+    bounds = q.withColumnsRenamed({c: f"_{c}" for c in columns})
+    out = lambda c: (F.col(c) < F.col(f"_{c}")[0]) | (F.col(c) > F.col(f"_{c}")[1])
+    one = df.crossJoin(F.broadcast(bounds)).agg(*[a for c in columns for a in (F.max(f"_{c}").alias(f"b_{c}"), F.avg(out(c).cast("int")).alias(f"r_{c}"))])
+    rows = [F.struct(F.lit(c).alias("variable"), F.round(F.col(f"b_{c}")[0], 6).alias("low"), F.round(F.col(f"b_{c}")[1], 6).alias("high"), F.round(f"r_{c}", 6).alias("clipped_rate")) for c in columns]
+    return one.select(F.inline(F.array(*rows)))
+
+
+def kept_by_variance(df: DataFrame, columns: list[str], least: float) -> DataFrame:
+    """variable, variance, kept: those above `least`, or else the one of the largest variance."""
+    v = df.agg(*[F.var_pop(c).alias(c) for c in columns]).unpivot([], columns, "variable", "v")
+    best = v.agg(F.max_by("variable", F.struct("v", F.col("variable"))).alias("_best"), F.max("v").alias("_top"))
+    kept = (F.col("v") > least) | ((F.col("_top") <= least) & (F.col("variable") == F.col("_best")))
+    return v.crossJoin(F.broadcast(best)).select("variable", F.round("v", 6).alias("variance"), kept.alias("kept"))

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scorelane.functions import clipped, epoch_days, lenient_number, safe_ratio
-from scorelane.operators import encode, metrics, models
+from scorelane.operators import encode, guard, metrics, models, profile, roles, splits
+from scorelane.operators.ranks import hash_ranked, ranked
 from scorelane.sources import read_table, scratch_dir, write_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,7 +32,7 @@ def r6(c: Column) -> Column:
 
 # --- views --------------------------------------------------------------------------
 
-PREDS = "preds AS (SELECT event_id AS row_id, CAST(event_type IN ('purchase','error') AND value > 40 AS INT) AS y, round(value / (value + 50), 2) AS s, event_id % 5 AS fold, event_type AS slice FROM events)"
+PREDS = "preds AS (SELECT event_id AS row_id, CAST(event_type IN ('purchase','error') AND value > 40 AS INT) AS y, round(value / (value + 50), 9) AS s, event_id % 5 AS fold, event_type AS slice FROM events)"
 NULLS = "nulls AS (SELECT event_id AS id, CASE WHEN event_id % 17 = 0 THEN NULL ELSE value END AS v, CASE WHEN event_id % 23 = 0 THEN NULL ELSE event_type END AS t, CAST(event_type IN ('purchase','error') AND value > 40 AS INT) AS y, event_id % 5 AS fold FROM events)"
 ORD = "ord AS (SELECT o_orderkey AS id, o_totalprice AS price, o_orderpriority AS priority, o_orderdate AS d, o_custkey AS g, CAST(o_orderstatus = 'F' AS INT) AS y, o_orderdate < TIMESTAMP '1999-01-01' AS train FROM orders)"
 CURVE = "g AS (SELECT s, sum(y) tp, sum(1 - y) fp FROM preds GROUP BY s), c AS (SELECT s, tp, fp, sum(tp) OVER w tps, sum(fp) OVER w fps, sum(tp) OVER () P, sum(fp) OVER () N FROM g WINDOW w AS (ORDER BY s DESC ROWS UNBOUNDED PRECEDING))"
@@ -43,7 +44,7 @@ def t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def preds(spark: SparkSession, d: str) -> DataFrame:
     y = (F.col("event_type").isin("purchase", "error") & (F.col("value") > 40)).cast("int")
-    return t(spark, d, "events").select(F.col("event_id").alias("row_id"), y.alias("y"), F.round(F.col("value") / (F.col("value") + 50), 2).alias("s"), (F.col("event_id") % 5).alias("fold"), F.col("event_type").alias("slice"))
+    return t(spark, d, "events").select(F.col("event_id").alias("row_id"), y.alias("y"), F.round(F.col("value") / (F.col("value") + 50), 9).alias("s"), (F.col("event_id") % 5).alias("fold"), F.col("event_type").alias("slice"))
 
 
 def nulls(spark: SparkSession, d: str) -> DataFrame:
@@ -142,8 +143,7 @@ def psi(spark, d):
 
 @query("WITH o AS (SELECT value, row_number() OVER (ORDER BY value) AS r, count(*) OVER () AS n FROM events) SELECT CAST(q AS INT) AS level, value AS quantile FROM range(0, 101) x(q) JOIN o ON r = greatest(1, ceil((q / 100e0) * n))")
 def reference_quantiles(spark, d):
-    grid = ", ".join(f"percentile_disc({q / 100}) WITHIN GROUP (ORDER BY value)" for q in range(101))
-    return t(spark, d, "events").select(F.col("value")).selectExpr("*").transform(lambda x: x.sparkSession.sql(f"SELECT posexplode(array({grid})) AS (level, quantile) FROM {{x}}", x=x))
+    return metrics.reference_quantiles(t(spark, d, "events").select(F.col("event_id").alias("id"), F.col("value").alias("x")), "id")
 
 
 @query(f"WITH {PREDS}, th AS (SELECT unnest([0.2, 0.5, 0.7, 0.8]) AS threshold), g AS (SELECT threshold, count(*) FILTER (s >= threshold AND y = 1) tp, count(*) FILTER (s >= threshold AND y = 0) fp, count(*) FILTER (s < threshold AND y = 1) fn, count(*) FILTER (s < threshold AND y = 0) tn FROM preds, th GROUP BY 1) SELECT CAST(threshold AS DOUBLE) AS threshold, tp, fp, fn, tn, round((tp + fp) / (tp + fp + fn + tn), 6) AS flag_rate, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(fp / nullif(fp + tn, 0), 6) AS fpr, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1 FROM g")
@@ -260,12 +260,14 @@ def information_value(spark, d):
 @query(f"WITH {NULLS}, k AS (SELECT t AS level, count(*) AS n, sum(y) AS pos FROM nulls GROUP BY 1), f AS (SELECT level, (pos + 10 * (SELECT avg(y) FROM nulls)) / (n + 10) AS e FROM k) SELECT id, round(e, 6) AS encoded FROM nulls JOIN f ON t IS NOT DISTINCT FROM level")
 def encode_target(spark, d):
     n = nulls(spark, d)
-    return encode.looked_up(n, "t", encode.target_means(n, "t", "y", 10.0), "encoded", F.lit(None)).select("id", r6(F.col("encoded")).alias("encoded"))
+    means = encode.target_means(n, "t", "y", 10.0)
+    prior = n.agg(F.avg("y").alias("_prior"))
+    return encode.looked_up(n.crossJoin(F.broadcast(prior)), "t", means, "encoded", F.col("_prior")).select("id", r6(F.col("encoded")).alias("encoded"))
 
 
-@query(f"WITH {PREDS}, k AS (SELECT slice, fold, count(*) n, sum(y) p FROM preds GROUP BY ALL), z AS (SELECT *, sum(n) OVER (PARTITION BY slice) ln, sum(p) OVER (PARTITION BY slice) lp, sum(n) OVER (PARTITION BY fold) fn, sum(p) OVER (PARTITION BY fold) fp, sum(n) OVER () an, sum(p) OVER () ap FROM k) SELECT row_id, round((lp - p + 10 * (ap - fp) / (an - fn)) / (ln - n + 10), 6) AS encoded FROM preds JOIN z USING (slice, fold)")
+@query(f"WITH {NULLS}, k AS (SELECT t, fold, count(*) n, sum(y) p FROM nulls GROUP BY ALL), z AS (SELECT *, sum(n) OVER (PARTITION BY t) ln, sum(p) OVER (PARTITION BY t) lp, sum(n) OVER (PARTITION BY fold) fn, sum(p) OVER (PARTITION BY fold) fp, sum(n) OVER () an, sum(p) OVER () ap FROM k) SELECT id, round((lp - p + 10 * (ap - fp) / (an - fn)) / (ln - n + 10), 6) AS encoded FROM nulls JOIN z ON nulls.t IS NOT DISTINCT FROM z.t AND nulls.fold = z.fold")
 def encode_target_oof(spark, d):
-    return encode.target_out_of_fold(preds(spark, d), "slice", "y", "fold", 10.0).select("row_id", r6(F.col("encoded")).alias("encoded"))
+    return encode.target_out_of_fold(nulls(spark, d), "t", "y", "fold", 10.0).select("id", r6(F.col("encoded")).alias("encoded"))
 
 
 # --- typing, scans and projections ----------------------------------------------------
@@ -436,10 +438,9 @@ def profile_missing(spark, d):
     return nulls(spark, d).agg(r6((2 * F.count("*") - F.count("v") - F.count("t")) / (2 * F.count("*"))).alias("missing_rate"))
 
 
-@query("SELECT round(1 - (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)) / count(*), 6) AS duplicate_row_rate FROM lineitem")
+@query("SELECT round(1 - (SELECT count(*) FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag FROM lineitem)) / count(*), 6) AS duplicate_row_rate FROM lineitem")
 def duplicate_row_rate(spark, d):
-    g = t(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").count()
-    return g.agg(r6(1 - F.count("*") / F.sum("count")).alias("duplicate_row_rate"))
+    return profile.duplicate_rows(t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag"))
 
 
 @query(f"WITH {PREDS} SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(y) AS BIGINT) AS pos, CAST(sum(1 - y) AS BIGINT) AS neg, round(avg(y), 6) AS prevalence, round(sum(1 - y) / sum(y), 6) AS neg_pos_ratio FROM preds")
@@ -461,32 +462,24 @@ def group_size_median(spark, d):
 
 # --- splits -----------------------------------------------------------------------------
 
-@query(f"WITH {ORD} SELECT id, CASE WHEN row_number() OVER (ORDER BY d, id) <= round(count(*) OVER () * 0.75e0) THEN 'train' ELSE 'holdout' END AS part FROM ord")
+@query(f"WITH {ORD} SELECT id, CASE WHEN row_number() OVER (ORDER BY d, id) <= round_even(count(*) OVER () * 0.75e0, 0) THEN 'train' ELSE 'holdout' END AS part FROM ord")
 def split_time(spark, d):
-    r = F.row_number().over(Window.orderBy("d", "id"))
-    return ord_(spark, d).select("id", F.when(r <= F.round(F.count("*").over(Window.partitionBy()) * 0.75), "train").otherwise("holdout").alias("part"))
+    return splits.holdout(ord_(spark, d), "id", "time", time="d").select("id", "part")
 
 
 @query(f"WITH {ORD}, gr AS (SELECT g, min(d) AS m FROM ord GROUP BY g), k AS (SELECT g, row_number() OVER (ORDER BY m DESC, g DESC) <= greatest(1, round(count(*) OVER () * 0.25e0)) AS out FROM gr) SELECT id, CASE WHEN out THEN 'holdout' ELSE 'train' END AS part FROM ord JOIN k USING (g)")
 def split_group_time(spark, d):
-    o = ord_(spark, d)
-    g = o.groupBy("g").agg(F.min("d").alias("m"))
-    out = F.row_number().over(Window.orderBy(F.desc("m"), F.desc("g"))) <= F.greatest(F.lit(1), F.round(F.count("*").over(Window.partitionBy()) * 0.25))
-    return o.join(g.select("g", out.alias("out")), "g").select("id", F.when(F.col("out"), "holdout").otherwise("train").alias("part"))
+    return splits.holdout(ord_(spark, d), "id", "group_time", group="g", time="d").select("id", "part")
 
 
 @query(f"WITH {PREDS} SELECT row_id, CAST((row_number() OVER (PARTITION BY y ORDER BY md5(CAST(row_id AS VARCHAR)), row_id) - 1) % 5 AS INT) AS fold FROM preds")
 def cv_stratified_folds(spark, d):
-    r = F.row_number().over(Window.partitionBy("y").orderBy(F.md5(F.col("row_id").cast("string").cast("binary")), "row_id"))
-    return preds(spark, d).select("row_id", ((r - 1) % 5).cast("int").alias("fold"))
+    return splits.stratified_folds(preds(spark, d), "row_id").select("row_id", "fold")
 
 
 @query(f"WITH {ORD}, r AS (SELECT id, row_number() OVER (ORDER BY d, id) - 1 AS r, count(*) OVER () AS n FROM ord), f AS (SELECT id, (r - (n - 5 * (n // 6))) // (n // 6) AS fold, r - (n - 5 * (n // 6)) AS k FROM r) SELECT id, CAST(CASE WHEN k < 0 THEN -1 ELSE fold END AS INT) AS fold FROM f")
 def cv_time_folds(spark, d):
-    n = F.count("*").over(Window.partitionBy())
-    size = F.floor(n / 6)
-    k = F.row_number().over(Window.orderBy("d", "id")) - 1 - (n - 5 * size)
-    return ord_(spark, d).select("id", F.when(k < 0, -1).otherwise(F.floor(k / size)).cast("int").alias("fold"))
+    return splits.time_folds(ord_(spark, d), "id", "d")
 
 
 @query(f"WITH {PREDS} SELECT CAST(fold AS INT) AS fold, CAST(count(*) AS BIGINT) AS n, round(avg(y), 6) AS prevalence FROM preds GROUP BY fold")
@@ -583,31 +576,14 @@ def pred_store_roundtrip(spark, d):
     return read_table(spark, path)
 
 
-def hash_ranked(df: DataFrame, id_col: str, *keys: str) -> DataFrame:
-    """rank of each row by md5 of its id within keys, and n, how many there are.
-
-    Ranks are taken inside 4,096 buckets of the hash and shifted by the counts of the
-    buckets before, so no task has to hold a whole class.
-    """
-    hashed = df.withColumn("h", F.md5(F.col(id_col).cast("string").cast("binary"))).withColumn("b", F.substring("h", 1, 3))
-    counts = hashed.groupBy(*keys, "b").agg(F.count("*").alias("c"))
-    before = F.sum("c").over(Window.partitionBy(*keys).orderBy("b")) - F.col("c")
-    counts = counts.select(*keys, "b", before.alias("before"), F.sum("c").over(Window.partitionBy(*keys)).alias("n"))
-    inside = F.row_number().over(Window.partitionBy(*keys, "b").orderBy("h", id_col))
-    return hashed.withColumn("inside", inside).join(counts, [*keys, "b"]).withColumn("rank", F.col("inside") + F.col("before"))
-
-
 @query(f"WITH {PREDS}, r AS (SELECT row_id, y, row_number() OVER (PARTITION BY y ORDER BY md5(CAST(row_id AS VARCHAR)), row_id) AS r, count(*) OVER (PARTITION BY y) AS n FROM preds) SELECT row_id, y, CASE WHEN r <= round(n * 0.25e0) THEN 'holdout' ELSE 'train' END AS part FROM r")
 def split_random_stratified(spark, d):
-    part = F.when(F.col("rank") <= F.round(F.col("n") * 0.25), "holdout").otherwise("train")
-    return hash_ranked(preds(spark, d).select("row_id", "y"), "row_id", "y").select("row_id", "y", part.alias("part"))
+    return splits.holdout(preds(spark, d).select("row_id", "y"), "row_id")
 
 
 @query(f"WITH {ORD}, gr AS (SELECT DISTINCT g FROM ord), k AS (SELECT g, row_number() OVER (ORDER BY md5(CAST(g AS VARCHAR)), g) <= ceil(count(*) OVER () * 0.25e0) AS out FROM gr) SELECT id, CASE WHEN out THEN 'holdout' ELSE 'train' END AS part FROM ord JOIN k USING (g)")
 def split_group(spark, d):
-    o = ord_(spark, d)
-    out = F.col("rank") <= F.ceil(F.col("n") * 0.25)
-    return o.join(hash_ranked(o.select("g").distinct(), "g").select("g", out.alias("out")), "g").select("id", F.when(F.col("out"), "holdout").otherwise("train").alias("part"))
+    return splits.holdout(ord_(spark, d), "id", "group", group="g").select("id", "part")
 
 
 _LEVELS = [i / 100 for i in range(101)]
@@ -626,12 +602,12 @@ def psi_from_quantiles(spark, d):
     return metrics.psi_from_quantiles(stored, x.filter("ts >= '2024-01-16'"))
 
 
-@query(ROC + ", th AS (SELECT 'fpr' AS source, round(th + (0.05 - f) / (hf - f) * (hth - th), 6) AS threshold FROM lo, hi UNION ALL SELECT 'top_pct', round(quantile_cont(s, 0.95), 6) FROM preds) SELECT source, threshold, round(avg(CAST(s >= threshold AS INT)), 6) AS flag_rate, round(sum(CASE WHEN s >= threshold THEN y END) / nullif(count(*) FILTER (s >= threshold), 0), 6) AS precision, round(sum(CASE WHEN s >= threshold THEN y ELSE 0 END) / sum(y), 6) AS recall FROM preds, th GROUP BY ALL")
+@query(ROC + ", th AS (SELECT 'fpr' AS source, th + (0.05 - f) / (hf - f) * (hth - th) AS threshold FROM lo, hi UNION ALL SELECT 'top_pct', quantile_cont(s, 0.95) FROM preds) SELECT source, round(threshold, 6) AS threshold, round(avg(CAST(s >= threshold AS INT)), 6) AS flag_rate, round(sum(CASE WHEN s >= threshold THEN y END) / nullif(count(*) FILTER (s >= threshold), 0), 6) AS precision, round(sum(CASE WHEN s >= threshold THEN y ELSE 0 END) / sum(y), 6) AS recall FROM preds, th GROUP BY source, th.threshold")
 def implied_thresholds(spark, d):
     p = preds(spark, d)
-    top = p.agg(F.round(F.percentile("s", 0.95), 6).alias("threshold")).select(F.lit("top_pct").alias("source"), "threshold")
-    fpr = metrics.at_fpr(p, 0.05).select(F.lit("fpr").alias("source"), F.col("threshold_at_fpr").alias("threshold"))
-    return metrics.at_thresholds(p, fpr.unionByName(top))
+    top = p.agg(F.percentile("s", 0.95).alias("threshold")).select(F.lit("top_pct").alias("source"), "threshold")
+    fpr = metrics.at_fpr(p, 0.05, digits=None).select(F.lit("fpr").alias("source"), F.col("threshold_at_fpr").alias("threshold"))
+    return metrics.at_thresholds(p, fpr.unionByName(top)).withColumn("threshold", r6(F.col("threshold")))
 
 
 # --- orderings and stability of selections ----------------------------------------------

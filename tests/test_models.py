@@ -3,7 +3,7 @@
 import pytest
 
 from scorelane.operators import models
-from scorelane.plans.queries import hash_ranked
+from scorelane.operators.ranks import hash_ranked
 from scorelane.streaming import decided, to_parquet
 
 
