@@ -63,7 +63,7 @@ class Guard:
 
     def envelope(self, spark: SparkSession) -> DataFrame:
         """variable, type, train_min, train_max, train_median, guard_min, guard_max, n_levels."""
-        rows = [(c, "numeric", *self.bounds[c], *self.edges(c), None) for c in self.numeric]
+        rows = [(c, "numeric", *self.bounds[c], *self.edges(c), 0) for c in self.numeric]
         rows = [(c, t, lo, hi, mid, *(None if abs(e) == float("inf") else e for e in (a, b)), n) for c, t, lo, hi, mid, a, b, n in rows]
         schema = "variable string, type string, train_min double, train_max double, train_median double, guard_min double, guard_max double, n_levels long"
         some = spark.createDataFrame(rows, schema)

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scorelane.functions import clipped, epoch_days, lenient_number, safe_ratio
-from scorelane.operators import encode, guard, metrics, models, profile, roles, splits
-from scorelane.operators.ranks import hash_ranked, ranked
+from scorelane.functions import epoch_days, lenient_number, safe_ratio
+from scorelane.operators import encode, guard, metrics, models, profile, roles, splits, store
+from scorelane.operators.ranks import hash_ranked
 from scorelane.sources import read_table, scratch_dir, write_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -198,11 +198,12 @@ _scaled("scale_minmax", "min(v)", "max(v) - min(v)", lambda: (F.min("v"), F.max(
 
 @query("WITH v AS (SELECT unnest(['l_quantity', 'l_discount', 'l_tax']) AS variable, unnest([var_pop(l_quantity), var_pop(l_discount), var_pop(l_tax)]) AS v FROM lineitem) SELECT variable, round(v, 6) AS variance, v > 0.001 OR (v = max(v) OVER () AND max(v) OVER () <= 0.001) AS kept FROM v")
 def variance_threshold(spark, d):
-    cols = ["l_quantity", "l_discount", "l_tax"]
-    one = t(spark, d, "lineitem").agg(*[F.var_pop(c).alias(c) for c in cols])
-    v = one.unpivot([], cols, "variable", "v")
-    top = F.max("v").over(Window.partitionBy())
-    return v.select("variable", r6(F.col("v")).alias("variance"), ((F.col("v") > 0.001) | ((F.col("v") == top) & (top <= 0.001))).alias("kept"))
+    return encode.kept_by_variance(t(spark, d, "lineitem"), ["l_quantity", "l_discount", "l_tax"], 0.001)
+
+
+@query(f"WITH {NULLS}, b AS (SELECT quantile_cont(v, 0.01) lo, quantile_cont(v, 0.99) hi FROM nulls) SELECT 'v' AS variable, round(max(lo), 6) AS low, round(max(hi), 6) AS high, round(avg(CAST(v < lo OR v > hi AS INT)), 6) AS clipped_rate FROM nulls, b")
+def winsorize_report(spark, d):
+    return encode.winsorize_report(nulls(spark, d), ["v"], 0.01, 0.99)
 
 
 @query(f"WITH {NULLS}, m AS (SELECT t AS mode FROM nulls WHERE t IS NOT NULL GROUP BY t ORDER BY count(*) DESC, t LIMIT 1) SELECT id, coalesce(t, mode) AS t FROM nulls, m")
@@ -228,7 +229,8 @@ def rare_report(spark, d):
 
 @query("SELECT event_id AS id, " + ", ".join(f"CAST(event_type = '{x}' AS DOUBLE) AS t_{x}" for x in ("click", "error", "purchase", "signup", "view")) + " FROM events")
 def encode_onehot(spark, d):
-    return t(spark, d, "events").select(F.col("event_id").alias("id"), *[(F.col("event_type") == x).cast("double").alias(f"t_{x}") for x in ("click", "error", "purchase", "signup", "view")])
+    e = t(spark, d, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("t"))
+    return e.select("id", *encode.one_hot_columns("t", encode.one_hot(e, "t")))
 
 
 @query(f"WITH {NULLS}, l AS (SELECT t, dense_rank() OVER (ORDER BY t) - 1 AS code FROM nulls WHERE t IS NOT NULL GROUP BY t) SELECT id, CAST(CASE WHEN nulls.t IS NULL THEN -2 ELSE coalesce(code, -1) END AS INT) AS code FROM nulls LEFT JOIN l USING (t)")
@@ -311,91 +313,127 @@ def binarize_target(spark, d):
     return g.agg(F.min_by("o_orderstatus", F.struct("count", "o_orderstatus")).alias("label"), F.min("count").alias("n_positive"))
 
 
-@query("SELECT column_name, role, n_unique FROM (SELECT 'event_type' AS column_name, 'categorical' AS role, CAST(count(DISTINCT event_type) AS BIGINT) AS n_unique FROM events UNION ALL SELECT 'user_id', CASE WHEN count(DISTINCT user_id) <= 10 THEN 'categorical' ELSE 'numeric' END, count(DISTINCT user_id) FROM events UNION ALL SELECT 'value', CASE WHEN count(DISTINCT value) <= 10 THEN 'categorical' ELSE 'numeric' END, count(DISTINCT value) FROM events UNION ALL SELECT 'props', CASE WHEN count(DISTINCT props) <= 1 THEN 'constant' WHEN count(DISTINCT props) / count(*) > 0.5 THEN 'identifier_like_cardinality' ELSE 'categorical' END, count(DISTINCT props) FROM events)")
+#: The panel of the typing queries: formatted numbers, dates as text, codes, constants, identifiers, nothing.
+TYPED = "typed AS (SELECT l_orderkey AS k, '$' || format('{:,.2f}', l_extendedprice) AS amount, CASE WHEN l_linenumber = 7 THEN 'N/A' ELSE CAST(l_quantity AS VARCHAR) END AS mixed, l_linenumber AS code, l_returnflag AS flag, 'same' AS constant, CAST(NULL AS VARCHAR) AS nothing, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_extendedprice AS ident, strftime(l_shipdate, '%Y-%m-%d') AS shipped, l_shipdate AS day FROM lineitem)"
+COLUMNS = ["amount", "mixed", "code", "flag", "constant", "nothing", "shipped", "day"]
+
+
+def typed(spark: SparkSession, d: str) -> DataFrame:
+    li = t(spark, d, "lineitem")
+    amount = F.concat(F.lit("$"), F.format_number("l_extendedprice", 2))
+    mixed = F.when(F.col("l_linenumber") != 7, F.col("l_quantity").cast("string")).otherwise("N/A")
+    return li.select(amount.alias("amount"), mixed.alias("mixed"), F.col("l_linenumber").alias("code"), F.col("l_returnflag").alias("flag"), F.lit("same").alias("constant"), F.lit(None).cast("string").alias("nothing"), F.date_format(F.col("l_shipdate").cast("timestamp"), "yyyy-MM-dd").alias("shipped"), F.col("l_shipdate").alias("day"))
+
+
+_MIXED = "(SELECT avg(CAST(l_linenumber <> 7 AS INT)) FROM lineitem)"
+
+
+@query(f"SELECT unnest(['amount', 'mixed', 'code', 'flag', 'constant', 'nothing', 'shipped', 'day']) AS variable, unnest(['numeric', CASE WHEN {_MIXED} >= 0.95 THEN 'numeric' END, 'numeric', NULL, NULL, 'numeric', 'datetime', 'datetime']) AS kind, unnest([1, round({_MIXED}, 6), 1, 0, 0, 1, 1, 1]::DOUBLE[]) AS rate")
+def parse_kinds(spark, d):
+    return roles.parse_kinds(typed(spark, d), COLUMNS).select("variable", "kind", r6(F.col("rate")).alias("rate"))
+
+
+_ROLE = "CASE WHEN n_unique = 0 THEN 'all_missing' WHEN n_unique <= 1 THEN 'constant' WHEN numeric AND NOT (code AND n_unique <= 10) THEN 'numeric' WHEN NOT (code AND n_unique <= 10) AND n_unique / n > 0.5 THEN 'identifier_like_cardinality' ELSE 'categorical' END"
+_FACTS = " UNION ALL ".join(f"SELECT '{v}' AS variable, count(*) AS n, count(DISTINCT {x}) AS n_unique, {k} AS numeric, {c} AS code, '{kind}' AS kind FROM lineitem" for v, x, k, c, kind in (("amount", "round(l_extendedprice, 2)", "true", "false", "numeric"), ("mixed", "CASE WHEN l_linenumber <> 7 THEN l_quantity ELSE -1 END", f"{_MIXED} >= 0.95", "false", "numeric"), ("code", "l_linenumber", "true", "bool_and(l_linenumber % 1 = 0)", "numeric"), ("flag", "l_returnflag", "false", "false", ""), ("constant", "'same'", "false", "false", ""), ("nothing", "CAST(NULL AS VARCHAR)", "true", "false", "numeric"), ("shipped", "CAST(l_shipdate AS DATE)", "true", "false", "datetime"), ("day", "l_shipdate", "true", "false", "datetime")))
+
+
+@query(f"WITH f AS ({_FACTS}), r AS (SELECT variable, {_ROLE} AS role, kind, CAST(n_unique AS BIGINT) AS n_unique FROM f) SELECT variable, role, CASE WHEN role = 'numeric' THEN kind END AS kind, n_unique FROM r")
 def infer_roles(spark, d):
-    e = t(spark, d, "events")
-    cols = ["event_type", "user_id", "value", "props"]
-    kinds = dict(e.dtypes)
-    one = e.agg(F.count("*").alias("_n"), *[F.count_distinct(c).alias(c) for c in cols])
-    long = one.unpivot(["_n"], cols, "column_name", "n_unique")
-    numeric = F.col("column_name").isin([c for c in cols if kinds[c] not in ("string", "boolean")])
-    role = F.when(F.col("n_unique") == 0, "all_missing").when(F.col("n_unique") <= 1, "constant").when(numeric & (F.col("n_unique") > 10), "numeric").when(~numeric & (F.col("n_unique") / F.col("_n") > 0.5), "identifier_like_cardinality").otherwise("categorical")
-    return long.select("column_name", role.alias("role"), "n_unique")
+    return roles.infer_roles(typed(spark, d), COLUMNS)
 
 
-# --- guard and scoring ------------------------------------------------------------------
+@query(f"SELECT 'amount' AS variable, 1.0e0 AS parse_rate, CAST(0 AS BIGINT) AS n_coerced, CAST(0 AS BIGINT) AS n_not_finite, false AS below_90 UNION ALL SELECT 'mixed', round({_MIXED}, 6), CAST((SELECT count(*) FROM lineitem WHERE l_linenumber = 7) AS BIGINT), 0, {_MIXED} < 0.9 UNION ALL SELECT 'shipped', 1.0e0, 0, 0, false")
+def coercer_report(spark, d):
+    return roles.coercer_report(typed(spark, d), {"amount": "numeric", "mixed": "numeric", "shipped": "datetime"})
 
-ENV = f"{ORD}, env AS (SELECT min(price) lo, max(price) hi, median(price) mid FROM ord WHERE train)"
 
+@query("SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY md5(CAST(o_orderkey AS VARCHAR)), o_orderkey) AS r, count(*) OVER () AS n FROM orders) WHERE r <= greatest(round(n * 0.1e0), 1)")
+def sample_exact(spark, d):
+    return roles.sample_exact(t(spark, d, "orders").select("o_orderkey"), 0.1, "o_orderkey")
 
-def envelope(o: DataFrame) -> DataFrame:
-    return o.filter("train").agg(F.min("price").alias("lo"), F.max("price").alias("hi"), F.percentile("price", 0.5).alias("mid"))
+
+# --- guard and scoring ------------------------------------------------------------------
+
+ENV = f"{ORD}, env AS (SELECT lo, hi, mid, lo - 0.1e0 * (hi - lo) AS glo, hi + 0.1e0 * (hi - lo) AS ghi FROM (SELECT min(price) lo, max(price) hi, median(price) mid FROM ord WHERE train))"
+DRIFT = f"{ENV}, drift AS (SELECT id, y, CASE WHEN id % 30 = 2 THEN NULL WHEN id % 50 = 1 THEN price * 50 ELSE price END AS price, id % 30 = 2 AS coerced, CASE WHEN id % 25 = 3 THEN NULL WHEN id % 20 = 0 THEN '9-NEW' WHEN id % 40 = 5 THEN '8-NEW' ELSE priority END AS priority FROM ord WHERE NOT train)"
+FLAGS = f"{DRIFT}, flags AS (SELECT id, y, price, priority, CAST(coalesce(price < glo OR price > ghi, false) AS INT) AS n_out_of_range, CAST(coalesce(priority NOT IN (SELECT priority FROM ord WHERE train), false) AS INT) AS n_unseen_category, CAST(coerced AS INT) AS n_coerced, 0 AS n_newly_missing, glo, ghi FROM drift, env)"
 
 
 def drifted(o: DataFrame) -> DataFrame:
-    return o.filter("not train").withColumns({"price": F.when(F.col("id") % 50 == 1, F.col("price") * 50).otherwise(F.col("price")), "priority": F.when(F.col("id") % 20 == 0, F.lit("9-NEW")).otherwise(F.col("priority"))})
+    """Later orders with prices as text, some of them none or fifty times as high, and new and null priorities."""
+    i = F.col("id")
+    price = F.when(i % 30 == 2, "N/A").when(i % 50 == 1, (F.col("price") * 50).cast("string")).otherwise(F.col("price").cast("string"))
+    priority = F.when(i % 25 == 3, None).when(i % 20 == 0, "9-NEW").when(i % 40 == 5, "8-NEW").otherwise(F.col("priority"))
+    return o.filter("not train").select("id", "y", price.alias("price"), priority.alias("priority"))
 
 
-DRIFT = f"{ENV}, drift AS (SELECT id, y, CASE WHEN id % 50 = 1 THEN price * 50 ELSE price END AS price, CASE WHEN id % 20 = 0 THEN '9-NEW' ELSE priority END AS priority FROM ord WHERE NOT train)"
+def fitted_guard(o: DataFrame, **policies: object) -> guard.Guard:
+    return guard.Guard.fit(o.filter("train"), ["price"], ["priority"], tolerance=0.1, **policies)
 
 
-@query(f"WITH {ENV} SELECT round(lo, 6) AS train_min, round(hi, 6) AS train_max, round(mid, 6) AS train_median, round(lo - 0.1e0 * (hi - lo), 6) AS guard_min, round(hi + 0.1e0 * (hi - lo), 6) AS guard_max FROM env")
+def guarded(spark: SparkSession, d: str, **policies: object) -> DataFrame:
+    o = ord_(spark, d)
+    return fitted_guard(o, **policies).applied(drifted(o))
+
+
+@query(f"WITH {ENV} SELECT 'price' AS variable, 'numeric' AS type, round(lo, 6) AS train_min, round(hi, 6) AS train_max, round(mid, 6) AS train_median, round(glo, 6) AS guard_min, round(ghi, 6) AS guard_max, CAST(0 AS BIGINT) AS n_levels FROM env UNION ALL SELECT 'priority', 'categorical', NULL, NULL, NULL, NULL, NULL, (SELECT count(DISTINCT priority) FROM ord WHERE train)")
 def training_envelope(spark, d):
-    w = F.lit(0.1) * (F.col("hi") - F.col("lo"))
-    return envelope(ord_(spark, d)).select(r6(F.col("lo")).alias("train_min"), r6(F.col("hi")).alias("train_max"), r6(F.col("mid")).alias("train_median"), r6(F.col("lo") - w).alias("guard_min"), r6(F.col("hi") + w).alias("guard_max"))
+    e = fitted_guard(ord_(spark, d)).envelope(spark)
+    return e.select("variable", "type", *[r6(F.col(c)).alias(c) for c in ("train_min", "train_max", "train_median", "guard_min", "guard_max")], "n_levels")
 
 
-@query(f"WITH {DRIFT} SELECT id, round(least(hi, greatest(lo, price)), 6) AS price, price < lo OR price > hi AS out_of_range FROM drift, env")
+@query(f"WITH {FLAGS} SELECT id, round(CASE WHEN price IS NOT NULL THEN least(ghi, greatest(glo, price)) END, 6) AS price, n_out_of_range FROM flags")
 def guard_numeric_clip(spark, d):
-    o = ord_(spark, d)
-    g = drifted(o).crossJoin(F.broadcast(envelope(o)))
-    return g.select("id", r6(clipped(F.col("price"), F.col("lo"), F.col("hi"))).alias("price"), ((F.col("price") < F.col("lo")) | (F.col("price") > F.col("hi"))).alias("out_of_range"))
+    return guarded(spark, d).select("id", r6(F.col("price")).alias("price"), "n_out_of_range")
 
 
-@query(f"WITH {DRIFT} SELECT id, CASE WHEN price >= lo AND price <= hi THEN round(price, 6) END AS price FROM drift, env")
+@query(f"WITH {FLAGS} SELECT id, CASE WHEN n_out_of_range = 0 THEN round(price, 6) END AS price FROM flags")
 def guard_numeric_nan(spark, d):
-    o = ord_(spark, d)
-    return drifted(o).crossJoin(F.broadcast(envelope(o))).select("id", F.when(F.col("price").between(F.col("lo"), F.col("hi")), r6(F.col("price"))).alias("price"))
+    return guarded(spark, d, numeric_policy="nan").select("id", r6(F.col("price")).alias("price"))
 
 
-@query(f"WITH {DRIFT}, seen AS (SELECT DISTINCT priority FROM ord WHERE train) SELECT id, CASE WHEN priority IN (SELECT priority FROM seen) THEN priority ELSE '__UNSEEN__' END AS priority FROM drift")
+@query(f"WITH {FLAGS} SELECT id, CASE WHEN n_unseen_category = 1 THEN '__UNSEEN__' ELSE priority END AS priority, n_unseen_category FROM flags")
 def guard_unseen(spark, d):
-    o = ord_(spark, d)
-    seen = o.filter("train").select(F.col("priority").alias("level"), F.col("priority").alias("known")).distinct()
-    return encode.looked_up(drifted(o), "priority", seen, "known", F.lit("__UNSEEN__")).select("id", F.col("known").alias("priority"))
+    return guarded(spark, d).select("id", "priority", "n_unseen_category")
 
 
-def flagged(o: DataFrame) -> DataFrame:
-    seen = o.filter("train").select(F.col("priority").alias("level"), F.lit(0).alias("n_unseen")).distinct()
-    g = encode.looked_up(drifted(o), "priority", seen, "n_unseen", F.lit(1)).crossJoin(F.broadcast(envelope(o)))
-    return g.withColumn("n_out", ((F.col("price") < F.col("lo")) | (F.col("price") > F.col("hi"))).cast("int"))
+@query(f"WITH {FLAGS} SELECT id, n_out_of_range, n_unseen_category, n_coerced, n_newly_missing FROM flags")
+def guard_row_flags(spark, d):
+    return guarded(spark, d).select("id", *guard.FLAGS)
 
 
-FLAGS = f"{DRIFT}, flags AS (SELECT id, y, CAST(price < lo OR price > hi AS INT) AS n_out, CAST(priority NOT IN (SELECT priority FROM ord WHERE train) AS INT) AS n_unseen FROM drift, env)"
+@query(f"WITH {DRIFT} SELECT id, CAST(NULL AS DOUBLE) AS price, 0 AS n_out_of_range, 1 AS n_newly_missing, false AS safe FROM drift")
+def guard_missing_column(spark, d):
+    o = ord_(spark, d)
+    g = fitted_guard(o)
+    rows = g.applied(drifted(o).drop("price"))
+    return rows.crossJoin(F.broadcast(g.report(rows).select("safe"))).select("id", "price", "n_out_of_range", "n_newly_missing", "safe")
 
 
-@query(f"WITH {FLAGS} SELECT id, n_out, n_unseen FROM flags")
-def guard_row_flags(spark, d):
-    return flagged(ord_(spark, d)).select("id", "n_out", "n_unseen")
+@query(f"WITH {FLAGS} SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(n_out_of_range + n_unseen_category + n_coerced) AS BIGINT) AS guarded_cells, round(sum(n_out_of_range + n_unseen_category + n_coerced) / (count(*) * 2), 6) AS guarded_rate, CAST(0 AS BIGINT) AS n_missing_columns, sum(n_out_of_range + n_unseen_category + n_coerced) / (count(*) * 2) <= 0.05 AS safe, CASE WHEN sum(n_out_of_range + n_unseen_category + n_coerced) / (count(*) * 2) <= 0.05 THEN 'ok' ELSE 'too many guarded cells: review the whole batch' END AS escalation FROM flags")
+def guard_batch_report(spark, d):
+    o = ord_(spark, d)
+    g = fitted_guard(o)
+    return g.report(g.applied(drifted(o)))
 
 
-@query(f"WITH {FLAGS} SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(n_out + n_unseen) AS BIGINT) AS guarded_cells, round(sum(n_out + n_unseen) / (count(*) * 2), 6) AS guarded_rate, sum(n_out + n_unseen) / (count(*) * 2) <= 0.05 AS safe FROM flags")
-def guard_batch_report(spark, d):
-    f = flagged(ord_(spark, d)).agg(F.count("*").alias("n_rows"), F.sum(F.col("n_out") + F.col("n_unseen")).cast("long").alias("guarded_cells"))
-    rate = F.col("guarded_cells") / (F.col("n_rows") * 2)
-    return f.select("n_rows", "guarded_cells", r6(rate).alias("guarded_rate"), (rate <= 0.05).alias("safe"))
+@query(f"WITH {FLAGS}, x AS (SELECT 'price' AS variable, 'out_of_range' AS issue, sum(n_out_of_range) AS n, NULL AS novel FROM flags UNION ALL SELECT 'price', 'coerced', sum(n_coerced), NULL FROM flags UNION ALL SELECT 'priority', 'unseen_category', sum(n_unseen_category), (SELECT string_agg(p, ',' ORDER BY p) FROM (SELECT DISTINCT priority AS p FROM flags WHERE n_unseen_category = 1 ORDER BY p LIMIT 20)) FROM flags) SELECT variable, issue, CAST(n AS BIGINT) AS n, CAST(novel AS VARCHAR) AS novel FROM x WHERE n > 0")
+def explain_guard(spark, d):
+    o = ord_(spark, d)
+    g = fitted_guard(o)
+    return g.explained(g.applied(drifted(o)))
 
 
-CARD = f"{ORD}, k AS (SELECT priority AS level, count(*) AS n, sum(y) AS pos FROM ord WHERE train GROUP BY 1), w AS (SELECT level, ln(((pos + 0.5e0) / (sum(pos) OVER () + 0.5e0 * count(*) OVER ())) / ((n - pos + 0.5e0) / (sum(n - pos) OVER () + 0.5e0 * count(*) OVER ()))) AS woe FROM k), pr AS (SELECT ln(avg(y) / (1 - avg(y))) AS prior FROM ord WHERE train), sc AS (SELECT id, y, round(1 / (1 + exp(-(prior + coalesce(woe, 0)))), 9) AS s FROM ord LEFT JOIN w ON priority = level, pr WHERE NOT train)"
+CARD = f"{FLAGS}, k AS (SELECT priority AS level, count(*) AS n, sum(y) AS pos FROM ord WHERE train GROUP BY 1), w AS (SELECT level, ln(((pos + 0.5e0) / (sum(pos) OVER () + 0.5e0 * count(*) OVER ())) / ((n - pos + 0.5e0) / (sum(n - pos) OVER () + 0.5e0 * count(*) OVER ()))) AS woe FROM k), pr AS (SELECT ln(avg(y) / (1 - avg(y))) AS prior FROM ord WHERE train), sc AS (SELECT flags.*, round(1 / (1 + exp(-(prior + coalesce(woe, 0)))), 9) AS s FROM flags LEFT JOIN w ON CASE WHEN n_unseen_category = 1 THEN '__UNSEEN__' ELSE priority END IS NOT DISTINCT FROM level, pr)"
 
 
 def scorecard(spark: SparkSession, d: str) -> DataFrame:
-    """id, y and s: weight-of-evidence score of later orders, learned from the earlier ones."""
+    """id, y, flags and s: weight-of-evidence score of guarded later orders, learned from the earlier ones."""
     o = ord_(spark, d)
     train = o.filter("train")
     prior = train.agg(F.log(F.avg("y") / (1 - F.avg("y"))).alias("prior"))
-    x = encode.looked_up(o.filter("not train"), "priority", encode.woe_table(train, "priority", "y"), "woe", F.lit(0.0)).crossJoin(F.broadcast(prior))
-    return x.select("id", "y", F.round(1 / (1 + F.exp(-(F.col("prior") + F.col("woe")))), 9).alias("s"))
+    x = encode.looked_up(guarded(spark, d), "priority", encode.woe_table(train, "priority", "y"), "woe", F.lit(0.0)).crossJoin(F.broadcast(prior))
+    return x.select("id", "y", *guard.FLAGS, F.round(1 / (1 + F.exp(-(F.col("prior") + F.col("woe")))), 9).alias("s"))
 
 
 @query(f"""WITH {CARD}, b AS (SELECT *, ntile(10) OVER (ORDER BY s DESC, id) AS band FROM sc), g AS (SELECT band, count(*) n, min(s) score_min, max(s) score_max, sum(y) p FROM b GROUP BY band)
@@ -404,27 +442,34 @@ def flagship_scorecard(spark, d):
     return metrics.decile_table(scorecard(spark, d), "id")
 
 
-@query(f"WITH {CARD}, cut AS (SELECT quantile_cont(s, 0.95) AS cut FROM sc) SELECT id, s AS fraud_probability, CAST(row_number() OVER (ORDER BY s DESC, id) AS INT) AS score_rank, CASE WHEN s >= cut THEN 'flag_fraud' ELSE 'pass' END AS decision, CASE WHEN s >= cut THEN 'manual_review' ELSE 'auto_action' END AS action FROM sc, cut")
+FRAME = f"{CARD}, cut AS (SELECT quantile_cont(s, 0.95) AS cut FROM sc), verdict AS (SELECT sum(n_out_of_range + n_unseen_category + n_coerced) / (count(*) * 2) <= 0.05 AS safe FROM sc), frame AS (SELECT id, s AS fraud_probability, CAST(row_number() OVER (ORDER BY s DESC, id) AS INT) AS score_rank, n_out_of_range, n_unseen_category, n_coerced, n_newly_missing, CASE WHEN NOT safe OR n_out_of_range + n_unseen_category + n_coerced > 0 THEN 'guarded' ELSE 'ok' END AS data_quality, CASE WHEN s >= cut THEN 'flag_fraud' ELSE 'pass' END AS decision, CASE WHEN s >= cut OR NOT safe OR n_out_of_range + n_unseen_category + n_coerced > 0 THEN 'manual_review' ELSE 'auto_action' END AS action, cut FROM sc, cut, verdict)"
+
+
+def framed(spark: SparkSession, d: str) -> tuple[DataFrame, float]:
+    s = scorecard(spark, d).withColumnRenamed("s", "fraud_probability")
+    g = fitted_guard(ord_(spark, d))
+    cut = guard.decision_cut(s)
+    return guard.score_frame(s, "id", cut, g.report(s).first()["safe"]), cut
+
+
+@query(f"WITH {FRAME} SELECT * EXCLUDE (cut) FROM frame")
 def score_batch(spark, d):
-    s = scorecard(spark, d)
-    flag = F.col("s") >= F.col("cut")
-    return s.crossJoin(F.broadcast(s.agg(F.percentile("s", 0.95).alias("cut")))).select("id", F.col("s").alias("fraud_probability"), F.row_number().over(Window.orderBy(F.desc("s"), "id")).alias("score_rank"), F.when(flag, "flag_fraud").otherwise("pass").alias("decision"), F.when(flag, "manual_review").otherwise("auto_action").alias("action"))
+    return framed(spark, d)[0]
 
 
-@query(f"WITH {CARD}, cut AS (SELECT quantile_cont(s, 0.95) AS cut FROM sc) SELECT round(max(cut), 6) AS cut, CAST(count(*) FILTER (s >= cut) AS BIGINT) AS n_flagged, round(avg(s), 6) AS mean_score, round(quantile_cont(s, 0.99), 6) AS p99 FROM sc, cut")
+@query(f"WITH {FRAME} SELECT round(max(cut), 6) AS cut, CAST(count(*) FILTER (decision = 'flag_fraud') AS BIGINT) AS n_flagged, round(avg(CAST(decision = 'flag_fraud' AS INT)), 6) AS flag_rate, CAST(count(*) FILTER (action = 'manual_review') AS BIGINT) AS n_manual_review, round(avg(fraud_probability), 6) AS mean_score, round(quantile_cont(fraud_probability, 0.99), 6) AS p99 FROM frame")
 def score_summary(spark, d):
-    s = scorecard(spark, d)
-    return s.crossJoin(F.broadcast(s.agg(F.percentile("s", 0.95).alias("cut")))).agg(r6(F.max("cut")).alias("cut"), F.count(F.when(F.col("s") >= F.col("cut"), 1)).alias("n_flagged"), r6(F.avg("s")).alias("mean_score"), r6(F.percentile("s", 0.99)).alias("p99"))
+    return guard.score_summary(*framed(spark, d))
 
 
 # --- profiles ---------------------------------------------------------------------------
 
-@query(f"WITH {NULLS} SELECT round(1 - count(v) / count(*), 6) AS missing_rate, CAST(count(DISTINCT v) AS BIGINT) AS n_unique, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, round(quantile_cont(v, 0.01), 6) AS p01, round(median(v), 6) AS p50, round(quantile_cont(v, 0.99), 6) AS p99, round(skewness(v), 6) AS skew FROM nulls")
+_PROFILE = " UNION ALL ".join(f"SELECT '{c}' AS variable, round(1 - count({c}) / count(*), 6) AS missing_rate, CAST(count(DISTINCT {c}) AS BIGINT) AS n_unique, round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std, round(quantile_cont({c}, 0.01), 6) AS p01, round(median({c}), 6) AS p50, round(quantile_cont({c}, 0.99), 6) AS p99, round(skewness({c}), 6) AS skew FROM nulls" for c in ("v", "id", "y"))
+
+
+@query(f"WITH {NULLS} {_PROFILE}")
 def profile_numeric(spark, d):
-    n = F.count("v")
-    skew = F.skewness("v") * F.sqrt(n * (n - 1)) / (n - 2)
-    q = lambda p: r6(F.percentile("v", p))
-    return nulls(spark, d).agg(r6(1 - n / F.count("*")).alias("missing_rate"), F.count_distinct("v").alias("n_unique"), r6(F.avg("v")).alias("mean"), r6(F.stddev_samp("v")).alias("std"), q(0.01).alias("p01"), q(0.5).alias("p50"), q(0.99).alias("p99"), r6(skew).alias("skew"))
+    return profile.numeric_profile(nulls(spark, d), ["v", "id", "y"])
 
 
 @query(f"WITH {NULLS} SELECT t AS top, round(count(*) / (SELECT count(t) FROM nulls), 6) AS top_share FROM nulls WHERE t IS NOT NULL GROUP BY t ORDER BY count(*) DESC, t LIMIT 1")
@@ -448,11 +493,25 @@ def target_profile(spark, d):
     return preds(spark, d).agg(F.count("*").alias("n"), F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"), r6(F.avg("y")).alias("prevalence"), r6(safe_ratio(F.sum(1 - F.col("y")), F.sum("y"))).alias("neg_pos_ratio"))
 
 
-@query(f"WITH {PREDS} SELECT slice, CAST(count(*) AS BIGINT) AS n, round(avg(y), 6) AS prevalence, round(avg(s), 6) AS mean_score, round(avg(CAST(s >= (SELECT quantile_cont(s, 0.95) FROM preds) AS INT)), 6) AS flag_rate FROM preds GROUP BY slice HAVING count(*) >= 20")
+SLICED = f"""{PREDS}, cut AS (SELECT quantile_cont(s, 0.95) AS cut FROM preds), long AS (SELECT y, s, 'slice' AS variable, CASE WHEN row_id % 23 = 0 THEN 'nan' ELSE slice END AS level FROM preds UNION ALL SELECT y, s, 'fold', CAST(fold AS VARCHAR) FROM preds),
+lg AS (SELECT variable, level, s, sum(y) tp, sum(1 - y) fp FROM long GROUP BY ALL), lc AS (SELECT variable, level, s, tp, fp, sum(tp) OVER w tps, sum(fp) OVER w fps, sum(tp) OVER (PARTITION BY variable, level) P, sum(fp) OVER (PARTITION BY variable, level) N FROM lg WINDOW w AS (PARTITION BY variable, level ORDER BY s DESC ROWS UNBOUNDED PRECEDING)),
+lm AS (SELECT variable, level, CASE WHEN max(P) > 0 AND max(N) > 0 THEN round(sum(tp / P * tps / (tps + fps)), 6) END AS average_precision, CASE WHEN max(P) > 0 AND max(N) > 0 THEN round(sum((tps - tp / 2.0) * fp) / (max(P) * max(N)), 6) END AS roc_auc FROM lc GROUP BY ALL),
+sl AS (SELECT variable, level, CAST(count(*) AS BIGINT) AS n, round(avg(y), 6) AS prevalence, round(avg(s), 6) AS mean_score, round(avg(CAST(s >= cut AS INT)), 6) AS flag_rate FROM long, cut GROUP BY variable, level HAVING count(*) >= 20)"""
+
+
+def slices(spark: SparkSession, d: str) -> DataFrame:
+    p = preds(spark, d).withColumn("slice", F.when(F.col("row_id") % 23 != 0, F.col("slice")))
+    return profile.slice_report(p, ["slice", "fold"], guard.decision_cut(p, None, 0.05, "s"), 20)
+
+
+@query(f"WITH {SLICED} SELECT * FROM sl JOIN lm USING (variable, level)")
 def slice_report(spark, d):
-    p = preds(spark, d)
-    g = p.crossJoin(F.broadcast(p.agg(F.percentile("s", 0.95).alias("cut")))).groupBy("slice")
-    return g.agg(F.count("*").alias("n"), r6(F.avg("y")).alias("prevalence"), r6(F.avg("s")).alias("mean_score"), r6(F.avg((F.col("s") >= F.col("cut")).cast("int"))).alias("flag_rate")).filter("n >= 20")
+    return slices(spark, d)
+
+
+@query(f"WITH {SLICED} SELECT round(max(r), 3) AS flag_rate_disparity FROM (SELECT max(flag_rate) / greatest(min(flag_rate), 1e-9) AS r FROM sl GROUP BY variable)")
+def flag_rate_disparity(spark, d):
+    return profile.flag_rate_disparity(slices(spark, d))
 
 
 @query("SELECT median(n) AS median_rows FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)")
@@ -659,6 +718,73 @@ def first_non_improving_k(spark, d):
     return deltas(spark).groupBy("model", "k").agg(F.round(F.avg("delta"), 9).alias("m")).filter("m <= 0").groupBy("model").agg(F.min("k").alias("first_k"))
 
 
+# --- further reports -----------------------------------------------------------------------
+
+@query(f"WITH {PREDS}, {CURVE}, e AS (SELECT *, lag(tp) OVER o ltp, lead(tp) OVER o ntp, lead(fp) OVER o nfp FROM c WINDOW o AS (ORDER BY s DESC)), k AS (SELECT fps / N AS f, tps / P AS t FROM e WHERE ltp IS NULL OR ntp IS NULL OR tp <> ntp OR fp <> nfp UNION ALL SELECT 0.0, 0.0), bu AS (SELECT unnest([0.01e0, 0.05e0, 0.1e0]) AS b), ra AS (SELECT b, (SELECT t FROM k WHERE f <= b ORDER BY f DESC, t DESC LIMIT 1) AS t, (SELECT f FROM k WHERE f <= b ORDER BY f DESC, t DESC LIMIT 1) AS f, (SELECT f FROM k WHERE f > b ORDER BY f, t LIMIT 1) AS hf, (SELECT t FROM k WHERE f > b ORDER BY f, t LIMIT 1) AS ht FROM bu), li AS (SELECT y, row_number() OVER (ORDER BY s DESC, row_id) AS r, count(*) OVER () AS n FROM preds) SELECT (SELECT round(sum(tp / P * tps / (tps + fps)), 6) FROM c) AS average_precision, (SELECT round(t + (b - f) / (hf - f) * (ht - t), 6) FROM ra WHERE b = 0.01e0) AS recall_at_001, (SELECT round(t + (b - f) / (hf - f) * (ht - t), 6) FROM ra WHERE b = 0.05e0) AS recall_at_005, (SELECT round(t + (b - f) / (hf - f) * (ht - t), 6) FROM ra WHERE b = 0.1e0) AS recall_at_010, round(avg(y) FILTER (r <= greatest(ceil(0.05 * n), 1)) / avg(y), 6) AS lift_at_005, round(avg(y) FILTER (r <= greatest(ceil(0.1 * n), 1)) / avg(y), 6) AS lift_at_010, round(avg(y), 6) AS prevalence FROM li")
+def metrics_multi_budget(spark, d):
+    wanted = metrics.columns_of(["recall_at_fpr", "lift_at_top_pct"], {"recall_at_fpr": [0.01, 0.05, 0.1], "lift_at_top_pct": [0.05, 0.1]}, "average_precision")
+    one = metrics.evaluated(preds(spark, d), wanted, "row_id")
+    names = {"recall_at_fpr@0.01": "recall_at_001", "recall_at_fpr@0.05": "recall_at_005", "recall_at_fpr@0.1": "recall_at_010", "lift_at_top_pct@0.05": "lift_at_005", "lift_at_top_pct@0.1": "lift_at_010"}
+    return one.withColumnsRenamed(names).select("average_precision", *names.values(), "prevalence")
+
+
+_DRIFTING = {"value": "value", "user": "CAST(user_id AS DOUBLE)", "hour": "CAST(hour(ts) AS DOUBLE)"}
+_EACH = " UNION ALL ".join(f"SELECT '{k}' AS variable, {x} AS x, ts < TIMESTAMP '2024-01-16' AS r FROM events" for k, x in _DRIFTING.items())
+
+
+@query(f"WITH a AS ({_EACH}), e AS (SELECT variable, list_sort(list_distinct(quantile_cont(x, [0.0,0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9,1.0]))) AS e FROM a WHERE r GROUP BY variable), b AS (SELECT variable, len(list_filter(e[2:len(e)-1], lambda z: z <= x)) AS b, sum(CAST(r AS INT)) AS r, sum(CAST(NOT r AS INT)) AS c FROM a JOIN e USING (variable) GROUP BY ALL), q AS (SELECT variable, greatest(r / sum(r) OVER v, 1e-6) AS p, greatest(c / sum(c) OVER v, 1e-6) AS q FROM b WINDOW v AS (PARTITION BY variable)), f AS (SELECT variable, round(sum((q - p) * ln(q / p)), 6) AS psi FROM q GROUP BY variable) SELECT variable, psi, CASE WHEN psi < 0.1 THEN 'stable' WHEN psi < 0.25 THEN 'watch' ELSE 'investigate' END AS band FROM f")
+def psi_per_feature(spark, d):
+    ts = F.col("ts").cast("timestamp")
+    x = t(spark, d, "events").select(F.col("value"), F.col("user_id").cast("double").alias("user"), F.hour(ts).cast("double").alias("hour"), ts.alias("ts"))
+    return metrics.psi_per_feature(x.filter("ts < '2024-01-16'"), x.filter("ts >= '2024-01-16'"), list(_DRIFTING))
+
+
+@query(f"WITH {NULLS} SELECT CAST(count(*) AS BIGINT) AS n_rows, 4 AS n_columns, round(1 - (count(id) + count(v) + count(y)+ count(*)) / (4 * count(*)), 6) AS missing_rate, 'one' AS constant FROM nulls")
+def matrix_profile(spark, d):
+    return profile.matrix_profile(nulls(spark, d).select("id", "v", "y", F.lit(1).alias("one")))
+
+
+@query(None)
+def data_fingerprint(spark, d):
+    return profile.fingerprint(t(spark, d, "orders"))
+
+
+@query(f"WITH {NULLS} SELECT CASE WHEN fold < 3 THEN 'v' ELSE 't' END AS source, round(sum(m), 6) AS value FROM (SELECT fold, avg(v) AS m FROM nulls GROUP BY fold) GROUP BY 1")
+def aggregate_to_source(spark, d):
+    shares = nulls(spark, d).groupBy("fold").agg(F.avg("v").alias("value")).select(F.when(F.col("fold") < 3, "v").otherwise("t").alias("source"), "value")
+    return profile.aggregate_to_source(shares)
+
+
+@query(f"WITH {PREDS} SELECT row_id, s, 'cv' AS stage FROM preds WHERE fold < 4 UNION ALL SELECT row_id, s, 'holdout' FROM preds WHERE fold = 4")
+def union_stages(spark, d):
+    p = preds(spark, d)
+    chunks = [(p.filter("fold < 4"), "cv"), (p.filter("fold = 4"), "holdout")]
+    return store.union_stages([x.select("row_id", "s", F.lit(stage).alias("stage")) for x, stage in chunks])
+
+
+PARTS = f"{ORD}, parts AS (SELECT *, CASE WHEN row_number() OVER (ORDER BY d, id) <= round_even(count(*) OVER () * 0.75e0, 0) THEN 'train' ELSE 'holdout' END AS part FROM ord)"
+
+
+@query(f"WITH {PARTS} SELECT part, CAST(count(*) AS BIGINT) AS n, CAST(sum(y) AS BIGINT) AS n_positive, round(avg(y), 6) AS prevalence, strftime(min(d), '%Y-%m-%d') AS first_day, strftime(max(d), '%Y-%m-%d') AS last_day FROM parts GROUP BY part")
+def split_report(spark, d):
+    return splits.split_report(splits.holdout(ord_(spark, d), "id", "time", time="d"), time="d")
+
+
+@query(f"WITH {PARTS} SELECT CAST(count(*) AS BIGINT) AS n_groups, CAST(count(*) FILTER (s > 1) AS BIGINT) AS n_leaked FROM (SELECT g, count(DISTINCT part) AS s FROM parts GROUP BY g)")
+def groups_leaked(spark, d):
+    return splits.groups_leaked(splits.holdout(ord_(spark, d), "id", "time", time="d"), "g")
+
+
+@query(f"WITH {ORD}, r AS (SELECT g, row_number() OVER (ORDER BY pos DESC, n DESC, g) - 1 AS r FROM (SELECT g, sum(y) AS pos, count(*) AS n FROM ord GROUP BY g)) SELECT g, CAST(CASE WHEN (r // 5) % 2 = 0 THEN r % 5 ELSE 4 - r % 5 END AS INT) AS fold FROM r")
+def cv_group_folds(spark, d):
+    return splits.group_folds(ord_(spark, d), "g")
+
+
+@query(f"WITH {PREDS}, e AS (SELECT row_id, y, r AS repeat, CASE WHEN r = 0 THEN CAST(row_id AS VARCHAR) ELSE r || ':' || row_id END AS i FROM preds, range(0, 2) x(r)) SELECT row_id, CAST((row_number() OVER (PARTITION BY y, repeat ORDER BY md5(i), i) - 1) % 3 AS INT) AS fold, CAST(repeat AS INT) AS repeat FROM e")
+def fold_assignments(spark, d):
+    return splits.stratified_folds(preds(spark, d), "row_id", folds=3, repeats=2)
+
+
 # --- fits: rows only, SQL has none -------------------------------------------------------
 
 PANEL = ["value", "log_value", "hour", "user"]
