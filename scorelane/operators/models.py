@@ -5,7 +5,8 @@ Frames have an id, y (0/1) and numeric columns without nulls; variables are name
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -28,29 +29,50 @@ def assembled(df: DataFrame, variables: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=variables, outputCol="features").transform(df)
 
 
-def logistic(weight: float, strength: float = 1.0) -> LogisticRegression:
+def logistic(weight: float, strength: float = 1.0, max_iter: int = 200) -> LogisticRegression:
     """Squared-norm logistic regression; strength multiplies the data's part of a sum over rows of `weight` in all."""
-    return LogisticRegression(labelCol="y", weightCol="w", regParam=1 / (strength * weight), elasticNetParam=0.0, standardization=False, maxIter=200, tol=1e-9)
+    return LogisticRegression(labelCol="y", weightCol="w", regParam=1 / (strength * weight), elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=1e-9)
 
 
-def forest(weight: float, seed: int = 42) -> RandomForestClassifier:
-    return RandomForestClassifier(labelCol="y", weightCol="w", numTrees=20, maxDepth=5, seed=seed)
+def forest(weight: float, trees: int = 20, depth: int = 5, seed: int = 42) -> RandomForestClassifier:
+    return RandomForestClassifier(labelCol="y", weightCol="w", numTrees=trees, maxDepth=depth, seed=seed)
 
 
-def boosted(weight: float, seed: int = 42) -> GBTClassifier:
-    return GBTClassifier(labelCol="y", weightCol="w", maxIter=10, maxDepth=3, seed=seed)
+def boosted(weight: float, trees: int = 10, depth: int = 3, rate: float = 0.1, seed: int = 42) -> GBTClassifier:
+    return GBTClassifier(labelCol="y", weightCol="w", maxIter=trees, maxDepth=depth, stepSize=rate, seed=seed)
 
 
 FAMILIES: dict[str, Callable] = {"logistic": logistic, "forest": forest, "gbt": boosted}
+#: Names that estimators and their parameters go by elsewhere, and the families and parameters here.
+KNOWN = {"LogisticRegression": "logistic", "RandomForestClassifier": "forest", "ExtraTreesClassifier": "forest", "GradientBoostingClassifier": "gbt", "HistGradientBoostingClassifier": "gbt", "XGBClassifier": "gbt", "LGBMClassifier": "gbt"}
+PARAMETERS = {"C": "strength", "n_estimators": "trees", "max_iter": {"logistic": "max_iter", "gbt": "trees"}, "max_depth": "depth", "learning_rate": "rate", "random_state": "seed", "strength": "strength", "trees": "trees", "depth": "depth", "rate": "rate", "seed": "seed"}
 
 
-def fit(train: DataFrame, variables: list[str], family: str = "logistic") -> Model:
-    """The family's model with classes weighted equally; both classes must occur."""
+def family_of(estimator: str) -> str | None:
+    """The family of a dotted name or of a family's own name; None for others."""
+    last = estimator.rpartition(".")[2]
+    return last if last in FAMILIES else KNOWN.get(last)
+
+
+def arguments(family: str, params: Mapping, seed: int = 42) -> dict:
+    """params under the names of the family; those it does not know are left out; the seed is given where it takes one."""
+    takes = FAMILIES[family].__code__.co_varnames[1 : FAMILIES[family].__code__.co_argcount]
+    out = {}
+    for k, v in params.items():
+        name = PARAMETERS.get(k)
+        name = name.get(family) if isinstance(name, dict) else name
+        if name in takes and v is not None:
+            out[name] = v
+    return ({"seed": seed} if "seed" in takes else {}) | out
+
+
+def fit(train: DataFrame, variables: list[str], family: str = "logistic", params: Mapping | None = None, *, balanced: bool = True) -> Model:
+    """The family's model, with classes weighted equally unless told otherwise; both classes must occur."""
     seen = {r["y"] for r in train.select("y").distinct().collect()}
     if seen != {0, 1}:
         raise ValueError(f"both classes are needed to fit, found {sorted(seen)}")
-    weighted = class_weighted(train)
-    return FAMILIES[family](weighted.agg(F.sum("w")).first()[0]).fit(assembled(weighted, variables))
+    weighted = class_weighted(train) if balanced else train.withColumn("w", F.lit(1.0))
+    return FAMILIES[family](weighted.agg(F.sum("w")).first()[0], **(params or {})).fit(assembled(weighted, variables))
 
 
 def scored(model: Model, df: DataFrame, variables: list[str], *keep: str) -> DataFrame:
@@ -73,44 +95,49 @@ def importance(model: Model, train: DataFrame, variables: list[str]) -> dict[str
     return dict(sorted(((v, x / total if total else 0.0) for v, x in raw.items()), key=lambda p: -p[1]))
 
 
-def permuted(df: DataFrame, id_col: str, variable: str, ranked: Callable[..., DataFrame]) -> DataFrame:
+def permuted(df: DataFrame, id_col: str, variable: str, ranked: Callable[..., DataFrame], turn: int = 0) -> DataFrame:
     """df with the variable's values dealt to other rows, by the order of hashed ids; ranked numbers rows so."""
-    shuffled = ranked(df.select(F.concat(F.lit("p"), F.col(id_col).cast("string")).alias("_other"), F.col(variable).alias("_value")), "_other").select("rank", "_value")
+    shuffled = ranked(df.select(F.concat(F.lit(f"p{turn}"), F.col(id_col).cast("string")).alias("_other"), F.col(variable).alias("_value")), "_other").select("rank", "_value")
     return ranked(df, id_col).join(shuffled, "rank").withColumn(variable, F.col("_value")).select(*df.columns)
 
 
-def permutation_importance(model: Model, df: DataFrame, variables: list[str], id_col: str, ranked: Callable[..., DataFrame]) -> dict[str, float]:
-    """How much average precision falls when a variable's values are shuffled, the largest first."""
+def permutation_importance(model: Model, df: DataFrame, variables: list[str], id_col: str, ranked: Callable[..., DataFrame], repeats: int = 1) -> dict[str, float]:
+    """How much average precision falls when a variable's values are shuffled, on average over repeats; the largest first."""
     base = average_precision(model, df, variables) or 0.0
-    falls = {v: base - (average_precision(model, permuted(df, id_col, v, ranked), variables) or 0.0) for v in variables}
-    return dict(sorted(falls.items(), key=lambda p: -p[1]))
+    fall = lambda v: sum(base - (average_precision(model, permuted(df, id_col, v, ranked, turn), variables) or 0.0) for turn in range(repeats)) / repeats
+    return dict(sorted(((v, fall(v)) for v in variables), key=lambda p: -p[1]))
 
 
-def eliminated(train: DataFrame, variables: list[str], family: str = "logistic") -> list[str]:
-    """Variables from the last one left to the first that went: each round drops the least important."""
+def eliminated(train: DataFrame, variables: list[str], family: str = "logistic", step: int | float = 1) -> list[str]:
+    """Variables from the last one left to the first that went: each round drops the least important, `step` of them or that share."""
     left, gone = list(variables), []
     while len(left) > 1:
-        least = list(importance(fit(train, left, family), train, left))[-1]
-        left.remove(least)
-        gone.append(least)
+        n = max(1, int(step * len(left)) if isinstance(step, float) else step)
+        least = list(importance(fit(train, left, family), train, left))[::-1][: min(n, len(left) - 1)]
+        left = [v for v in left if v not in least]
+        gone += least
     return left + gone[::-1]
 
 
-def nested_grid(df: DataFrame, variables: list[str], families: tuple[str, ...], folds: int, most: int) -> list[tuple[str, int, int, str, float | None]]:
+def nested_grid(df: DataFrame, variables: list[str], families: tuple[str, ...], folds: int, most: int, at_once: int = 4) -> list[tuple[str, int, int, str, float | None]]:
     """(family, k, fold, variables, average precision) where each fold orders its variables by its own training rows.
 
-    A fold whose fit fails for want of a class scores null and the grid goes on.
+    Cells of `at_once` folds and families run at a time. Where a fit fails the cells score null and the grid goes on.
     """
-    cells = []
-    for fold in range(folds):
+    def cells(fold: int, family: str) -> list[tuple]:
         train, held = df.filter(F.col("fold") != fold), df.filter(F.col("fold") == fold)
-        for family in families:
+        try:
+            order = list(importance(fit(train, variables, family), train, variables))
+        except Exception:  # noqa: BLE001  a null cell says so
+            return [(family, k, fold, "", None) for k in range(1, most + 1)]
+        out = []
+        for k in range(1, most + 1):
             try:
-                order = list(importance(fit(train, variables, family), train, variables))
-            except ValueError:
-                cells += [(family, k, fold, "", None) for k in range(1, most + 1)]
-                continue
-            for k in range(1, most + 1):
-                chosen = order[:k]
-                cells.append((family, k, fold, ",".join(chosen), average_precision(fit(train, chosen, family), held, chosen)))
-    return cells
+                out.append((family, k, fold, ",".join(order[:k]), average_precision(fit(train, order[:k], family), held, order[:k])))
+            except Exception:  # noqa: BLE001
+                out.append((family, k, fold, ",".join(order[:k]), None))
+        return out
+
+    with ThreadPoolExecutor(at_once) as pool:
+        jobs = [pool.submit(cells, fold, family) for fold in range(folds) for family in families]
+        return [c for j in jobs for c in j.result()]

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scorelane import config, research
 from scorelane.functions import epoch_days, lenient_number, safe_ratio
-from scorelane.operators import encode, guard, metrics, models, profile, roles, splits, store
+from scorelane.operators import encode, guard, metrics, models, profile, roles, selection, splits, store
 from scorelane.operators.ranks import hash_ranked
 from scorelane.sources import read_table, scratch_dir, write_table
 
@@ -548,66 +550,65 @@ def fold_prevalence(spark, d):
 
 # --- selection --------------------------------------------------------------------------
 
-GRID = "grid AS (SELECT m.m AS model, k.k AS k, f.f AS fold, 0.5e0 + ((m.m * 31 + k.k * 17 + f.f * 7) % 23) / 100.0e0 + k.k / 50.0e0 AS score FROM range(0, 3) m(m), range(1, 6) k(k), range(0, 5) f(f))"
+#: Stored fold scores of three models and five sizes: mean errors over growing shares of the events.
+GRID = f"{PREDS}, grid AS (SELECT m.m AS model, k.k AS k, CAST(fold AS BIGINT) AS fold, round(1 - avg(abs(s - y)), 9) AS score FROM preds, range(0, 3) m(m), range(1, 6) k(k) WHERE (row_id // 5 + m.m) % 6 < k.k GROUP BY ALL)"
 
 
-def grid(spark: SparkSession) -> DataFrame:
-    g = spark.range(75).select((F.col("id") % 3).alias("model"), (F.floor(F.col("id") / 3) % 5 + 1).alias("k"), F.floor(F.col("id") / 15).alias("fold"))
-    return g.withColumn("score", F.lit(0.5) + ((F.col("model") * 31 + F.col("k") * 17 + F.col("fold") * 7) % 23) / 100.0 + F.col("k") / 50.0)
+def grid(spark: SparkSession, d: str) -> DataFrame:
+    cells = F.explode(F.array(*[F.struct(F.lit(m).cast("long").alias("model"), F.lit(k).cast("long").alias("k")) for m in range(3) for k in range(1, 6)])).alias("c")
+    rows = preds(spark, d).select("row_id", "fold", "y", "s", cells).filter((F.floor(F.col("row_id") / 5) + F.col("c.model")) % 6 < F.col("c.k"))
+    return rows.groupBy("c.model", "c.k", F.col("fold").cast("long").alias("fold")).agg(F.round(1 - F.avg(F.abs(F.col("s") - F.col("y"))), 9).alias("score"))
 
 
 BOARD = f"{GRID}, board AS (SELECT model, k, avg(score) AS mean, stddev_samp(score) AS sd, stddev_samp(score) * sqrt(1 / count(*) + 0.2e0 / 0.8e0) AS se FROM grid GROUP BY ALL)"
 
 
-def board(spark: SparkSession) -> DataFrame:
-    """Mean, deviation and corrected standard error of each cell over its folds."""
-    return grid(spark).groupBy("model", "k").agg(F.avg("score").alias("mean"), F.stddev_samp("score").alias("sd"), (F.stddev_samp("score") * F.sqrt(1 / F.count("*") + 0.2 / 0.8)).alias("se"))
+def board(spark: SparkSession, d: str) -> DataFrame:
+    return selection.board(grid(spark, d))
 
 
 @query(f"WITH {BOARD} SELECT model, k, round(mean, 6) AS mean, round(sd, 6) AS sd, round(se, 6) AS se FROM board")
 def leaderboard(spark, d):
-    return board(spark).select("model", "k", *[r6(F.col(c)).alias(c) for c in ("mean", "sd", "se")])
+    return board(spark, d).select("model", "k", *[r6(F.col(c)).alias(c) for c in ("mean", "sd", "se")])
 
 
 @query(f"WITH {BOARD} SELECT model, k, CAST(row_number() OVER (ORDER BY round(mean, 9) DESC, model, k) AS INT) AS rank FROM board")
 def leaderboard_rank(spark, d):
-    return board(spark).select("model", "k", F.row_number().over(Window.orderBy(F.desc(F.round("mean", 9)), "model", "k")).alias("rank"))
+    return selection.ranked_board(board(spark, d)).select("model", "k", "rank")
 
 
 @query(f"WITH {BOARD}, r AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY round(mean, 9) DESC, k) AS r FROM board) SELECT model, k, round(mean, 6) AS mean FROM r WHERE r = 1")
 def best_per_model(spark, d):
-    return board(spark).groupBy("model").agg(F.max_by(F.struct("k", "mean"), F.struct(F.round("mean", 9), -F.col("k"))).alias("b")).select("model", "b.k", r6(F.col("b.mean")).alias("mean"))
+    return selection.best_per_model(board(spark, d)).select("model", "k", r6(F.col("mean")).alias("mean"))
 
 
 @query(f"WITH {BOARD}, r AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY round(mean, 9) DESC, k) AS r FROM board) SELECT model, k FROM r WHERE r = 1 ORDER BY round(mean, 9) DESC, model LIMIT 2")
 def top_n_distinct(spark, d):
-    r = F.row_number().over(Window.partitionBy("model").orderBy(F.desc(F.round("mean", 9)), "k"))
-    return board(spark).withColumn("r", r).filter("r = 1").orderBy(F.desc(F.round("mean", 9)), "model").limit(2).select("model", "k")
+    return selection.top(board(spark, d), 2, distinct=True).select("model", "k")
 
 
-@query(f"WITH {BOARD}, b AS (SELECT round(mean, 9) - se AS bar FROM board ORDER BY round(mean, 9) DESC, model, k LIMIT 1) SELECT model, k, round(mean, 6) AS mean FROM board, b WHERE mean >= bar ORDER BY k, round(mean, 9) DESC, model LIMIT 1")
+@query(f"WITH {BOARD}, b AS (SELECT round(mean, 9) AS top, round(mean, 9) - se AS bar FROM board ORDER BY round(mean, 9) DESC, model, k LIMIT 1) SELECT model, k, round(mean, 6) AS mean FROM board, b WHERE mean >= bar OR round(mean, 9) = top ORDER BY k, round(mean, 9) DESC, model LIMIT 1")
 def one_se_selection(spark, d):
-    b = board(spark)
-    bar = b.agg(F.max_by(F.round("mean", 9) - F.col("se"), F.struct(F.round("mean", 9), -F.col("model"), -F.col("k"))).alias("bar"))
-    return b.crossJoin(F.broadcast(bar)).filter("mean >= bar").orderBy("k", F.desc(F.round("mean", 9)), "model").limit(1).select("model", "k", r6(F.col("mean")).alias("mean"))
+    return selection.one_se(board(spark, d)).select("model", "k", r6(F.col("mean")).alias("mean"))
 
 
-GAINS = f"{GRID}, dl AS (SELECT model, k, fold, score - lag(score) OVER (PARTITION BY model, fold ORDER BY k) AS delta FROM grid)"
+GAINS = f"{GRID}, dl AS (SELECT model, k, fold, score - lag(score) OVER w AS delta, (score - lag(score) OVER w) / abs(lag(score) OVER w) AS rel FROM grid WINDOW w AS (PARTITION BY model, fold ORDER BY k))"
 
 
-def deltas(spark: SparkSession) -> DataFrame:
-    return grid(spark).withColumn("delta", F.col("score") - F.lag("score").over(Window.partitionBy("model", "fold").orderBy("k"))).filter("delta is not null")
-
-
-@query(f"WITH {GAINS} SELECT model, k AS to_k, round(avg(delta), 6) AS mean_delta, round(stddev_samp(delta), 6) AS sd_delta, CAST(count(*) FILTER (round(delta, 9) > 0) AS BIGINT) AS folds_improved FROM dl WHERE delta IS NOT NULL GROUP BY ALL")
+@query(f"WITH {GAINS} SELECT model, k AS to_k, round(avg(delta), 6) AS mean_delta, round(100 * avg(rel), 4) AS relative_pct, round(stddev_samp(delta), 6) AS sd_delta, CAST(count(*) FILTER (round(delta, 9) > 0) AS BIGINT) AS folds_improved FROM dl WHERE delta IS NOT NULL GROUP BY ALL")
 def marginal_gains(spark, d):
-    return deltas(spark).groupBy("model", F.col("k").alias("to_k")).agg(r6(F.avg("delta")).alias("mean_delta"), r6(F.stddev_samp("delta")).alias("sd_delta"), F.count(F.when(F.round("delta", 9) > 0, 1)).alias("folds_improved"))
+    g = selection.gains(selection.deltas(grid(spark, d)))
+    return g.select("model", "to_k", r6(F.col("mean_delta")).alias("mean_delta"), F.round("relative_pct", 4).alias("relative_pct"), r6(F.col("sd_delta")).alias("sd_delta"), "folds_improved")
 
 
-@query(f"WITH {GAINS} SELECT model, k AS to_k, round(avg(delta) / (stddev_samp(delta) * sqrt(1 / count(*) + 0.2e0 / 0.8e0)), 6) AS t FROM dl WHERE delta IS NOT NULL GROUP BY ALL HAVING round(stddev_samp(delta), 9) > 0")
+@query(f"WITH {GAINS} SELECT model, k AS to_k, round(avg(delta) / (stddev_samp(delta) * sqrt(1 / count(*) + 0.2e0 / 0.8e0)), 4) AS t FROM dl WHERE delta IS NOT NULL GROUP BY ALL HAVING round(stddev_samp(delta), 9) > 0")
 def paired_t_statistic(spark, d):
-    se = F.stddev_samp("delta") * F.sqrt(1 / F.count("*") + 0.2 / 0.8)
-    return deltas(spark).groupBy("model", F.col("k").alias("to_k")).agg(F.avg("delta").alias("m"), F.stddev_samp("delta").alias("sd"), se.alias("se")).filter("round(sd, 9) > 0").select("model", "to_k", r6(F.col("m") / F.col("se")).alias("t"))
+    return selection.gains(selection.deltas(grid(spark, d))).filter("t is not null").select("model", "to_k", F.round("t", 4).alias("t"))
+
+
+@query(None)
+def marginal_gain_tests(spark, d):
+    return selection.tested(selection.deltas(grid(spark, d)))
 
 
 @query(f"WITH {PREDS} SELECT round(count(*) / (2.0e0 * sum(y)), 6) AS weight_pos, round(count(*) / (2.0e0 * sum(1 - y)), 6) AS weight_neg, round(sum(1 - y) / sum(y), 6) AS scale_pos_weight FROM preds")
@@ -689,33 +690,29 @@ def ordering_iv(spark, d):
     return iv.select("variable", "iv", F.row_number().over(Window.orderBy(F.desc("iv"), "variable")).alias("rank"))
 
 
-RANKS = "ranks AS (SELECT m.m AS model, f.f AS fold, v.v AS variable, row_number() OVER (PARTITION BY m.m, f.f ORDER BY (v.v * 37 + f.f * 11 * (v.v % 3) + m.m * 5) % 29, v.v) AS r FROM range(0, 2) m(m), range(0, 5) f(f), range(0, 8) v(v))"
+#: Orders of eight parts of the day by fold and for odd and even events.
+RANKS = "ranks AS (SELECT model, fold, variable, row_number() OVER (PARTITION BY model, fold ORDER BY m DESC, variable) AS r FROM (SELECT event_id % 2 AS model, event_id % 5 AS fold, hour(ts) // 3 AS variable, round(avg(value), 9) AS m FROM events GROUP BY ALL))"
 
 
-def ranks(spark: SparkSession) -> DataFrame:
-    """Rank of each of eight variables by model and fold, by arithmetic."""
-    g = spark.range(80).select((F.col("id") % 2).alias("model"), (F.floor(F.col("id") / 2) % 5).alias("fold"), F.floor(F.col("id") / 10).alias("variable"))
-    key = (F.col("variable") * 37 + F.col("fold") * 11 * (F.col("variable") % 3) + F.col("model") * 5) % 29
-    return g.withColumn("r", F.row_number().over(Window.partitionBy("model", "fold").orderBy(key, "variable")))
+def ranks(spark: SparkSession, d: str) -> DataFrame:
+    e = t(spark, d, "events").select((F.col("event_id") % 2).alias("model"), (F.col("event_id") % 5).alias("fold"), F.floor(F.hour(F.col("ts").cast("timestamp")) / 3).alias("variable"), "value")
+    m = e.groupBy("model", "fold", "variable").agg(F.round(F.avg("value"), 9).alias("m"))
+    return m.select("model", "fold", "variable", F.row_number().over(Window.partitionBy("model", "fold").orderBy(F.desc("m"), "variable")).alias("r"))
 
 
-@query(f"WITH {RANKS} SELECT model, variable, round(count(*) FILTER (r <= 3) / count(*), 6) AS share FROM ranks GROUP BY ALL HAVING count(*) FILTER (r <= 3) > 0")
+@query(f"WITH {RANKS}, n AS (SELECT model, count(DISTINCT fold) AS n FROM ranks GROUP BY model) SELECT model, variable, round(count(*) FILTER (r <= 3) / max(n), 6) AS share FROM ranks JOIN n USING (model) GROUP BY model, variable HAVING count(*) FILTER (r <= 3) > 0")
 def selection_stability(spark, d):
-    return ranks(spark).groupBy("model", "variable").agg(r6(F.count(F.when(F.col("r") <= 3, 1)) / F.count("*")).alias("share")).filter("share > 0")
+    return selection.stability(ranks(spark, d), 3)
 
 
-@query(f"WITH {RANKS}, p AS (SELECT a.model, a.fold AS f1, b.fold AS f2, corr(a.r, b.r) AS rho, CAST(bool_or(a.r = 1 AND b.r = 1) AS INT) AS top1, count(*) FILTER (a.r <= 5 AND b.r <= 5) AS both5 FROM ranks a JOIN ranks b ON a.model = b.model AND a.variable = b.variable AND a.fold < b.fold GROUP BY ALL) SELECT model, round(avg(rho), 6) AS spearman, round(avg(top1), 6) AS top1, round(avg(both5 / (10e0 - both5)), 6) AS top5_jaccard FROM p GROUP BY model")
+@query(f"WITH {RANKS}, p AS (SELECT a.model, a.fold AS f1, b.fold AS f2, corr(a.r, b.r) AS rho, CAST(bool_or(a.r = 1 AND b.r = 1) AS INT) AS top1, count(*) FILTER (a.r <= 5 AND b.r <= 5) / count(*) FILTER (a.r <= 5 OR b.r <= 5) AS j FROM ranks a JOIN ranks b ON a.model = b.model AND a.variable = b.variable AND a.fold < b.fold GROUP BY ALL) SELECT model, round(avg(rho), 6) AS spearman, round(avg(top1), 6) AS top1, round(avg(j), 6) AS top5_jaccard FROM p GROUP BY model")
 def ordering_agreement(spark, d):
-    a = ranks(spark)
-    b = a.select("model", "variable", F.col("fold").alias("fold2"), F.col("r").alias("r2"))
-    both5 = F.count(F.when((F.col("r") <= 5) & (F.col("r2") <= 5), 1))
-    p = a.join(b, ["model", "variable"]).filter("fold < fold2").groupBy("model", "fold", "fold2").agg(F.corr("r", "r2").alias("rho"), F.max(((F.col("r") == 1) & (F.col("r2") == 1)).cast("int")).alias("top1"), both5.alias("both5"))
-    return p.groupBy("model").agg(r6(F.avg("rho")).alias("spearman"), r6(F.avg("top1")).alias("top1"), r6(F.avg(F.col("both5") / (10.0 - F.col("both5")))).alias("top5_jaccard"))
+    return selection.agreement(ranks(spark, d))
 
 
 @query(f"WITH {GAINS}, g AS (SELECT model, k, round(avg(delta), 9) AS m FROM dl WHERE delta IS NOT NULL GROUP BY ALL) SELECT model, min(k) AS first_k FROM g WHERE m <= 0 GROUP BY model")
 def first_non_improving_k(spark, d):
-    return deltas(spark).groupBy("model", "k").agg(F.round(F.avg("delta"), 9).alias("m")).filter("m <= 0").groupBy("model").agg(F.min("k").alias("first_k"))
+    return selection.first_non_improving(selection.deltas(grid(spark, d)))
 
 
 # --- further reports -----------------------------------------------------------------------
@@ -841,5 +838,32 @@ def ordering_rfe(spark, d):
 
 @query(None)
 def cv_grid(spark, d):
-    cells = models.nested_grid(panel(spark, d), PANEL, ("logistic",), 3, 2)
-    return spark.createDataFrame(cells, "model string, k int, fold int, variables string, average_precision double")
+    """The nested grid over the three families and one to four variables, its board and its choice."""
+    cells = models.nested_grid(panel(spark, d).cache(), PANEL, tuple(models.FAMILIES), 3, 4)
+    scores = spark.createDataFrame(cells, "model string, k int, fold int, variables string, score double")
+    cells = selection.ranked_board(selection.board(scores, 3))
+    best = selection.one_se(cells).select("model", "k", F.lit(True).alias("chosen"))
+    return cells.join(best, ["model", "k"], "left").select("model", "k", r6(F.col("mean")).alias("mean"), r6(F.col("se")).alias("se"), "rank", F.coalesce("chosen", F.lit(False)).alias("chosen"))
+
+
+def _settings(spark: SparkSession, name: str, **more: object) -> config.Config:
+    """A short run over the panel, with its files in the scratch folder."""
+    where = scratch_dir(spark).removeprefix("file://") if scratch_dir(spark).startswith("file:") else "/tmp"
+    tree = {"run": {"name": name, "output_dir": where, "save_fitted_model": False}, "data": {"target": "label", "id_column": "id"}, "columns": {"numeric": PANEL, "auto_infer": False}, "split": {"cv": {"n_splits": 2}}, "selection": {"k_min": 1, "k_max": 1}, "metrics": {"secondary": ["brier"], "compute_train_scores": False}, "models": {"logistic": {"estimator": "LogisticRegression", "params": {"max_iter": 10}, "requires_scaling": True, "imbalance": "balanced"}}}
+    return config.Config(tree).with_overrides(more)
+
+
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    return panel(spark, d).drop("fold").withColumnRenamed("y", "label")
+
+
+@query(None)
+def tune_grid(spark, d):
+    run = research.Run(spark, _settings(spark, "tuned", **{"tuning.enabled": True, "tuning.strategy": "grid", "tuning.inner_splits": 3, "tuning.param_spaces": {"logistic": {"C": [0.01, 1.0]}}}), _labelled(spark, d)).all()
+    found = run.report.get("tune")
+    return spark.createDataFrame([(found["tuned"], json.dumps(found["params"]), found["mean"], found["taken"])], "model string, params string, mean double, taken boolean")
+
+
+@query(None)
+def sweep_comparison(spark, d):
+    return research.sweep(spark, {"one": _settings(spark, "one"), "two": _settings(spark, "two", **{"selection.k_max": 2})}, _labelled(spark, d))
