@@ -8,7 +8,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from scorelane import config, research
 from scorelane.functions import epoch_days, lenient_number, safe_ratio
 from scorelane.operators import encode, guard, metrics, models, profile, roles, selection, splits, store
 from scorelane.operators.ranks import hash_ranked
@@ -846,24 +845,8 @@ def cv_grid(spark, d):
     return cells.join(best, ["model", "k"], "left").select("model", "k", r6(F.col("mean")).alias("mean"), r6(F.col("se")).alias("se"), "rank", F.coalesce("chosen", F.lit(False)).alias("chosen"))
 
 
-def _settings(spark: SparkSession, name: str, **more: object) -> config.Config:
-    """A short run over the panel, with its files in the scratch folder."""
-    where = scratch_dir(spark).removeprefix("file://") if scratch_dir(spark).startswith("file:") else "/tmp"
-    tree = {"run": {"name": name, "output_dir": where, "save_fitted_model": False}, "data": {"target": "label", "id_column": "id"}, "columns": {"numeric": PANEL, "auto_infer": False}, "split": {"cv": {"n_splits": 2}}, "selection": {"k_min": 1, "k_max": 1}, "metrics": {"secondary": ["brier"], "compute_train_scores": False}, "models": {"logistic": {"estimator": "LogisticRegression", "params": {"max_iter": 10}, "requires_scaling": True, "imbalance": "balanced"}}}
-    return config.Config(tree).with_overrides(more)
-
-
-def _labelled(spark: SparkSession, d: str) -> DataFrame:
-    return panel(spark, d).drop("fold").withColumnRenamed("y", "label")
-
-
 @query(None)
 def tune_grid(spark, d):
-    run = research.Run(spark, _settings(spark, "tuned", **{"tuning.enabled": True, "tuning.strategy": "grid", "tuning.inner_splits": 3, "tuning.param_spaces": {"logistic": {"C": [0.01, 1.0]}}}), _labelled(spark, d)).all()
-    found = run.report.get("tune")
-    return spark.createDataFrame([(found["tuned"], json.dumps(found["params"]), found["mean"], found["taken"])], "model string, params string, mean double, taken boolean")
-
-
-@query(None)
-def sweep_comparison(spark, d):
-    return research.sweep(spark, {"one": _settings(spark, "one"), "two": _settings(spark, "two", **{"selection.k_max": 2})}, _labelled(spark, d))
+    points = [{"strength": c, "max_iter": 20} for c in (0.01, 1.0)]
+    rows = [(json.dumps(p), mean, i) for i, (p, mean) in enumerate(models.tuned(panel(spark, d).cache(), PANEL, "logistic", points, 2), 1)]
+    return spark.createDataFrame(rows, "params string, mean double, rank int")

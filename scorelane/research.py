@@ -139,7 +139,10 @@ class Run:
         return Fitted(f, models.fit(made, columns, family, own | dict(params or {}), balanced=balanced), columns)
 
     def metric(self, scored: DataFrame) -> float | None:
-        return metrics.evaluated(scored, [self.primary], self.id).first()[self.primary[0]]
+        own = scored.select(self.id, "y", "s").cache()
+        found = metrics.evaluated(own, [self.primary], self.id).first()[self.primary[0]]
+        own.unpersist()
+        return found
 
     def ks(self) -> list[int]:
         s, n = self.cfg["selection"], len(self.numeric) + len(self.categorical)
@@ -156,7 +159,7 @@ class Run:
         self.log = log
 
         def cell(repeat: int, fold: int, name: str) -> list[tuple]:
-            rest, valid = self.fold_rows(repeat, fold)
+            rest, valid = (x.cache() for x in self.fold_rows(repeat, fold))
             at = repeat * self.cfg["split.cv.n_splits"] + fold
             try:
                 f, made = self.prepared(rest, name)
@@ -173,7 +176,8 @@ class Run:
                     out.append((name, k, at, self.metric(scored), over, ",".join(order[:k]), ""))
                 except Exception as e:  # noqa: BLE001
                     out.append((name, k, at, None, None, ",".join(order[:k]), str(e)[:200]))
-            made.unpersist()
+            for x in (made, rest, valid):
+                x.unpersist()
             return out
 
         jobs = itertools.product(range(self.cfg["split.cv.n_repeats"] if self.cfg["split.strategy"] == "random" else 1), range(self.cfg["split.cv.n_splits"]), self.models)

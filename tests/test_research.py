@@ -89,6 +89,20 @@ def test_command_line(spark, run, disputes, tmp_path, capsys):
         store.load_predictions(spark, f"{tmp_path}/two")
 
 
+def test_a_sweep_says_what_compares(spark, monkeypatch):
+    class Stub:
+        def __init__(self, spark, cfg, frame):
+            self.better, self.primary, self.chosen, self.holdout = True, ("average_precision",), {"model": "lin", "k": cfg["selection.k_min"], "mean": cfg["selection.k_min"] / 10}, {"average_precision": 0.5}
+
+        def all(self):
+            return self
+
+    monkeypatch.setattr(research, "Run", Stub)
+    base = Config()
+    got = research.sweep(spark, {"a": base, "b": base.with_overrides({"selection.k_min": 3}), "c": base.with_overrides({"run.random_state": 7})}).collect()
+    assert [(r["name"], r["comparable"]) for r in got] == [("b", True), ("a", True), ("c", False)]
+
+
 def test_configuration_is_strict():
     for bad in ({"rnu": {}}, {"run": {"nmae": "x"}}, {"data": 3}, {"split": {"strategy": "group"}}, {"split": {"strategy": "sideways"}}, {"models": {"a": {"estimater": "x"}}}, {"selection": {"k_min": 3, "k_max": 2}}):
         with pytest.raises(ValueError):
