@@ -8,11 +8,12 @@ footer, aside, form or an element whose class or id names such a thing). A small
 tree, grown at import from the labelled table below, says which blocks are main text.
 
 An article or main element inside a form or an element with such a name is no part of it,
-unless it has such a name too. Where nothing else is main text, forms and names do not
+unless it has such a name too. Inside an article the weak names do not count. Where nothing else is main text, forms and names do not
 count. Of elements without an end only scripts, styles and comments go to the page's end.
 
 Null and empty pages, and pages without a main block, give an empty text. Unclosed and
-stray tags, and a '<' that starts no tag, are tolerated. Repeated rows get a row each.
+stray tags, and a '<' that starts no tag, are tolerated. Comments and scripts leave no space.
+Repeated rows get a row each, an empty table gives no rows, other columns are not read.
 """
 
 from __future__ import annotations
@@ -27,16 +28,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Element names by what they do.
-INVISIBLE = "noscript|template|svg|head|title|iframe|object|select|textarea|button|canvas|math"
+INVISIBLE = "noscript|template|svg|head|title|iframe|object|select|textarea|button|canvas"
 BLOCKS = set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 ASIDE = set("nav header footer aside form menu dialog fieldset figure".split())
 HINTS = re.compile(r"\b(?:nav\w*|menu\w*|head(?:er)?|foot(?:er)?|side\w*|aside|ads?|adverts?|advertisement|sponsor\w*|promo\w*|banner|cookies?|notice|consent|popup|modal|overlay|subscribe|newsletter|signup|login|share|social|related|recommend\w*|breadcrumbs?|comments?|respon\w+|repl(?:y|ies)|disqus|widget|pager|pagination|tags?|copyright|legal|disclaimer|search|form)\b", re.I)
+#: Names that say little of an element inside an article, where sections are named by what they tell of.
+WEAK = re.compile(r"\b(?:head(?:er)?|tags?|search|form|widget|login|legal|notice|banner)\b", re.I)
 _HIDDEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style)\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<({INVISIBLE})\b(?:[^<>\"']|\"[^\"]*\"|'[^']*')*>.*?</\2\s*>|<[!?][^>]*>", re.S | re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>")
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _VOID = set("area base br col embed hr img input link meta source track wbr".split())
 _MARK = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
 
+#: Words and link density of a neighbour, in the table below.
+_BESIDE = ((0, 0.0), (1, 1.0), (2, 0.0), (9, 0.0), (18, 0.0), (30, 0.0), (60, 0.0))
 #: Labelled blocks: words, link density, words before, density before, words after, density after, in article, in something aside, main?
 LABELLED = (
     (60, 0.0, 8, 0.0, 45, 0.0, 1, 0, 1), (8, 0.0, 3, 1.0, 60, 0.0, 1, 0, 1), (2, 0.0, 40, 0.0, 30, 0.0, 1, 0, 1), (150, 0.05, 90, 0.0, 80, 0.0, 1, 0, 1),
@@ -50,16 +55,21 @@ LABELLED = (
     (3, 1.0, 80, 0.0, 4, 1.0, 1, 0, 0), (9, 1.0, 20, 0.0, 9, 1.0, 1, 0, 0), (2, 1.0, 3, 1.0, 2, 1.0, 1, 0, 0), (14, 0.9, 60, 0.0, 12, 0.9, 1, 0, 0),
     (2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0), (5, 1.0, 40, 0.0, 5, 1.0, 0, 0, 0), (3, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0), (6, 0.7, 4, 0.8, 5, 0.9, 0, 0, 0),
     (4, 0.0, 3, 0.0, 2, 0.0, 0, 0, 0), (7, 0.1, 2, 1.0, 4, 0.5, 0, 0, 0), (2, 0.0, 0, 0.0, 3, 0.0, 0, 0, 0), (20, 0.8, 8, 0.9, 15, 0.8, 0, 0, 0),
-    # Headings and short lines inside an article, beside anything; the like outside of one.
-    *((words, 0.0, before, density, after, 0.0, 1, 0, 1) for words in (1, 4, 7, 11) for before, density in ((0, 0.0), (1, 1.0), (9, 0.0), (50, 0.0)) for after in (0, 6, 40)),
-    *((words, 0.0, before, 1.0, after, density, 0, 0, 0) for words in (1, 3, 6) for before in (1, 4) for after, density in ((2, 1.0), (7, 0.5), (0, 0.0))),
+    # Inside an article unlinked blocks are text beside anything, linked ones and those in something aside are not.
+    *((words, 0.0, *b, *a, 1, 0, 1) for words in (1, 3, 9, 25, 60) for b in _BESIDE for a in _BESIDE),
+    *((words, 1.0, *b, *a, inside, 0, 0) for words in (1, 3, 9) for inside in (0, 1) for b in _BESIDE for a in _BESIDE),
+    *((words, 0.0, *b, *a, inside, 1, 0) for words in (1, 9, 60) for inside in (0, 1) for b in _BESIDE for a in _BESIDE),
+    # Outside of one the neighbours tell: a blurb between links is no text, a short line above long text is its heading.
+    *((words, 0.0, *b, *a, 0, 0, 1) for words in (25, 60, 150) for b in _BESIDE for a in _BESIDE),
+    *((words, 0.0, *b, *a, 0, 0, not (b[1] and a[1])) for words in (10, 14, 20) for b in _BESIDE for a in _BESIDE),
+    *((words, 0.0, *b, *a, 0, 0, a[0] >= 30) for words in (1, 3, 7) for b in _BESIDE for a in _BESIDE),
 )
 
 
 class Tree:
     """CART by Gini impurity; grown until pure."""
 
-    def __init__(self, rows: np.ndarray, depth: int = 8) -> None:
+    def __init__(self, rows: np.ndarray, depth: int = 12) -> None:
         x, y = rows[:, :-1], rows[:, -1]
         self.answer = float(y.mean()) >= 0.5
         self.feature = -1
@@ -89,7 +99,7 @@ TREE = Tree(np.array(LABELLED, float))
 
 def blocks(page: str) -> list[tuple[str, int, int, bool, int]]:
     """(text, words, words in links, in article, in something aside: 1 by a form or a name only, 2 by an element) of each block that has words."""
-    page = _HIDDEN.sub(" ", page.replace("\x00", ""))
+    page = _HIDDEN.sub(lambda m: "" if m[1] or m[0].startswith("<!--") else " ", page.replace("\x00", ""))
     out: list[tuple[str, int, int, bool, int]] = []
     parts: list[str] = []
     stack: list[tuple[str, bool, int]] = []
@@ -135,7 +145,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, int]]:
                     article, aside = True, 0
                 if name in ASIDE and name != "form" and not (name in ("header", "figure") and article):
                     aside = 2
-                elif name == "form" or names and name not in ("article", "main", "body", "html") and HINTS.search(names):
+                elif name == "form" or names and name not in ("article", "main", "body", "html") and HINTS.search(WEAK.sub(" ", names) if article else names):
                     aside = max(aside, 1)
     add(page[at:])
     close()

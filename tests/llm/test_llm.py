@@ -256,6 +256,32 @@ def test_pages_keep_articles_in_named_wrappers():
     assert pages.main_text(f'<article><p>{text}</article><div id="comments"><article class="comment"><p>{text}</article></div>') == text
 
 
+def test_pages_by_neighbours():
+    text = "A sentence of the article that is long enough to be its text and has no link in it, with many more words, so that it is a paragraph of good length and not only a line of some list."
+    nav, link = "<nav><a href=x>Home</a> <a href=y>News</a></nav>", "<div><a href=z>Two</a></div>"
+    plain = f"{nav}<div><h1>Big title</h1><p>{text}</p><p>{text}</p></div>{link}"
+    assert pages.main_text(plain) == f"Big title\n\n{text}\n\n{text}"
+    blurb = "<ul><li><a href=a>One</a><li><p>Some words of a blurb that nobody reads at all.<li><a href=b>Two</a></ul>"
+    assert pages.main_text(f"{blurb}<div><p>{text}</div>") == text
+    assert pages.main_text(f'<div class="post-12 type-post hentry tag-y"><p>{text}</p><p>{text}</p></div>') == f"{text}\n\n{text}"
+    assert pages.main_text(f'<article><p>{text}</p><section id="search"><h2>Trees</h2><p>{text}</p></section></article>') == f"{text}\n\nTrees\n\n{text}"
+    assert pages.main_text(f'{nav}<article><header class="article-header"><h1>Title</h1></header><p>wo<!-- c -->rd <math><mi>x</mi></math> {text}</p><p>End.</p></article>{link}') == f"Title\n\nword x {text}\n\nEnd."
+
+    def used(t):
+        return set() if t.feature < 0 else {t.feature} | used(t.low) | used(t.high)
+
+    assert used(pages.TREE) & {2, 3, 4, 5}
+
+
+def test_empty_tables_of_every_operator(spark):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([], "item_id string, text string")
+    assert quality.held_out_quality(empty(spark), labels).count() == 0
+    assert pages.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    assert decontam.contamination(empty(spark), items).count() == 0
+    assert codec.read_back(codec.written(empty(spark))).count() == 0
+
+
 def library():
     from tokenizers import Tokenizer
 
@@ -307,6 +333,8 @@ def test_codec_round_trip(n):
 
 
 def test_id_files(spark, docs, texts):
+    every = codec.read_back(codec.written(docs)).collect()  # nulls first, repeated rows each
+    assert len(every) == docs.count() and sorted(every, key=lambda r: r["start"])[0]["doc_id"] is None
     got = codec.read_back(codec.written(docs.filter("doc_id is not null").dropDuplicates(["doc_id"]))).orderBy("doc_id").collect()
     at = 0
     for i, (r, t) in enumerate(zip(got, texts, strict=True)):
