@@ -332,8 +332,8 @@ def test_codec_round_trip(n):
             codec.decode([coded[0], (k, crc, data[:50] + bytes([data[50] ^ 1]) + data[51:])])
 
 
-def test_id_files(spark, docs, texts):
-    every = codec.read_back(codec.written(docs)).collect()  # nulls first, repeated rows each
+def test_id_files(spark, docs, texts, tmp_path):
+    every = codec.read_back(codec.written(docs, out=f"{tmp_path}/ids")).collect()  # nulls first, repeated rows each
     assert len(every) == docs.count() and sorted(every, key=lambda r: r["start"])[0]["doc_id"] is None
     got = codec.read_back(codec.written(docs.filter("doc_id is not null").dropDuplicates(["doc_id"]))).orderBy("doc_id").collect()
     at = 0
