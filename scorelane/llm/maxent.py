@@ -54,6 +54,10 @@ SLICES = 16
 POSTINGS = 2_000_000
 #: Head words have at least a 2^-HEAD of all tokens.
 HEAD = 15
+#: Scores within this have exponentials that neither overflow nor vanish, so no maximum need be taken off.
+SAFE = 60.0
+#: Longer runs are summed one by one.
+LONG = 64
 #: Words whose counts a task holds before it sends them.
 HELD = 1 << 20
 
@@ -134,51 +138,71 @@ def choices(h: np.ndarray, context: list[np.ndarray], depth: int, buckets: int)
     return rows, np.concatenate(outcome), token
 
 
-def log_classes(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Log probabilities of the outcomes; rows: the rows of weights of each choice, or the only one."""
+def scores(weights: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of all outcomes and their sums of exponentials; rows: the rows of weights of each choice, or the only one."""
     rows = rows.reshape(len(rows), -1)
     z = np.take(weights, rows[:, 0], axis=0)
+    more = np.empty_like(z)
     for k in rows.T[1:]:
-        z += np.take(weights, k, axis=0)
-    z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z) @ np.ones(z.shape[1], z.dtype))[:, None]
+        z += np.take(weights, k, axis=0, out=more, mode="clip")
+    if z.size and max(z.max(), -z.min()) > SAFE:
+        z -= z.max(1, keepdims=True)
+    np.exp(z, out=more)
+    return z, more
+
+
+def log_classes(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Log probabilities of the outcomes."""
+    z, e = scores(weights, rows)
+    z -= np.log(e @ np.ones(e.shape[1], e.dtype))[:, None]
     return z
 
 
-def run_sums(x: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Sums of runs of n rows each, by halving."""
-    out = np.empty((len(n), x.shape[1]), x.dtype)
-    run = np.arange(len(n))
-    while len(run):
-        start, done = np.cumsum(n) - n, n == 1
-        out[run[done]] = np.take(x, start[done], axis=0)
-        run, start, n = run[~done], start[~done], n[~done]
-        half = (n + 1) // 2
-        place = np.arange(half.sum()) - np.repeat(np.cumsum(half) - half, half)
-        first = np.repeat(start, half) + 2 * place
-        pair = np.flatnonzero(2 * place + 1 < np.repeat(n, half))
-        y = np.take(x, first, axis=0)
-        y[pair] += np.take(x, first[pair] + 1, axis=0)
-        x, n = y, half
-    return out
+def log_outcomes(weights: np.ndarray, rows: np.ndarray, outcome: np.ndarray) -> np.ndarray:
+    """Log probability of one outcome of each choice."""
+    z, e = scores(weights, rows)
+    return z[np.arange(len(z)), outcome] - np.log(e @ np.ones(e.shape[1], e.dtype))
+
+
+def run_sums(x: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the runs, and in it the sums of x[at] over runs of n places each.
+
+    The longest runs come first: the k-th places of all runs that have them are added at once.
+    Runs of more than LONG places are summed each for itself.
+    """
+    order = np.argsort(-n, kind="stable")
+    start, n = (np.cumsum(n) - n)[order], n[order]
+    many = int(np.searchsorted(-n, -LONG))
+    out = np.take(x, at[start], axis=0)
+    for i in range(many):
+        own = np.take(x, at[start[i] : start[i] + n[i]], axis=0)
+        out[i] = np.ones(n[i], x.dtype) @ own
+    start, n, rest = start[many:], n[many:], out[many:]
+    for k in range(1, int(n[0]) if len(n) else 0):
+        some = int(np.searchsorted(-n, -k))
+        rest[:some] += np.take(x, at[start[:some] + k], axis=0)
+    return order, out
 
 
 def step(weights: np.ndarray, squares: np.ndarray, used: np.ndarray, rows: np.ndarray, outcome: np.ndarray, buckets: int) -> float:
     """One Adagrad step, in place; the log likelihood before it."""
-    logs = log_classes(weights, rows)
-    here = np.arange(len(rows))
-    before = float(logs[here, outcome].sum())
-    d = np.negative(np.exp(logs, out=logs), out=logs)
+    z, d = scores(weights, rows)
+    here, total = np.arange(len(rows)), d @ np.ones(d.shape[1], d.dtype)
+    before = float((z[here, outcome] - np.log(total)).sum())
+    d *= (-1 / total)[:, None]
     d[here, outcome] += 1
     node = (rows[:, 0] - buckets).astype(np.uint16 if len(weights) - buckets < 1 << 16 else np.int64)
     flat = np.sort(rows[:, 1:].T.ravel() << 32 | np.tile(here, rows.shape[1] - 1))
     for row, at in ((rows[:, 0], np.argsort(node, kind="stable")), (None, None)):
         row, at = (row[at], at) if at is not None else (flat >> 32, flat & 0xFFFFFFFF)
         edges = np.flatnonzero(np.diff(row, prepend=-1))
-        mine, times = row[edges], np.diff(np.append(edges, len(row)))
-        g = run_sums(np.take(d, at, axis=0), times)
-        squares[mine] += np.einsum("ij,ij->i", g, g)
-        weights[mine] += g * (RATE / (np.sqrt(squares[mine]) + np.float32(1e-6)))[:, None]
+        order, g = run_sums(d, at, np.diff(np.append(edges, len(row))))
+        times, mine = np.diff(np.append(edges, len(row)))[order], row[edges][order]
+        total = squares[mine] + np.einsum("ij,ij->i", g, g)
+        squares[mine] = total
+        g *= (RATE / (np.sqrt(total) + np.float32(1e-6)))[:, None]
+        g += np.take(weights, mine, axis=0)
+        weights[mine] = g
         used[mine] += times
     return before
 
@@ -403,7 +427,7 @@ def head_and_model(docs: DataFrame, weights: np.ndarray, counts: Counts) -> Data
                 for i in range(0, len(h), BATCH):
                     cut = slice(i, i + BATCH)
                     rows, outcome, token = choices(h[cut], [x[cut] for x in before], counts.depth, len(table) - nodes(counts.depth))
-                    logs[cut] = np.bincount(token, log_classes(table, rows)[np.arange(len(rows)), outcome])
+                    logs[cut] = np.bincount(token, log_outcomes(table, rows, outcome))
                 of_head[0] += np.log10(counts.train + 1)
                 of_head[2] += counts.train > 0
                 yield pa.RecordBatch.from_arrays([*(b.column(k).slice(lo, n) for k in range(3)), pa.array(np.bincount(owner, minlength=n)), *map(pa.array, of_head), pa.array(np.bincount(owner, logs / np.log(10), n))], ["doc_id", "held_out", "key", "n_tokens", "sums", "shares", "known", "logs"])

@@ -421,9 +421,37 @@ def test_maxent_scores_equal_brute_force(spark, docs, monkeypatch, head):
 
 
 def test_maxent_run_sums():
-    n = np.array([1, 7, 2, 1, 64, 3])
-    x = np.random.default_rng(0).normal(size=(n.sum(), 4))
-    assert np.allclose(maxent.run_sums(x, n), np.add.reduceat(x, np.cumsum(n) - n, axis=0))
+    n = np.array([1, 7, 2, 1, 64, 3, maxent.LONG, maxent.LONG + 1, 500, 1])
+    rng = np.random.default_rng(0)
+    x, at = rng.normal(size=(50, 4)), rng.integers(0, 50, n.sum())
+    order, sums = maxent.run_sums(x, at, n)
+    assert sorted(order) == list(range(len(n)))
+    assert np.allclose(sums, np.add.reduceat(x[at], np.cumsum(n) - n, axis=0)[order])
+    order, sums = maxent.run_sums(x, at[:0], n[:0])
+    assert len(order) == 0 and sums.shape == (0, 4)
+
+
+def test_maxent_step_is_adagrad_and_large_scores_stay_finite():
+    rng = np.random.default_rng(2)
+    for scale in (1.0, 100.0):
+        w = (scale * rng.normal(size=(40, maxent.CLASSES))).astype(np.float32)
+        rows = np.stack([32 + rng.integers(0, 8, 300), rng.integers(0, 32, 300), rng.integers(0, 32, 300)], 1)
+        outcome = rng.integers(0, maxent.CLASSES, 300)
+        z = w[rows].astype(float).sum(1)
+        logs = z - np.logaddexp.reduce(z, 1, keepdims=True)
+        assert np.allclose(maxent.log_outcomes(w, rows, outcome), logs[np.arange(300), outcome], rtol=1e-4, atol=1e-3)
+        d = -np.exp(logs)
+        d[np.arange(300), outcome] += 1
+        g = np.zeros(w.shape)
+        for k in range(3):
+            np.add.at(g, rows[:, k], d)
+        squares = (g**2).sum(1)
+        want = w + maxent.RATE * g / (np.sqrt(squares) + 1e-6)[:, None]
+        got, q, used = w.copy(), np.zeros(40, np.float32), np.zeros(40, np.float32)
+        met = maxent.step(got, q, used, rows, outcome, 32)
+        assert met == pytest.approx(logs[np.arange(300), outcome].sum(), rel=1e-4)
+        assert np.allclose(got, want, rtol=1e-3, atol=1e-3) and np.allclose(q, squares, rtol=1e-2, atol=1e-3)
+        assert used.sum() == 900
 
 
 def test_stages_filter_rows_not_ids(spark, tmp_path):
