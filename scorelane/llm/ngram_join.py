@@ -12,16 +12,16 @@ is ever gathered whole:
    any other set; sets below their bound link with nothing and are discarded. Of the
    rest all shingles are counted so, and sets with under 3n/4 shared ones discarded.
 2. Of each set the rarest shingles are taken, as many as must hold one that a linked
-   set takes too. Sets that take the same shingle may link. Pivots are chosen among them:
-   two for each shingle, then, where a shingle is still held by several components, a
-   member of the largest.
-3. Product. Rows of sets and rows of their pivots meet in blocks; a block's overlaps are
-   accumulated over ranges of shingles, and pairs are discarded as soon as their sizes rule
-   a link out. Sums reaching 100 * overlap >= 75 * union are links; a few pivots per set
-   connect nearly all near copies without forming the pairs inside a group.
-4. Last, all sets that still share a taken shingle with a larger component become pivots
-   of all sets that take it. After it no shingle is taken by sets of two components that
-   have not been compared, so no link between components is missing.
+   set takes too. Sets that take the same shingle may link. Where few pairs of a shingle's
+   sets are of different components, all of them are candidates; where many are, sets meet two
+   pivots of the shingle, and it is left to the next round, when most are of one component.
+   The last round takes all pairs that are left, so no link between components is missing.
+3. Candidates whose sizes, places in the sets' orders or bit maps (the exclusive or of two
+   bounds the shingles they do not share) rule a link out are discarded.
+4. Product. Rows of sets and rows of their pivots meet in blocks, one for candidates that
+   hang together; a block's overlaps are accumulated over ranges of shingles, and pairs are
+   discarded as soon as their sizes rule a link out. Sums reaching 100 * overlap >= 75 *
+   union are links.
 
 Components come from star contraction of the links. A class of exact copies or a
 group of near copies of any size yields one row a document, never pairs.
@@ -47,9 +47,9 @@ WORDS = 5
 MAX_BROADCAST = 1_000_000
 POSTINGS = 2_000_000
 SLOTS = 1 << 20
-#: Products with chosen pivots before the one with all that are left, at most; so few are left to that at once.
+#: Rounds with pivots before the one that takes all pairs left, at most; pairs a row of all shingles that a round takes without.
 ROUNDS = 3
-FEW = 4096
+FEW = 16
 #: Shingles of the pivots of a block, ranges of shingles that a product takes one after another,
 #: pairs whose sums it holds, and single products that it makes at a time.
 PIVOT_SHINGLES = 1 << 18
@@ -238,7 +238,7 @@ def commonness(sets: DataFrame) -> np.ndarray:
 
 
 def prefixes(sets: DataFrame, common: np.ndarray) -> DataFrame:
-    """h, sid: of each set the shingles, rarest first, of which linked sets share at least one.
+    """h, sid, n, i: of each set the shingles, rarest first, of which linked sets share at least one, and their places.
 
     The order (power of two of the slot's frequency, then hash) is one for all sets; which
     order it is changes the work, not the result.
@@ -248,15 +248,117 @@ def prefixes(sets: DataFrame, common: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for sids, values, where in _of_sets(batches):
-            h, owner, n = [], [], np.diff(where)
-            rank = level[(values & np.uint64(SLOTS - 1)).astype(np.int64)]
-            for i, k in enumerate(n - needed(n) + 1):
+            h, n = [np.zeros(0, np.uint64)], np.diff(where)
+            rank, length = level[(values & np.uint64(SLOTS - 1)).astype(np.int64)], n - needed(n) + 1
+            for i, k in enumerate(length):
                 own = values[where[i] : where[i + 1]]
                 h.append(own[np.argsort(rank[where[i] : where[i + 1]], kind="stable")[:k]])
-                owner.append(np.full(k, sids[i]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.uint64), *h]).view(np.int64)), pa.array(np.concatenate([np.zeros(0, np.int64), *owner]))], ["h", "sid"])
+            columns = (np.concatenate(h).view(np.int64), np.repeat(sids, length), np.repeat(n, length).astype(np.int32), _ranges(np.zeros_like(length), length).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "sid", "n", "i"])
 
-    return sets.select("sid", "n", "members").mapInArrow(run, "h long, sid long")
+    return sets.select("sid", "n", "members").mapInArrow(run, "h long, sid long, n int, i int")
+
+
+def open_pairs(h: np.ndarray, sid: np.ndarray, comp: np.ndarray, n: np.ndarray, i: np.ndarray, few: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs u, v of sets of different components that share one of h, and the h that are left open.
+
+    A shingle with up to `few` such pairs a row gives all of them, but for those that cannot be
+    a link's first common shingle: the rest of either set would not reach the overlap that the
+    sizes ask for. Others give each row's pairs with two of their rows, and are left open.
+    """
+    order = np.lexsort((sid, comp, h))
+    h, sid, comp, n, i = (x[order] for x in (h, sid, comp, n.astype(np.int64), i.astype(np.int64)))
+    rows = np.arange(len(h))
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    run = new.copy()
+    run[1:] |= comp[1:] != comp[:-1]
+    first, start = np.flatnonzero(new), np.flatnonzero(run)
+    group, k = np.cumsum(new) - 1, np.diff(np.append(first, len(h)))
+    length = np.diff(np.append(start, len(h)))
+    count = (np.append(first[1:], len(h)))[group] - np.repeat(start + length, length)  # rows of components after one's own
+    cross = np.add.reduceat(count, first) if len(first) else k
+    every = cross <= few * k
+    names, at = np.unique(sid, return_inverse=True)
+    found, held = [np.zeros(0, np.int64)], 0
+    left = rows[every[group] & (count > 0)]
+    ends, lo = np.cumsum(count[left]), 0
+    while lo < len(left):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PAIRS, "right")))
+        own = left[lo:hi]
+        last = np.append(first[1:], len(h))[group[own]]
+        a, b = np.repeat(own, count[own]), _ranges(last - count[own], count[own])
+        need = needed_overlap(n[a], n[b])
+        ok = (4 * np.minimum(n[a], n[b]) >= 3 * np.maximum(n[a], n[b])) & (np.minimum(n[a] - i[a], n[b] - i[b]) >= need)
+        a, b = at[a[ok]], at[b[ok]]
+        found.append(np.unique(np.maximum(a, b) * len(names) + np.minimum(a, b)))
+        held += len(found[-1])
+        if held > 4 * PAIRS:
+            found = [np.unique(np.concatenate(found))]
+            held = len(found[0])
+        lo = hi
+    if not every.all():
+        most = np.lexsort((-length, group[start]))  # of each shingle the component with the most rows
+        most = most[np.searchsorted(group[start][most], np.arange(len(first)))]
+        spread = np.lexsort((kit.mixed(sid.astype(np.uint64)), group))[first]
+        rest = rows[~every[group]]
+        for pivot in (start[most], spread):
+            a, b = rest, pivot[group[rest]]
+            ok = (comp[a] != comp[b]) & (4 * np.minimum(n[a], n[b]) >= 3 * np.maximum(n[a], n[b]))
+            found.append(np.unique(at[a[ok]] * len(names) + at[b[ok]]))
+    pairs = np.unique(np.concatenate(found))
+    return names[pairs // max(len(names), 1)], names[pairs % max(len(names), 1)], h[first[~every]]
+
+
+def candidates(named: DataFrame, blocks: int, few: float) -> DataFrame:
+    """u, v: pairs of sets of named(h, sid, comp, n, i) that may link; h, null: shingles left open, by open_pairs."""
+    def run(t: pa.Table) -> pa.Table:
+        u, v, h = open_pairs(*(t[c].to_numpy() for c in ("h", "sid", "comp", "n", "i")), few)
+        return pa.table({"u": np.concatenate([u, h]), "v": pa.concat_arrays([pa.array(v, pa.int64()), pa.nulls(len(h), pa.int64())])})
+
+    dealt = named.select(F.pmod(F.xxhash64("h", F.lit(5)), F.lit(blocks)).alias("block"), "h", "sid", "comp", "n", "i")
+    return dealt.groupBy("block").applyInArrow(run, "u long, v long")
+
+
+def sketches(sets: DataFrame) -> DataFrame:
+    """sid, n, bits: a bit map of each set, of some four bits a shingle."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for sids, values, where in _of_sets(batches):
+            n, bits = np.diff(where), []
+            for i in range(len(sids)):
+                size = 1 << min(14, max(9, int(4 * n[i] - 1).bit_length()))
+                own = np.zeros(size, bool)
+                own[((values[where[i] : where[i + 1]] >> np.uint64(20)) & np.uint64(size - 1)).astype(np.int64)] = True
+                bits.append(np.packbits(own).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(sids), pa.array(n), pa.array(bits, pa.binary())], ["sid", "n", "bits"])
+
+    return sets.select("sid", "n", "members").mapInArrow(run, "sid long, n long, bits binary")
+
+
+def most_shared(n: np.ndarray, m: np.ndarray, x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """Upper bounds of the overlaps of sets of n and m by their bit maps; the longer map is folded to the shorter's length."""
+    out = (n + m) // 2
+    sizes = np.array([len(b) for b in x], np.int64) << 32 | np.array([len(b) for b in y], np.int64)
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        short = min(int(size) >> 32, int(size) & 0xFFFFFFFF)
+        a, b = (np.bitwise_or.reduce(np.frombuffer(b"".join(z[k] for k in at), np.uint64).reshape(len(at), -1, short // 8), axis=1) for z in (x, y))
+        out[at] = (n[at] + m[at] - np.bitwise_count(a ^ b).sum(1, dtype=np.int64)) // 2
+    return out
+
+
+def plausible(pairs: DataFrame, maps: DataFrame) -> DataFrame:
+    """The pairs(u, v) whose bit maps leave room for a link."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 2000):
+                b = whole.slice(lo, 2000)
+                n, m = b["n"].to_numpy(), b["m"].to_numpy()
+                ok = most_shared(n, m, b["x"].to_pylist(), b["y"].to_pylist()) >= needed_overlap(n, m)
+                yield b.select(["u", "v"]).filter(pa.array(ok))
+
+    left, right = maps.toDF("u", "n", "x"), maps.toDF("v", "m", "y")
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "n", "m", "x", "y").mapInArrow(run, "u long, v long")
 
 
 def needed_overlap(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -322,28 +424,39 @@ def spanning(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([u[new], pairs[0]]), np.concatenate([v[new], pairs[1]])
 
 
-def links(sets: DataFrame, rows: DataFrame, pivots: DataFrame, parts: int) -> DataFrame:
-    """u, v: edges that connect the linked pairs of rows(sid, part) and pivots(sid, part) of the same part.
+def links(sets: DataFrame, pairs: DataFrame, parts: int) -> DataFrame:
+    """u, v: edges that connect the linked ones of pairs(u, v), and other linked pairs that meet with them.
 
-    A part's pivots are one side of a block; its rows are cut so that a block has about
-    POSTINGS shingles of them, whatever their number. Blocks are formed by exchange.
+    Pairs that hang together have one part, so that a set is moved once; the pivots v of many
+    are dealt to several parts by their shingles. A part's pivots are one side of a block; its
+    rows are cut so that a block has about POSTINGS shingles of them, whatever their number.
+    Blocks are formed by exchange.
     """
     def run(t: pa.Table) -> pa.Table:
         side = t["side"].to_numpy()
         blocks = []
-        for k in (0, 1):
-            own = t.filter(pa.array(side == k))
+        for k in (1, 2):
+            own = t.filter(pa.array(side & k > 0))
             blocks.append((np.array(own["sid"].to_numpy(), np.int64), np.array(own["n"].to_numpy(), np.int64), np.frombuffer(b"".join(own["members"].to_pylist()), np.uint64)))
         u, v = spanning(*product(*blocks)) if len(blocks[0][0]) and len(blocks[1][0]) else (np.zeros(0, np.int64),) * 2
         return pa.table({"u": u, "v": v})
 
-    sized = rows.join(sets.select("sid", "n"), "sid").groupBy("part").agg(F.floor(F.sum("n") / POSTINGS).alias("_last"))
-    sized = kit.stored(sized, "parts")
+    near = components(pairs)
+    sizes = sets.select("sid", "n")
+    own = pairs.select(F.col("v").alias("sid")).distinct().join(near, "sid").join(sizes, "sid")
+    wide = own.groupBy("comp").agg(F.floor(F.sum("n") / PIVOT_SHINGLES).alias("_wide"))
+    at = F.pmod(F.xxhash64("comp", F.pmod(F.xxhash64("sid", F.lit(3)), F.col("_wide") + 1)), F.lit(parts))
+    pivots = kit.stored(own.join(wide, "comp").select("sid", at.alias("part")), "pivots")
+    rows = kit.stored(pairs.join(pivots.toDF("v", "part"), "v").select(F.col("u").alias("sid"), "part").distinct(), "met")
+    sized = kit.stored(rows.join(sizes, "sid").groupBy("part").agg(F.floor(F.sum("n") / POSTINGS).alias("_last")), "parts")
     few = F.broadcast(sized) if parts <= MAX_BROADCAST else sized
-    left = rows.join(few, "part").select("sid", "part", F.pmod(F.xxhash64("sid", F.lit(7)), F.col("_last") + 1).alias("cut"), F.lit(0).alias("side"))
-    right = pivots.join(few, "part").select("sid", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))).alias("cut"), F.lit(1).alias("side"))
-    whole = left.union(right).join(sets.select("sid", "n", "members"), "sid").select("part", "cut", "side", "sid", "n", "members")
-    return whole.groupBy("part", "cut").applyInArrow(run, "u long, v long")
+    left = rows.join(few, "part").select("sid", "part", F.pmod(F.xxhash64("sid", F.lit(7)), F.col("_last") + 1).alias("cut"), F.lit(1).alias("side"))
+    right = pivots.join(few, "part").select("sid", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))).alias("cut"), F.lit(2).alias("side"))
+    whole = left.union(right).groupBy("sid", "part", "cut").agg(F.bit_or("side").alias("side"))
+    whole = whole.join(sets.select("sid", "n", "members"), "sid").select("part", "cut", "side", "sid", "n", "members")
+    found = kit.stored(whole.groupBy("part", "cut").applyInArrow(run, "u long, v long"), "links")
+    kit.release(near, pivots, rows, sized)
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -408,38 +521,30 @@ def ngram_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
 
 def joined(sets: DataFrame, held: DataFrame, parts: int) -> DataFrame:
-    """sid, comp: components of the links of all sets; held(h, sid): the shingles of which linked sets share one."""
-    part = lambda c: F.pmod(F.xxhash64(c, F.lit(3)), F.lit(parts)).alias("part")
-    some = lambda c, k: F.min_by(c, F.xxhash64(c, F.lit(k)))
-    two = held.groupBy("h").agg(F.count("*").alias("k"), F.array(F.min("sid"), some("sid", 1)).alias("v")).filter("k > 1")
-    pairs = held.join(two.select("h", F.explode("v").alias("v")), "h").filter("sid != v").select("sid", "v")
-    label, known = None, None
-    for step in range(ROUNDS):
-        pairs = kit.stored(pairs.distinct(), "pairs")
-        new = kit.stored(links(sets, pairs.select("sid", part("v")).distinct(), pairs.select(F.col("v").alias("sid"), part("v")).distinct(), parts), "links")
-        kit.release(pairs)
-        old, label = label, components(new if known is None else new.union(known))
-        kit.release(new, *([old] if old else []))
-        kit.tidy(sets.sparkSession)
-        known = label.select(F.col("sid").alias("u"), F.col("comp").alias("v"))
-        named = held.join(label, "sid", "left").select("h", "sid", F.coalesce("comp", "sid").alias("comp"))
-        per = named.groupBy("h", "comp").agg(F.count("*").alias("k"), some("sid", step + 2).alias("some"))
-        most = F.max_by(F.struct("comp", "some"), F.struct("k", "comp")).alias("most")
-        split = per.groupBy("h").agg(most, F.count("*").alias("comps")).filter("comps > 1").select("h", "most.some", F.col("most.comp").alias("largest"))
-        open_ = kit.stored(named.join(split, "h"), "open")
-        rest = open_.filter("comp != largest")
-        many = rest.select("sid").distinct().count()
-        if not many:  # every shingle is held by one component
-            return label
-        if many <= FEW:
+    """sid, comp: components of the links of all sets; held(h, sid, n, i): the shingles of which linked sets share one."""
+    spark = sets.sparkSession
+    maps = kit.stored(sketches(sets), "maps")
+    label, left, total = None, held, held.count()
+    for step in range(ROUNDS + 1):
+        if label is None:
+            named = left.withColumn("comp", F.col("sid"))
+        else:
+            named = left.join(label, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+        rows = left.count()
+        few = FEW * total / max(rows, 1) if step < ROUNDS else float("inf")  # few rows left may have more pairs each
+        found = kit.stored(candidates(named, kit.blocks_for(rows, POSTINGS // 8, 16, spark), few), "candidates")
+        pairs = kit.stored(plausible(found.filter("v IS NOT NULL").distinct(), maps), "pairs")
+        new = links(sets, pairs, parts)
+        after = components(new if label is None else new.union(label.select(F.col("sid").alias("u"), F.col("comp").alias("v"))))
+        rest = left.join(found.filter("v IS NULL").select(F.col("u").alias("h")), "h", "left_semi").select("h", "sid", "n", "i")
+        rest = kit.stored(rest, "open")
+        kit.release(new, pairs, found, *([label] if label else []), *([left] if left is not held else []))
+        kit.tidy(spark)
+        label, left = after, rest
+        if left.isEmpty():  # of every shingle all pairs of different components were candidates
             break
-        pairs = rest.select("sid", F.col("some").alias("v"))
-    pivots = rest.select("h", "sid", part("sid")).distinct()
-    asked = open_.join(pivots.select("h", "part").distinct(), "h").select("sid", "part").distinct()
-    new = kit.stored(links(sets, asked, pivots.select("sid", "part").distinct(), parts), "links")
-    last = components(new.union(known))
-    kit.release(new, label, open_)
-    return last
+    kit.release(maps, left)
+    return label
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

@@ -118,6 +118,50 @@ def test_product_equals_brute_force():
     assert len(u) <= len(want) and set(zip(u, v, strict=True)) <= want | {(b, a) for a, b in want} | {(a, c) for a, b in want for x, c in want if x == b}
 
 
+def test_candidates_hold_every_link():
+    """All links between components, no more than the pairs allowed, and bounds by bit maps that rule out none."""
+    rng = np.random.default_rng(6)
+    pool = np.sort(rng.integers(0, 1 << 63, 90, np.uint64) * np.uint64(2))
+    sets = [np.sort(rng.choice(pool, int(rng.integers(4, 60)), False)) for _ in range(30)]
+    sets += [np.sort(rng.choice(s, max(1, len(s) - int(rng.integers(0, 9))), False)) for s in sets * 3]
+    n = np.array([len(s) for s in sets])
+    length = n - ngram_join.needed(n) + 1
+    rows = [(s[j], i, i // 2, len(s), j) for i, s in enumerate(sets) for j in range(length[i])]
+    h, sid, comp, m, place = (np.array(c, np.int64) for c in zip(*((int(a) >> 1, *r) for a, *r in rows), strict=True))
+    overlap = {(i, j): len(np.intersect1d(sets[i], sets[j])) for i in range(len(sets)) for j in range(i)}
+    links = {(i, j) for (i, j), o in overlap.items() if i // 2 != j // 2 and 100 * o >= 75 * (n[i] + n[j] - o)}
+    u, v, left = ngram_join.open_pairs(h, sid, comp, m, place, float("inf"))
+    assert links and links <= set(zip(u.tolist(), v.tolist(), strict=True)) and not len(left)
+    u, v, left = ngram_join.open_pairs(h, sid, comp, m, place, 0)
+    assert set(left) == {x for x in h if len(set(comp[h == x])) > 1} and 0 < len(u) <= 2 * len(h)
+    maps = []
+    for k, s in enumerate(sets):
+        bits = np.zeros(512 << k % 3, bool)
+        bits[((s >> np.uint64(20)) & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+        maps.append(np.packbits(bits).tobytes())
+    i, j = (np.array(x) for x in zip(*overlap, strict=True))
+    most = ngram_join.most_shared(n[i], n[j], [maps[k] for k in i], [maps[k] for k in j])
+    assert (most >= np.array(list(overlap.values()))).all() and (most < np.minimum(n[i], n[j])).any()
+
+
+def test_similar_sets_are_not_moved_many_times(spark, monkeypatch):
+    """Texts that share two thirds of their shingles with others, and no links, over many parts of pivots."""
+    monkeypatch.setattr(ngram_join, "PIVOT_SHINGLES", 2000)
+    blocks = [base(60, 700 + i) for i in range(40)]
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(blocks[k] for k in rng.permutation(40)[:9])) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        executors = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+        return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
+
+    moved = written()
+    assert len(ngram_join.ngram_components(docs).collect()) == 240
+    assert written() - moved < 8 * sum(len(t) for _, t in rows)
+
+
 def test_rules_statistics(spark, docs, texts):
     got = {r["doc_id"]: r for r in rules.quality_rules(docs).collect()}
     for i, t in enumerate(texts):
