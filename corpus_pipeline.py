@@ -82,8 +82,10 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each one's rows written as a table and read by the next."""
-    docs = kit.table(spark, sf_dir, "documents")
+    """The stages over documents, each one's rows written as a table and read by the next, then removed."""
+    docs, before = kit.table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = kit.stored(stage(spark, docs, sf_dir), name)
+        kit.release(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -538,6 +538,26 @@ def test_stages_take_any_table(spark, tmp_path):
         assert packed.select("doc_id").distinct().count() == len(got)
 
 
+def test_stages_copy_no_files(spark, tmp_path, monkeypatch):
+    """Rows of files are numbered where they lie, alike each time; the run keeps no stage's table but the last."""
+    import corpus_pipeline
+
+    rows = [(i % 7, f"t{i}") for i in range(50)]
+    spark.createDataFrame(rows, "doc_id long, _path string").repartition(4).write.parquet(f"{tmp_path}/t")
+    made = len(kit._written)
+    own = kit.numbered(spark.read.parquet(f"{tmp_path}/t"), "row")
+    assert len(kit._written) == made and own.columns == ["doc_id", "_path", "row"]
+    got = own.collect()
+    assert sorted(tuple(r[:2]) for r in got) == sorted(rows) and len({r["row"] for r in got}) == 50
+    assert {(r["row"], r["_path"]) for r in own.repartition(3).collect()} == {(r["row"], r["_path"]) for r in got}
+    names = []
+    was = kit.stored
+    monkeypatch.setattr(kit, "stored", lambda df, name: names.append((name, x := was(df, name))) or x)
+    corpus_pipeline.run(spark, WHERE)
+    left = {n for n, x in names if (spark, x._stored_at) in kit._written}
+    assert not left & {"numbered", *(n for n, _ in corpus_pipeline.STAGES[:3])}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
