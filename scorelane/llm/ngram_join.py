@@ -56,6 +56,8 @@ PIVOT_SHINGLES = 1 << 18
 COLUMNS = 8
 CELLS = 1 << 21
 PAIRS = 1_000_000
+#: Edges that one task contracts.
+EDGES = 1 << 20
 _C = kit.mixed(np.arange(1, 65, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -459,19 +461,44 @@ def links(sets: DataFrame, pairs: DataFrame, parts: int) -> DataFrame:
     return found
 
 
-def components(edges: DataFrame) -> DataFrame:
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of edges u, v in ascending order and, of each, the least node reachable."""
+    names, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    label, a, b = np.arange(len(names)), at[: len(u)], at[len(u) :]
+    while len(a):
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label[label] != label).any():
+            label = label[label]
+        a, b = label[a], label[b]
+        a, b = a[a != b], b[a != b]
+    return names, names[label]
+
+
+def components(edges: DataFrame, most: int = EDGES) -> DataFrame:
     """sid, comp: the least node reachable over edges(u, v), for nodes that have any; star contraction.
 
-    A round makes large stars, then small stars. It ends when a round leaves the edges as
-    they were, by their number and two sums of hashes, which are observed as they are written.
+    Tasks of about `most` edges each first contract what they hold. Where that took more than one
+    task, rounds make large stars, then small stars, until the edges are few enough for one task, or
+    a round leaves them as they were, by their number and two sums of hashes, which are observed as
+    they are written.
     """
+    def contracted(df: DataFrame, tasks: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ends = [np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*[(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in forest(*(ends or [np.zeros(0, np.int64)] * 2))], ["sid", "comp"])
+
+        return df.filter("u != v").select("u", "v").coalesce(tasks).mapInArrow(run, "sid long, comp long")
+
     def kept(df: DataFrame) -> tuple[DataFrame, tuple]:
         seen = Observation()
         sums = [F.sum(F.xxhash64("u", "v", F.lit(k)).cast("decimal(38,0)")).alias(f"s{k}") for k in range(2)]
         found = kit.stored(df.filter("u != v").distinct().observe(seen, F.count("*").alias("n"), *sums), "edges")
         return found, tuple(seen.get.values())
 
-    edges, state = kept(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+    tasks = 1 + edges.count() // most
+    if tasks == 1:
+        return kit.stored(contracted(edges, 1), "label")
+    edges, state = kept(contracted(edges, tasks).toDF("u", "v"))
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"))
@@ -482,9 +509,9 @@ def components(edges: DataFrame) -> DataFrame:
         after, now = kept(small)
         kit.release(edges, large)
         edges, before, state = after, state, now
-        if state == before:
-            named = edges.select(F.col("u").alias("sid"), F.col("v").alias("comp")).union(edges.select(F.col("v").alias("sid"), F.col("v").alias("comp")).distinct())
-            found = kit.stored(named, "label")
+        if state == before or state[0] < most:
+            whole = contracted(edges, 1) if state[0] < most else edges.toDF("sid", "comp").union(edges.select(F.col("v").alias("sid"), F.col("v").alias("comp")).distinct())
+            found = kit.stored(whole, "label")
             kit.release(edges)
             return found
 

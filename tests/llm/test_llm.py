@@ -162,6 +162,26 @@ def test_similar_sets_are_not_moved_many_times(spark, monkeypatch):
     assert written() - moved < 8 * sum(len(t) for _, t in rows)
 
 
+@pytest.mark.parametrize("most", [1 << 20, 150, 1])
+def test_components_of_any_number_of_tasks(spark, most):
+    """The least node of each, in three jobs where one task holds the edges, by rounds where it does not."""
+    rng = np.random.default_rng(9)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 500, (300, 2))] + [(1000 + i, 1001 + i) for i in range(100)] + [(-5, 7), (-5, -9), (7, -5)]
+    least = {x: x for a, b in edges if a != b for x in (a, b)}
+    for _ in least:
+        for a, b in (e for e in edges if e[0] != e[1]):
+            least[a] = least[b] = min(least[a], least[b])
+    made = kit.stored(spark.createDataFrame(edges, "u long, v long").repartition(16), "edges")
+    spark.sparkContext.setJobGroup(f"components {most}", "")
+    try:
+        got = ngram_join.components(made, most)
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(f"components {most}")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {r["sid"]: r["comp"] for r in got.collect()} == least and got.count() == len(least)
+    assert most <= 150 or len(jobs) <= 3
+
+
 def test_rules_statistics(spark, docs, texts):
     got = {r["doc_id"]: r for r in rules.quality_rules(docs).collect()}
     for i, t in enumerate(texts):
