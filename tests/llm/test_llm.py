@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -396,6 +397,41 @@ def test_codec_round_trip(n):
             codec.decode([coded[0], (k, crc, data[:50] + bytes([data[50] ^ 1]) + data[51:])])
 
 
+def test_pieces_of_written_out_classes():
+    """Every character below U+10000 beside letters, digits and spaces; wider strings are known by their size."""
+    for c in map(chr, range(1, 1 << 16)):
+        text = f"a{c}b {c}{c} 1{c}9 {c} "
+        assert packing.plane_pieces().findall(text) == packing.Encoder.PIECES.findall(text)
+    for c in "\U00010000", "\U0001f642", "\U0010ffff":
+        assert all((x + c).__sizeof__() >= 4 * (len(x) + 1) for x in ("", "a", "é" * 100, "日" * 5000))
+
+
+@pytest.mark.parametrize("block", [1, 3, 100, 1024])
+def test_codec_of_uneven_blocks(block):
+    """Carries, ids that fill the whole range, blocks alone and in another order, tables that are damaged or absent."""
+    rng = np.random.default_rng(block)
+    for ids in (np.where(rng.random(1500) < 0.99, 5, rng.integers(0, 65536, 1500)), np.full(1500, 65535), np.arange(1500) * 43, np.zeros(7, int)):
+        coded = codec.encode(ids.astype(np.uint32), block)
+        assert (codec.decode(coded) == ids).all()
+        alone = [codec.decode([coded[0], x]) for x in coded[1:]]
+        assert (np.concatenate(alone) == ids).all() and max(map(len, alone)) <= block and not coded[0][0]
+        assert (codec.decode([*coded[:0:-1], coded[0]]) == np.concatenate(alone[::-1])).all()
+        with pytest.raises(ValueError):
+            codec.decode([(0, coded[0][1] ^ 1, coded[0][2]), *coded[1:]])
+        with pytest.raises(ValueError):
+            codec.decode(coded[1:])
+
+
+def test_codec_takes_under_a_microsecond_an_id():
+    ids = np.random.default_rng(3).zipf(1.3, 500_000).clip(0, 50256).astype(np.uint32)
+    began = time.process_time()
+    coded = codec.encode(ids)
+    assert (codec.decode(coded) == ids).all()
+    assert time.process_time() - began < 1e-6 * len(ids)
+    share = np.unique(ids, return_counts=True)[1] / len(ids)
+    assert 8 * sum(len(x[2]) for x in coded) < 1.05 * -(share * np.log2(share)).sum() * len(ids)
+
+
 def test_id_files(spark, docs, texts, tmp_path):
     every = codec.read_back(codec.written(docs, out=f"{tmp_path}/ids")).collect()  # nulls first, repeated rows each
     assert len(every) == docs.count() and sorted(every, key=lambda r: r["start"])[0]["doc_id"] is None
