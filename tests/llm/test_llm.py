@@ -183,6 +183,18 @@ def test_components_of_any_number_of_tasks(spark, most):
     assert most <= 150 or len(jobs) <= 3
 
 
+def test_near_duplicates_take_few_jobs(spark):
+    """What jobs leave behind, plans above all, adds up in the driver's memory."""
+    import corpus_pipeline
+
+    spark.sparkContext.setJobGroup("near duplicates", "")
+    try:
+        assert corpus_pipeline.near_duplicates(spark, spark.read.parquet(f"{WHERE}/documents.parquet"), WHERE).count() == 185
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("near duplicates")) < 95
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_rules_statistics(spark, docs, texts):
     got = {r["doc_id"]: r for r in rules.quality_rules(docs).collect()}
     for i, t in enumerate(texts):
