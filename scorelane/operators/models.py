@@ -12,7 +12,7 @@ from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelane.operators import metrics
@@ -72,7 +72,17 @@ def fit(train: DataFrame, variables: list[str], family: str = "logistic", params
     if seen != {0, 1}:
         raise ValueError(f"both classes are needed to fit, found {sorted(seen)}")
     weighted = class_weighted(train) if balanced else train.withColumn("w", F.lit(1.0))
-    return FAMILIES[family](weighted.agg(F.sum("w")).first()[0], **(params or {})).fit(assembled(weighted, variables))
+    return portable(FAMILIES[family](weighted.agg(F.sum("w")).first()[0], **(params or {})).fit(assembled(weighted, variables)), train.sparkSession)
+
+
+def portable(model: Model, spark: SparkSession) -> Model:
+    """model without its training summary, which would go to the tasks that score.
+
+    A binary summary holds the session, and a session cannot be sent once anything in it was observed or tagged.
+    """
+    if getattr(model, "hasSummary", False):
+        model._java_obj.setSummary(spark.sparkContext._jvm.scala.Option.empty())
+    return model
 
 
 def scored(model: Model, df: DataFrame, variables: list[str], *keep: str) -> DataFrame:

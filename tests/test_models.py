@@ -1,6 +1,8 @@
 """Fits, orderings and streamed scoring on small panels."""
 
 import pytest
+from pyspark.sql import Observation
+from pyspark.sql import functions as F
 
 from scorelane.operators import models
 from scorelane.operators.ranks import hash_ranked
@@ -13,6 +15,15 @@ def panel(spark):
     return spark.createDataFrame(rows, "id long, y int, fold int, signal double, noise double").cache()
 
 
+@pytest.fixture
+def observed(spark):
+    """The session, after something in it was observed."""
+    seen = Observation()
+    spark.range(3).observe(seen, F.count("*").alias("n")).collect()
+    assert seen.get == {"n": 3}
+    return spark
+
+
 def test_classes_weigh_the_same(panel):
     sums = {r["y"]: r["sum(w)"] for r in models.class_weighted(panel).groupBy("y").sum("w").collect()}
     assert sums[0] == pytest.approx(300) and sums[1] == pytest.approx(300)
@@ -24,6 +35,14 @@ def test_signal_outranks_noise(panel, family):
     assert next(iter(shares)) == "signal" and sum(shares.values()) == pytest.approx(1)
 
 
+@pytest.mark.parametrize("family", models.FAMILIES)
+def test_fits_score_where_something_was_observed(observed, panel, family):
+    model = models.fit(panel, ["signal", "noise"], family)
+    rows = models.scored(model, panel, ["signal", "noise"], "id").collect()
+    assert sorted(r["id"] for r in rows) == list(range(600)) and all(0 <= r["s"] <= 1 for r in rows)
+    assert models.average_precision(model, panel, ["signal", "noise"]) > 0.9
+
+
 def test_permuting_keeps_rows_and_values(panel):
     after = models.permuted(panel, "id", "signal", hash_ranked).toPandas().sort_values("id")
     before = panel.toPandas().sort_values("id")
