@@ -51,6 +51,14 @@ def test_permuting_keeps_rows_and_values(panel):
     assert abs(after["signal"].corr(before["signal"].set_axis(after.index))) < 0.2
 
 
+@pytest.mark.parametrize("family", ["logistic", "forest"])
+def test_permutation_and_tuning_where_something_was_observed(observed, panel, family):
+    both = ["noise", "signal"]
+    falls = models.permutation_importance(models.fit(panel, both, family), panel, both, "id", hash_ranked)
+    assert next(iter(falls)) == "signal" and falls["signal"] > 0.2 > falls["noise"]
+    assert all(mean is not None for _, mean in models.tuned(panel, both, family, [{}], 2))
+
+
 def test_elimination_keeps_the_signal(panel):
     assert models.eliminated(panel, ["noise", "signal"]) == ["signal", "noise"]
 
