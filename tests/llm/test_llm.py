@@ -1,11 +1,13 @@
 """Operators of the pipeline on small fixtures, against brute force, round trips and held-out labels."""
 
+import gc
 import hashlib
 import re
 import time
 import zlib
 from collections import Counter
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -195,6 +197,24 @@ def test_near_duplicates_take_few_jobs(spark):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
+def test_tidying_gives_freed_native_memory_back(spark):
+    """The driver's JVM keeps what its compiler and buffers have freed, some hundreds of MB in a long session."""
+    jvm = spark.sparkContext._jvm
+    status = Path(f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/status")
+    held = lambda: int(re.search(r"RssAnon:\s+(\d+)", status.read_text())[1]) // 1024
+    some, rest = jvm.java.util.ArrayDeque(), jvm.java.util.ArrayDeque()
+    for i in range(3000):
+        (rest if i % 100 else some).add(jvm.java.nio.ByteBuffer.allocateDirect(60_000))
+    rest.clear()
+    gc.collect()
+    for _ in range(2):
+        jvm.System.gc()
+        time.sleep(1)
+    before = held()
+    kit.trim(spark)
+    assert held() < before - 100
+
+
 def test_rules_statistics(spark, docs, texts):
     got = {r["doc_id"]: r for r in rules.quality_rules(docs).collect()}
     for i, t in enumerate(texts):
